@@ -120,7 +120,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         .withColumn("_to", F.col("_from") + F.col("size"))
         .withColumn("_block", F.explode(F.sequence(F.floor(F.col("_from") / block_words), F.floor((F.col("_to") - 1) / block_words))))
     )
-    got = F.greatest(F.least("_to", "_end") - F.greatest("_from", "_start"), F.lit(0))
+    got = F.when(F.col("_end").isNotNull(), F.greatest(F.least("_to", "_end") - F.greatest("_from", "_start"), F.lit(0)))
     p = pieces.select("source", "doc_id", "size", "_copy", "_from", "_to", "_block")
     t = takes.withColumnRenamed("_block", "_taken_block")
     taken = (
