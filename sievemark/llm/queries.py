@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, chat, exact_dedup, mixing, ring_shard
+from . import byte_bpe, chat, exact_dedup, mixing, ring_shard, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op2_byte_bpe": byte_bpe.op2_byte_bpe,
     "op3_ring_shards": ring_shard.op3_ring_shards,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
