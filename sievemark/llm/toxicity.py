@@ -227,7 +227,7 @@ def cover(docs: list[list[str]], rates: dict[str, float], least: float) -> list[
         for d, w in zip(docs, weight):
             for s in d:
                 gain[s] = gain.get(s, 0) + w
-        fair = {s: g - 10 * rates[s] * len(docs) for s, g in gain.items() if not any(s.startswith(o) or o.startswith(s) for o in out)}
+        fair = {s: g - 3 * rates[s] * len(docs) for s, g in gain.items() if not any(s.startswith(o) or o.startswith(s) for o in out)}
         best = max(fair, key=lambda s: (fair[s], s), default=None)
         if best is None or fair[best] < least:
             break
