@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, chat, exact_dedup, mixing, ring_shard, toxicity
+from . import byte_bpe, chat, exact_dedup, mixing, near_dedup, ring_shard, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_byte_bpe": byte_bpe.op2_byte_bpe,
     "op3_ring_shards": ring_shard.op3_ring_shards,
+    "op4_minhash_dedup": near_dedup.op4_minhash_dedup,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op7_prefix_chat": chat.op7_prefix_chat,
     "op9_mix_sources": mixing.op9_mix_sources,
