@@ -145,3 +145,27 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+def encode_documents(docs: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
+    """The rows of docs without their text, and n_tokens, ids (binary, uint32 little-endian), ids_sha256 and decoded_sha256.
+    Columns of docs with these names are left out."""
+    own = ["n_tokens", "ids", "ids_sha256", "decoded_sha256"]
+    rest = [c for c in docs.columns if c not in [*own, text_col]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = codec(path, pattern)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                ids = [bpe.encode(x.as_py()) for x in part.column(0)]
+                columns = [
+                    pa.array([len(i) // 4 for i in ids], pa.int64()),
+                    pa.array(ids, pa.binary()),
+                    pa.array([hashlib.sha256(i).hexdigest() for i in ids], pa.string()),
+                    pa.array([hashlib.sha256(bpe.decode(i)).hexdigest() for i in ids], pa.string()),
+                ]
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], *columns], [*rest, *own])
+
+    schema = ", ".join([*[f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest], "n_tokens long, ids binary, ids_sha256 string, decoded_sha256 string"])
+    return docs.select(text_of(text_col).alias("__text"), *rest).mapInArrow(run, schema)

@@ -137,3 +137,21 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
+def repeat_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows of docs as often as the mix takes them, all columns as they are.
+
+    A document that the mix cuts counts as whole from half its words on. Rows that are alike in id, source and size are
+    numbered on both sides, so that repeated rows meet one another once each. Documents without words are left out.
+    """
+    cols, keys = docs.columns, ["__doc", "__source", "__size"]
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(1)))
+    taken = mix(docs, id_col, text_col, source_col).where("size > 0")
+    taken = taken.select(
+        F.col("doc_id").alias("__doc"), F.col("source").alias("__source"), F.col("size").alias("__size"), F.round(F.col("taken") / F.col("size")).cast("int").alias("__times")
+    ).withColumn("__n", number)
+    taken = taken.where("__times > 0").select(*[F.col(k).alias(f"{k}2") for k in [*keys, "__n"]], "__times")
+    rows = docs.withColumns({"__doc": F.col(id_col), "__source": F.col(source_col).cast("string"), "__size": word_count(F.col(text_col))}).withColumn("__n", number)
+    same = [F.col(k).eqNullSafe(F.col(f"{k}2")) for k in [*keys, "__n"]]
+    return rows.join(taken, same).withColumn("__copy", F.explode(F.sequence(F.lit(1), "__times"))).select(*cols)

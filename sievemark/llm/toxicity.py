@@ -344,3 +344,21 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return score(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def keep_clean(docs: DataFrame, model: dict | None, text_col: str = "text") -> DataFrame:
+    """The rows of docs whose score is under 0.5, all columns as they are; all rows where there is no model."""
+    if model is None:
+        return docs
+    at, slope, offset = docs.columns.index(text_col), model["slope"], model["offset"]
+    decide = _decide(model["weights"], model["bias"], [])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 512):
+                part = batch.slice(start, 512)
+                texts = pa.RecordBatch.from_arrays([part.column(at).fill_null("")], ["text"])
+                values = np.concatenate([x.column(0).to_numpy() for x in decide(iter([texts]))])
+                yield part.filter(pa.array(values * slope + offset < 0))
+
+    return docs.mapInArrow(run, docs.schema)
