@@ -1,6 +1,24 @@
-"""All queries of the library and their SQL."""
+"""All queries of the library and their SQL; the modules of queries add theirs with @query."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return add
+
+
+def load() -> None:
+    from . import q_calibration, q_integrity, q_joins, q_metrics, q_sampling, q_sources, q_streaming  # noqa: F401
