@@ -1 +1,166 @@
-"""Queries."""
+"""Queries: calibration, probes, reports and gates."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import scalars as S
+from ..operators import calibration as C
+from ..operators import gates as Q
+from ..operators import joins as J
+from ..operators import linear as L
+from ..operators import metrics as M
+from ..operators import slices as G
+from . import views as V
+from .q_metrics import _CASES, BASE, BOTH, CONFUSION, _OK, auc_sql, curves, family, rounded
+from .q_sampling import candidate_scores
+from .registry import query
+from .views import THRESHOLD as T
+from .views import with_views
+
+VIEWS = [v for v, _ in V.VIEWS]
+LOGIT = f"ln({T}::DOUBLE / (1 - {T}::DOUBLE))"
+_BEST = """best AS (SELECT view, t FROM (SELECT *, row_number() OVER (PARTITION BY view ORDER BY goal DESC, abs(t), t) AS k FROM (
+    SELECT c.view, c.raw_logit AS t, sum(c.pos) OVER w * n + (n - sum(c.neg) OVER w) * p AS goal FROM (SELECT view, raw_logit, sum(label) AS pos, sum(1 - label) AS neg FROM scored GROUP BY ALL) c
+    JOIN (SELECT view, sum(label) AS p, sum(1 - label) AS n FROM scored GROUP BY view) USING (view) WINDOW w AS (PARTITION BY view ORDER BY raw_logit DESC))) WHERE k = 1)"""
+
+
+@query("m1_fit_calibrators", with_views(f", {_BEST} SELECT view, m AS method, 1.0::DOUBLE AS slope, CASE m WHEN 'bias' THEN round({LOGIT} - t, 6) ELSE 0 END::DOUBLE AS intercept, round(CASE m WHEN 'bias' THEN t ELSE {LOGIT} END, 6) AS boundary FROM best, (VALUES ('identity'), ('bias')) v(m)", *BASE))
+def _(spark, d):
+    return rounded(C.fit_calibrators(V.scored(spark, d), ("identity", "bias"), T, "view"))
+
+
+@query("m2_platt")
+def _(spark, d):
+    return rounded(C.fit_calibrators(V.scored(spark, d), ("platt",), T, "view"), 5)
+
+
+def calibration_rows(spark, d):
+    """All labelled rows: roles may hold too few positive groups at small sizes."""
+    return V.scored(spark, d)
+
+
+@query("m3_select_calibrator")
+def _(spark, d):
+    return rounded(C.select_calibrator(calibration_rows(spark, d), T)[0], 5)
+
+
+@query("m4_leakage_probe")
+def _(spark, d):
+    m = V.manifest(spark, d)
+    none = F.lit(None).cast("string")
+    rows = m.select("sample_id", "label", "group_id", "content_sha256", *S.metadata_features(F.col("width"), F.col("height"), F.col("n_bytes"), none, none))
+    return rounded(L.leakage_probe(rows, ["log_width", "log_height", "log_aspect", "log_bytes", "bytes_per_pixel"], 3, 5), 4)
+
+
+def probe_rows(spark, d):
+    e = V.table(spark, d, "embeddings")
+    return e.select(F.col("vec_id").cast("string").alias("sample_id"), (F.col("label") % 2).alias("label"), F.col("label").cast("string").alias("group_id"), F.when(F.col("vec_id") % 2 == 0, "calibration").otherwise("test").alias("role"), F.col("embedding").alias("features"), F.lit("clean").alias("view"))
+
+
+@query("m5_linear_probe")
+def _(spark, d):
+    return rounded(L.linear_probe(probe_rows(spark, d).withColumn("group_id", F.col("sample_id")), "features", 3), 4)
+
+
+@query("m6_feature_coverage", "SELECT CAST(vec_id AS VARCHAR) AS sample_id, v AS view FROM embeddings, (VALUES ('clean'), ('web')) t(v) WHERE v = 'web' OR vec_id % 9 = 0")
+def _(spark, d):
+    p = probe_rows(spark, d)
+    return L.feature_coverage(p, ["clean", "web"], p.withColumn("features", F.when(F.col("sample_id").cast("long") % 9 != 0, F.col("features"))))
+
+
+@query("m7_score_to_ledger", "SELECT CAST(vec_id AS VARCHAR) AS sample_id, 'clean' AS view, CASE WHEN vec_id % 50 <> 0 THEN round(list_sum(embedding::DOUBLE[]), 4) END AS raw_logit, CASE WHEN vec_id % 50 = 0 THEN 'ValueError: empty' END AS error, 'sum' AS model_id FROM embeddings")
+def _(spark, d):
+    def fn(batch):
+        if any(v is None for v in batch):
+            raise ValueError("empty")
+        return batch.map(lambda v: sum(map(float, v)))
+
+    p = probe_rows(spark, d).withColumn("features", F.when(F.col("sample_id").cast("long") % 50 != 0, F.col("features")))
+    return rounded(L.score_to_ledger(p, fn, "features", "sum"), 4)
+
+
+@query("m8_apply_calibrator", with_views(f"SELECT sample_id, view, round(1 / (1 + exp(-(raw_logit * 2 + {LOGIT} - 1))), 6) AS probability FROM scored", *BASE))
+def _(spark, d):
+    t = F.lit(0.5)
+    c = spark.range(1).select(F.lit(2.0).alias("slope"), (S.logit(T) - 1).alias("intercept"), t.alias("boundary"))
+    return rounded(C.apply_calibrator(V.scored(spark, d), c, T).select("sample_id", "view", "probability"))
+
+
+@query("i6_evaluation_gates")
+def _(spark, d):
+    m = V.manifest(spark, d).withColumn("role", F.when(F.conv(F.substring("content_sha256", 1, 4), 16, 10).cast("int") % 2 == 0, "calibration").otherwise("test"))
+    return rounded(Q.evaluation_report(m, V.ledger(spark, d), VIEWS, T, 50, 3)["gates"], 5)
+
+
+@query("i7_redteam_gates", with_views(f""", {_CASES}, m AS (SELECT min((tp / (tp + fn) + tn / (tn + fp)) / 2) AS ba, min(tp / (tp + fn)) FILTER (view = 'hard') AS rc FROM cases WHERE view <> 'clean')
+    SELECT g AS gate, round(v, 6) AS value, b AS bound, CASE WHEN ge THEN v >= b ELSE v <= b END AS passed FROM (
+        SELECT 'protocol_problems <= 0' AS g, (SELECT count(*) FROM ledger)::DOUBLE * 0 AS v, 0::DOUBLE AS b, false AS ge UNION ALL SELECT 'worst_balanced_accuracy >= 0.75', ba, 0.75, true FROM m
+        UNION ALL SELECT 'critical_recall >= 0.6', rc, 0.6, true FROM m UNION ALL SELECT 'missing_families <= 0', 1, 0, false)""", *BASE))
+def _(spark, d):
+    reg = spark.createDataFrame([(v, i, "model-a") for i, v in enumerate(VIEWS)], "case_id string, view_pos int, model_id string")
+    p = J.protocol_join(V.manifest(spark, d), V.ledger(spark, d), reg, ["view_pos", "model_id"])
+    return rounded(Q.redteam_report(V.scored(spark, d), p, T, ["hard"], family(), ["resize", "crop"])["gates"])
+
+
+@query("i8_compare")
+def _(spark, d):
+    return rounded(Q.compare(V.scored(spark, d), V.scored(spark, d, "b", 0.8), T, 40, 11)["intervals"])
+
+
+@query("i9_rank_tournament", with_views(f""", r AS (SELECT 'a' AS model, * FROM scored UNION ALL SELECT 'b', * FROM scored_b),
+    s AS (SELECT model, avg(x) AS macro_score FROM (SELECT model, label, avg(rate) AS x FROM (SELECT model, label, group_id, avg({_OK}) AS rate FROM r GROUP BY ALL) GROUP BY ALL) GROUP BY model)
+    SELECT model, round(macro_score, 6) AS macro_score, round(auc, 6) AS auc, true AS eligible, row_number() OVER (ORDER BY macro_score DESC, auc DESC) AS rank FROM s JOIN ({auc_sql('r', 'model')}) USING (model)""", *BOTH))
+def _(spark, d):
+    return rounded(Q.rank_tournament(V.manifest(spark, d), {"a": V.ledger(spark, d), "b": V.ledger(spark, d, "b", 0.8)}, T))
+
+
+def _vm(s: str) -> str:
+    return f"(SELECT view, (tp / (tp + fn) + tn / (tn + fp)) / 2 AS ba, tp / (tp + fn) AS recall, tn / (tn + fp) AS spec, auc FROM (SELECT view, {CONFUSION} FROM {s} GROUP BY view) JOIN ({auc_sql(s, 'view')}) USING (view))"
+
+
+@query("i10_ablation_gates", with_views(f""", x AS {_vm('scored')}, y AS {_vm('scored_b')}, j AS (SELECT view, y.ba - x.ba AS ba, y.recall - x.recall AS rc, y.spec - x.spec AS sp, y.auc - x.auc AS au FROM x JOIN y USING (view)),
+    v AS (SELECT avg(ba) FILTER (view <> 'clean') AS c1, avg(rc) FILTER (view <> 'clean') AS c2, avg(ba) FILTER (view = 'clean') AS c3, avg(sp) FILTER (view = 'clean') AS c4, avg(au) FILTER (view = 'clean') AS c5 FROM j)
+    SELECT g AS gate, round(v, 6) AS value, b AS bound, v >= b AS passed FROM (SELECT 'critical_balanced_accuracy >= 0.01' AS g, c1 AS v, 0.01::DOUBLE AS b FROM v UNION ALL SELECT 'critical_recall >= 0.02', c2, 0.02 FROM v
+        UNION ALL SELECT 'clean_balanced_accuracy >= -0.01', c3, -0.01 FROM v UNION ALL SELECT 'clean_specificity >= -0.02', c4, -0.02 FROM v UNION ALL SELECT 'clean_auc >= -0.005', c5, -0.005 FROM v)""", *BOTH))
+def _(spark, d):
+    return rounded(Q.ablation_gates(M.view_metrics(V.scored(spark, d), T), M.view_metrics(V.scored(spark, d, "b", 0.8), T), F.col("view") != "clean"))
+
+
+@query("i11_promotion_gates")
+def _(spark, d):
+    a, b = V.scored(spark, d), V.scored(spark, d, "b", 0.8)
+    protected = G.all_any_detected(b.where("label = 1"), T, [])
+    return rounded(Q.promotion_gates(M.view_metrics(a, T), M.view_metrics(b, T), F.col("view") != "clean", protected, G.family_rollup(G.attack_cases(b, T).withColumn("family", family())), G.ledger_parity(a, b, 1.0, 0.6, T)))
+
+
+@query("i12_teacher_gate")
+def _(spark, d):
+    a, b = V.scored(spark, d), V.scored(spark, d, "b", 0.8)
+    ranking = Q.rank_tournament(V.manifest(spark, d), {"a": V.ledger(spark, d), "b": V.ledger(spark, d, "b", 0.8)}, T)
+    whole = a.unionByName(b).groupBy("sample_id").count().where("count = 6").select("sample_id")
+    a, b = a.join(whole, "sample_id", "left_semi"), b.join(whole, "sample_id", "left_semi")
+    return rounded(Q.teacher_gate(ranking, "a", "b", a, b, curves(spark, d).withColumn("score", F.col("loss")), 50.0, 30, 5))
+
+
+@query("i13_positive_cohort", with_views(f"SELECT view, count(*) AS n, count(*) FILTER (probability >= {T}) AS detected, round(avg(probability), 6) AS mean_p, round(avg((probability >= {T})::INT), 6) AS recall FROM scored WHERE label = 1 GROUP BY view", *BASE))
+def _(spark, d):
+    r = Q.positive_cohort_report(V.scored(spark, d).where("label = 1"), "clean", ["web", "hard"], T)
+    return rounded(r["views"].select("view", "n", "detected", "mean_p", "recall"))
+
+
+@query("i14_final_summary", with_views(f""", x AS {_vm('scored')}, j AS (SELECT avg(((1 / (1 + exp(-(a.raw_logit + 0.6))) >= {T}) <> (1 / (1 + exp(-(b.raw_logit + 0.6))) >= {T}))::INT) AS dr FROM scored a JOIN scored_b b USING (sample_id, view)),
+    s AS (SELECT sample_id, bool_and(probability >= {T}) AS a, bool_or(probability >= {T}) AS o FROM scored WHERE label = 1 GROUP BY 1)
+    SELECT (SELECT view FROM x ORDER BY ba, view LIMIT 1) AS worst_view, (SELECT round(min(ba), 6) FROM x) AS worst_balanced_accuracy, count(*) AS samples, round(avg(a::INT), 6) AS all_views, round(avg(o::INT), 6) AS any_view, (SELECT round(dr, 6) FROM j) AS disagreement_rate FROM s""", *BOTH))
+def _(spark, d):
+    return rounded(Q.final_summary(V.scored(spark, d), V.scored(spark, d, "b", 0.8), T))
+
+
+@query("i15_gates", with_views("SELECT 'rows >= 100' AS gate, count(*)::DOUBLE AS value, 100::DOUBLE AS bound, count(*) >= 100 AS passed FROM manifest UNION ALL SELECT 'groups <= 10', count(DISTINCT group_id), 10, count(DISTINCT group_id) <= 10 FROM manifest", "manifest"))
+def _(spark, d):
+    return Q.gates(V.manifest(spark, d).agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("group_id").alias("groups")), [("rows", ">=", 100), ("groups", "<=", 10)])
+
+
+@query("w9_pick_calibrator")
+def _(spark, d):
+    return C.select_calibrator(calibration_rows(spark, d), T)[1].select("method", F.round("slope", 4).alias("slope"))
