@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, chat, exact_dedup, mixing, near_dedup, ring_shard, spotsigs, toxicity
+from . import byte_bpe, chat, exact_dedup, mixing, near_dedup, ring_shard, spotsigs, suffix_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_prefix_chat": chat.op7_prefix_chat,
     "op8_spotsigs": spotsigs.op8_spotsigs,
     "op9_mix_sources": mixing.op9_mix_sources,
+    "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = exact_dedup.ORACLE_SQL | chat.ORACLE_SQL
