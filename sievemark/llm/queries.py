@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, chat, exact_dedup, mixing, near_dedup, ring_shard, spotsigs, suffix_dedup, toxicity
+from . import byte_bpe, chat, exact_dedup, mixing, near_dedup, ring_shard, secret_scan, spotsigs, suffix_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_ring_shards": ring_shard.op3_ring_shards,
     "op4_minhash_dedup": near_dedup.op4_minhash_dedup,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op6_secret_scan": secret_scan.op6_secret_scan,
     "op7_prefix_chat": chat.op7_prefix_chat,
     "op8_spotsigs": spotsigs.op8_spotsigs,
     "op9_mix_sources": mixing.op9_mix_sources,
