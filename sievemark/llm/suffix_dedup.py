@@ -258,7 +258,7 @@ def _stretches(buckets: int, shards: int):
                 part = batch.slice(at, CHUNK)
                 best: dict[bytes, tuple] = {}
                 again, gone = [], []
-                for doc, text, keys, hot in zip(part.column(0).to_pylist(), part.column(1), part.column(2).to_pylist(), part.column(3).to_pylist()):
+                for doc, text, keys, hot, tid in zip(part.column(0).to_pylist(), part.column(1), *(part.column(c).to_pylist() for c in (2, 3, 4))):
                     raw = np.frombuffer(text.as_buffer() or b"", np.uint8)
                     if len(raw) < LENGTH:
                         continue
@@ -273,51 +273,51 @@ def _stretches(buckets: int, shards: int):
                             b = body[x : y + LENGTH]
                             old = best.get(b)
                             if old is None:
-                                best[b] = (s, doc, x)
+                                best[b] = (s, doc, x, tid)
                             elif old[1] == doc:
-                                again.append((s, doc, x, b))
+                                again.append((s, doc, x, tid, b))
                             elif old[1] < doc:
-                                gone.append((doc, x, y))
+                                gone.append((doc, tid, x, y))
                             else:  # the earlier row has the larger id
-                                best[b] = (s, doc, x)
-                                gone.append((old[1], old[2], old[2] + len(b) - LENGTH))
-                                moved = [g for g in again if g[3] == b and g[1] == old[1]] if again else []
-                                if moved:
-                                    again = [g for g in again if not (g[3] == b and g[1] == old[1])]
-                                    gone += [(g[1], g[2], g[2] + len(b) - LENGTH) for g in moved]
-                rows = sorted([(s, d, x, b) for b, (s, d, x) in best.items()] + again)
+                                best[b] = (s, doc, x, tid)
+                                late = [old, *[g for g in again if g[4] == b and g[1] == old[1]]]
+                                again = [g for g in again if not (g[4] == b and g[1] == old[1])]
+                                gone += [(g[1], g[3], g[2], g[2] + len(b) - LENGTH) for g in late]
+                rows = sorted([(*g, b) for b, g in best.items()] + again)
                 if rows:
                     s = np.array([r[0] for r in rows])
                     f, l = runs(s)
-                    d, x, n = np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64), np.array([len(r[3]) for r in rows], np.int64)
+                    d, x, t, n = (np.array([v(r) for r in rows], np.int64) for v in (lambda r: r[1], lambda r: r[2], lambda r: r[3], lambda r: len(r[4])))
                     yield pa.RecordBatch.from_pydict({
-                        "shard": pa.array(s[f], pa.int32()), "data": pa.array([b"".join(r[3] for r in rows[i : j + 1]) for i, j in zip(f, l)], pa.binary()),
+                        "shard": pa.array(s[f], pa.int32()), "data": pa.array([b"".join(r[4] for r in rows[i : j + 1]) for i, j in zip(f, l)], pa.binary()),
                         "docs": pa.array([d[i : j + 1].tobytes() for i, j in zip(f, l)], pa.binary()), "starts": pa.array([x[i : j + 1].tobytes() for i, j in zip(f, l)], pa.binary()), "lens": pa.array([n[i : j + 1].tobytes() for i, j in zip(f, l)], pa.binary()),
+                        "texts": pa.array([t[i : j + 1].tobytes() for i, j in zip(f, l)], pa.binary()),
                     })
                 if gone:
                     g = np.array(gone, np.int64)
-                    yield pa.RecordBatch.from_pydict({"shard": pa.array([-1], pa.int32()), "data": pa.array([b""], pa.binary()), "docs": pa.array([g[:, 0].tobytes()], pa.binary()), "starts": pa.array([g[:, 1].tobytes()], pa.binary()), "lens": pa.array([g[:, 2].tobytes()], pa.binary())})
+                    yield pa.RecordBatch.from_pydict({"shard": pa.array([-1], pa.int32())} | {c: pa.array([x], pa.binary()) for c, x in (("data", b""), ("docs", g[:, 0].tobytes()), ("starts", g[:, 2].tobytes()), ("lens", g[:, 3].tobytes()), ("texts", g[:, 1].tobytes()))})
 
     return run
 
 
-STRETCHES = "shard int, data binary, docs binary, starts binary, lens binary"
-GONE = "doc long, first array<long>, last array<long>"
+STRETCHES = "shard int, data binary, docs binary, starts binary, lens binary, texts binary"
+GONE = "doc long, tid long, first array<long>, last array<long>"
 
 
 # -- 3: shards
 
-def _gone_rows(doc: np.ndarray, first: np.ndarray, last: np.ndarray) -> dict:
-    by = np.lexsort((first, doc))
-    doc, first, last = doc[by], first[by], last[by]
-    f, l = runs(doc) if len(doc) else (doc, doc)
-    return {"doc": pa.array(doc[f], pa.int64()), "first": pa.array([first[i : j + 1] for i, j in zip(f, l)], pa.list_(pa.int64())), "last": pa.array([last[i : j + 1] for i, j in zip(f, l)], pa.list_(pa.int64()))}
+def _gone_rows(doc: np.ndarray, tid: np.ndarray, first: np.ndarray, last: np.ndarray) -> dict:
+    by = np.lexsort((first, tid, doc))
+    doc, tid, first, last = doc[by], tid[by], first[by], last[by]
+    f = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (tid[1:] != tid[:-1])]) if len(doc) else doc
+    l = np.r_[f[1:], len(doc)][: len(f)]
+    return {"doc": pa.array(doc[f], pa.int64()), "tid": pa.array(tid[f], pa.int64()), "first": pa.array([first[i:j] for i, j in zip(f, l)], pa.list_(pa.int64())), "last": pa.array([last[i:j] for i, j in zip(f, l)], pa.list_(pa.int64()))}
 
 
 def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for d, s, l in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            yield pa.RecordBatch.from_pydict(_gone_rows(*(np.frombuffer(x, np.int64) for x in (d, s, l))))
+        for row in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            yield pa.RecordBatch.from_pydict(_gone_rows(*(np.frombuffer(x, np.int64) for x in row)))
 
 
 def _decide(group: pa.Table) -> pa.Table:
@@ -331,32 +331,32 @@ def _decide(group: pa.Table) -> pa.Table:
         if not batch:
             return
         data = np.frombuffer(b"".join(x[0] for x in batch), np.uint8)
-        docs, first, lens = (np.concatenate([np.frombuffer(x[i], np.int64) for x in batch]) for i in (1, 2, 3))
+        docs, first, lens, tids = (np.concatenate([np.frombuffer(x[i], np.int64) for x in batch]) for i in (1, 2, 3, 4))
         begin = np.cumsum(lens) - lens
         n = lens - LENGTH + 1
         offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         starts, doc, place = np.repeat(begin, n) + offset, np.repeat(docs, n), np.repeat(first, n) + offset
         merged = merge(merged, piece_classes(data, starts, doc))
-        pieces.append((hashes(data, LENGTH)[starts], doc, place))
+        pieces.append((hashes(data, LENGTH)[starts], doc, np.repeat(tids, n), place))
         batch, size = [], 0
 
-    for row in zip(*(group.column(c).to_pylist() for c in ("data", "docs", "starts", "lens"))):
+    for row in zip(*(group.column(c).to_pylist() for c in ("data", "docs", "starts", "lens", "texts"))):
         batch.append(row)
         size += len(row[0])
         if size >= PIECE:
             flush()
     flush()
     out = []
-    for key, doc, place in pieces:
+    for key, doc, tid, place in pieces:
         hit = merged[1][np.searchsorted(merged[0], key)] < doc
-        doc, place = doc[hit], place[hit]
+        doc, tid, place = doc[hit], tid[hit], place[hit]
         if len(doc):
-            by = np.lexsort((place, doc))
-            doc, place = doc[by], place[by]
-            f = np.flatnonzero(np.r_[True, (np.diff(doc) != 0) | (np.diff(place) > 1)])
+            by = np.lexsort((place, tid, doc))
+            doc, tid, place = doc[by], tid[by], place[by]
+            f = np.flatnonzero(np.r_[True, (np.diff(doc) != 0) | (np.diff(tid) != 0) | (np.diff(place) > 1)])
             l = np.r_[f[1:] - 1, len(doc) - 1]
-            out.append((doc[f], place[f], place[l]))
-    return pa.table(_gone_rows(*(np.concatenate([x[i] for x in out]) if out else np.zeros(0, np.int64) for i in range(3))))
+            out.append((doc[f], tid[f], place[f], place[l]))
+    return pa.table(_gone_rows(*(np.concatenate([x[i] for x in out]) if out else np.zeros(0, np.int64) for i in range(4))))
 
 
 # -- 4: texts
@@ -400,16 +400,16 @@ def removed_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     join = lambda c: F.unhex(F.array_join(F.transform(F.collect_list(c), F.hex), ""))
     keys = keys.groupBy(F.col("text").alias("tid")).agg(join("keys").alias("keys"), join("hot").alias("hot"))
     first = rows.groupBy("digest").agg(F.min("id").alias("id")).withColumn("tid", tid("digest"))
-    wanted = first.join(keys, "tid").select("digest", "id", "keys", "hot")
-    suspects = whole.join(wanted, ["digest", "id"]).select("id", F.col("text").cast("binary").alias("text"), "keys", "hot")
+    wanted = first.join(keys, "tid").select("digest", "id", "keys", "hot", "tid")
+    suspects = whole.join(wanted, ["digest", "id"]).select("id", F.col("text").cast("binary").alias("text"), "keys", "hot", "tid")
     shards = max(1, n_keys * 3 * LENGTH // (2 * SHARD))
     stretches = written(suspects.mapInArrow(_stretches(buckets, shards), STRETCHES), "stretches")
-    settled = stretches.where("shard < 0").select("docs", "starts", "lens").mapInArrow(_settled, GONE)
+    settled = stretches.where("shard < 0").select("docs", "texts", "starts", "lens").mapInArrow(_settled, GONE)
     decided = stretches.where("shard >= 0").groupBy("shard").applyInArrow(_decide, GONE)
     gone = written(settled.unionByName(decided), "gone")
-    gone = gone.groupBy(F.col("doc").alias("id")).agg(F.collect_list("first").alias("first"), F.collect_list("last").alias("last"))
-    spans = first.select("digest", "id").join(gone, "id")
-    cut = whole.join(spans, ["digest", "id"]).select("digest", F.col("text").cast("binary").alias("text"), "first", "last").dropDuplicates(["digest"])
+    gone = gone.groupBy(F.col("doc").alias("id"), "tid").agg(F.collect_list("first").alias("first"), F.collect_list("last").alias("last"))
+    spans = first.join(gone, ["id", "tid"])
+    cut = whole.join(spans, ["digest", "id"]).select("digest", F.col("text").cast("binary").alias("text"), "first", "last", "id").dropDuplicates(["digest", "id"])
     cut = cut.mapInArrow(_cut, "digest binary, n_removed long, n_spans long, kept binary")
     return rows.join(first.select("digest", F.col("id").alias("first_id")), "digest"), cut
 
