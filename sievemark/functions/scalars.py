@@ -173,7 +173,8 @@ def wilson(k: Column, n: Column, z: float = Z95) -> tuple[Column, Column]:
     d = 1 + F.try_divide(F.lit(z * z), n.cast("double"))
     mid = (p + F.try_divide(F.lit(z * z / 2), n.cast("double"))) / d
     half = z * F.sqrt(F.try_divide(p * (1 - p), n) + F.try_divide(F.lit(z * z / 4), n * n)) / d
-    return F.greatest(F.lit(0.0), mid - half), F.least(F.lit(1.0), mid + half)
+    some = n > 0  # greatest() and least() skip nulls
+    return F.when(some, F.greatest(F.lit(0.0), mid - half)), F.when(some, F.least(F.lit(1.0), mid + half))
 
 
 def assert_bytes(payload: Column, digest: Column) -> Column:
