@@ -55,8 +55,9 @@ class Spots:
         tokens, known = text.lower().split(), self.known
         if len(known) > KNOWN:
             known.clear()
-        for t in {*tokens} - known.keys():
-            known[t] = self._code(t)
+        for t in {*tokens}:
+            if t not in known:
+                known[t] = self._code(t)
         code = np.fromiter(map(known.__getitem__, tokens), np.uint64, len(tokens))
         code = code[code != 0]
         anchor = (code & np.uint64(1)).astype(bool)
