@@ -29,8 +29,8 @@ from .common import documents, text_of, written
 
 LENGTH, GRAM = 50, 20
 GRAMS = LENGTH - GRAM + 1
-PIECE = 4 << 20
-SHARD = 8 << 20
+PIECE = 2 << 20
+SHARD = 4 << 20
 """Bytes of a piece, and of a shard, about."""
 HOT = 4000
 """Chunks of documents that share an owner, from which on it is split by string."""
@@ -83,7 +83,7 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
     key, h = np.zeros(n, np.uint64), 7
     for i in range(h):  # seven symbols of nine bits
         key = (key << _U(9)) | padded[i : i + n]
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     sorted_key = key[order]
     first, last = runs(sorted_key)
     rank = np.empty(n + 1, np.int64)
@@ -99,7 +99,7 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
         place = np.repeat(first - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
         own = order[place]
         nxt = rank[np.minimum(own + h, n)]
-        again = np.lexsort((nxt, group))
+        again = np.argsort(group * (n + 2) + nxt)
         own, nxt = own[again], nxt[again]
         order[place] = own
         new = np.r_[True, (group[1:] != group[:-1]) | (nxt[1:] != nxt[:-1])]
@@ -301,17 +301,14 @@ def _stretches(buckets: int, shards: int):
 
 
 STRETCHES = "shard int, data binary, docs binary, starts binary, lens binary, texts binary"
-GONE = "doc long, tid long, first array<long>, last array<long>"
+GONE = "doc long, tid long, first long, last long"
 
 
 # -- 3: shards
 
-def _gone_rows(doc: np.ndarray, tid: np.ndarray, first: np.ndarray, last: np.ndarray) -> dict:
-    by = np.lexsort((first, tid, doc))
-    doc, tid, first, last = doc[by], tid[by], first[by], last[by]
-    f = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (tid[1:] != tid[:-1])]) if len(doc) else doc
-    l = np.r_[f[1:], len(doc)][: len(f)]
-    return {"doc": pa.array(doc[f], pa.int64()), "tid": pa.array(tid[f], pa.int64()), "first": pa.array([first[i:j] for i, j in zip(f, l)], pa.list_(pa.int64())), "last": pa.array([last[i:j] for i, j in zip(f, l)], pa.list_(pa.int64()))}
+def _gone_rows(*columns: np.ndarray) -> dict:
+    """A row for each stretch."""
+    return {c: pa.array(x, pa.int64()) for c, x in zip(("doc", "tid", "first", "last"), columns)}
 
 
 def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -320,54 +317,80 @@ def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict(_gone_rows(*(np.frombuffer(x, np.int64) for x in row)))
 
 
+def _pieces(segments: list[bytes]) -> Iterator[tuple[int, int]]:
+    """Ranges of segments of at most PIECE bytes, or one segment."""
+    first = size = 0
+    for i, x in enumerate(segments):
+        if size and size + len(x) > PIECE:
+            yield first, i
+            first, size = i, 0
+        size += len(x)
+    if segments:
+        yield first, len(segments)
+
+
 def _decide(group: pa.Table) -> pa.Table:
-    """Of one shard: the strings that also start in a document of smaller id, as stretches of documents."""
-    pieces, merged = [], (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    batch: list[tuple] = []
-    size = 0
-
-    def flush() -> None:
-        nonlocal merged, batch, size
-        if not batch:
-            return
-        data = np.frombuffer(b"".join(x[0] for x in batch), np.uint8)
-        docs, first, lens, tids = (np.concatenate([np.frombuffer(x[i], np.int64) for x in batch]) for i in (1, 2, 3, 4))
-        begin = np.cumsum(lens) - lens
-        n = lens - LENGTH + 1
-        offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        starts, doc, place = np.repeat(begin, n) + offset, np.repeat(docs, n), np.repeat(first, n) + offset
-        merged = merge(merged, piece_classes(data, starts, doc))
-        pieces.append((hashes(data, LENGTH)[starts], doc, np.repeat(tids, n), place))
-        batch, size = [], 0
-
-    for row in zip(*(group.column(c).to_pylist() for c in ("data", "docs", "starts", "lens", "texts"))):
-        batch.append(row)
-        size += len(row[0])
-        if size >= PIECE:
-            flush()
-    flush()
+    """Of one shard: the strings that also start in a document of smaller id, as stretches of documents.
+
+    Equal stretches are one segment here, with the smallest id; its strings' answers hold for all of them."""
+    known: dict[bytes, int] = {}
+    low_doc: list[int] = []
+    number, docs, tids, places = [], [], [], []
+    for data, *columns in zip(*(group.column(c).to_pylist() for c in ("data", "docs", "texts", "starts", "lens"))):
+        doc, tid, place, lens = (np.frombuffer(x, np.int64) for x in columns)
+        ends = np.cumsum(lens).tolist()
+        own, at = np.empty(len(doc), np.int64), 0
+        for i, (end, d) in enumerate(zip(ends, doc.tolist())):
+            x = data[at:end]
+            at = end
+            k = known.setdefault(x, len(low_doc))
+            if k == len(low_doc):
+                low_doc.append(d)
+            elif d < low_doc[k]:
+                low_doc[k] = d
+            own[i] = k
+        number.append(own)
+        docs.append(doc)
+        tids.append(tid)
+        places.append(place)
+    segments, low = list(known), np.array(low_doc, np.int64)
+    del known
+    count = np.array([len(x) for x in segments], np.int64) - LENGTH + 1
+    keys, merged = [], (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    for a, b in _pieces(segments):
+        data = np.frombuffer(b"".join(segments[a:b]), np.uint8)
+        n = count[a:b]
+        lens = n + LENGTH - 1
+        starts = np.arange(n.sum()) + np.repeat((np.cumsum(lens) - lens) - (np.cumsum(n) - n), n)
+        merged = merge(merged, piece_classes(data, starts, np.repeat(low[a:b], n)))
+        keys.append(hashes(data, LENGTH)[starts])
+    least = np.concatenate([merged[1][np.searchsorted(merged[0], k)] for k in keys])
+    begin = np.cumsum(count) - count
+    number, docs, tids, places = (np.concatenate(x) for x in (number, docs, tids, places))
     out = []
-    for key, doc, tid, place in pieces:
-        hit = merged[1][np.searchsorted(merged[0], key)] < doc
-        doc, tid, place = doc[hit], tid[hit], place[hit]
-        if len(doc):
-            by = np.lexsort((place, tid, doc))
-            doc, tid, place = doc[by], tid[by], place[by]
-            f = np.flatnonzero(np.r_[True, (np.diff(doc) != 0) | (np.diff(tid) != 0) | (np.diff(place) > 1)])
-            l = np.r_[f[1:] - 1, len(doc) - 1]
-            out.append((doc[f], tid[f], place[f], place[l]))
+    for at in range(0, len(number), 20_000):
+        k, doc, tid, place = (x[at : at + 20_000] for x in (number, docs, tids, places))
+        n = count[k]
+        offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        owner = np.repeat(np.arange(len(k)), n)
+        hit = np.flatnonzero(least[begin[k][owner] + offset] < doc[owner])
+        if len(hit):
+            f = np.flatnonzero(np.r_[True, (np.diff(hit) > 1) | (np.diff(owner[hit]) != 0)])
+            l = np.r_[f[1:] - 1, len(hit) - 1]
+            o = owner[hit[f]]
+            out.append((doc[o], tid[o], place[o] + offset[hit[f]], place[o] + offset[hit[l]]))
     return pa.table(_gone_rows(*(np.concatenate([x[i] for x in out]) if out else np.zeros(0, np.int64) for i in range(4))))
 
 
 # -- 4: texts
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, removed, spans, kept): first and last hold arrays of arrays of string places."""
+    """(digest, n_removed, n_spans, kept): first and last hold arrays of string places."""
     for batch in batches:
         rows, removed, spans, kept = [], [], [], []
         for row, text, first, last in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), batch.column(3)):
             raw = np.frombuffer(text.as_buffer() or b"", np.uint8)
-            f, l = (np.concatenate([np.asarray(x, np.int64) for x in y.as_py()] or [np.zeros(0, np.int64)]) for y in (first, last))
+            f, l = (y.values.to_numpy() for y in (first, last))
             edge = np.zeros(len(raw) + 1, np.int32)
             np.add.at(edge, f, 1)
             np.add.at(edge, l + LENGTH, -1)
