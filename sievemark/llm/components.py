@@ -11,21 +11,36 @@ from .common import written
 def components(links: DataFrame) -> DataFrame:
     """(key, component) of every key in links (a, b); a component's name is its smallest key.
 
-    Alternates the large-star and small-star steps until no link changes; each step is grouped and joined by key, and a
-    table is written after each round. Both steps only take minima, so a hub of many links needs no list of them.
+    Alternates the large-star and small-star steps until every key has one link, to a key without links of its own; each step is
+    grouped and joined by key, and a table is written after each round. Both steps only take minima, so a hub of many links needs no list of them.
     """
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    mark = lambda e: tuple(e.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first())
-    seen = mark(edges)
-    while seen[0]:
+    while not _stars(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.join(low, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         near = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         edges = written(near.where("u <> v").distinct(), "edges")
-        now = mark(edges)
-        if now == seen:
-            break
-        seen = now
     return edges.select(F.col("u").alias("key"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("key"), F.col("v").alias("component")).distinct())
+
+
+def absorbed(classes: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(key, component) after more links; only the classes that the new links touch are gone through again."""
+    if classes is None:
+        return written(components(links), "classes")
+    ends = links.select("a", "b")
+    for c in ("a", "b"):
+        ends = ends.join(classes.select(F.col("key").alias(c), F.col("component").alias(f"c{c}")), c, "left")
+    ends = written(ends.select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")), "ends")
+    new = components(ends.where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    both = ends.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    alone = both.join(classes, "key", "left_anti").select("key", F.col("key").alias("component"))
+    every = classes.unionByName(alone).join(new.select(F.col("key").alias("component"), F.col("component").alias("_to")), "component", "left")
+    return written(every.select("key", F.coalesce("_to", "component").alias("component")), "classes")
+
+
+def _stars(edges: DataFrame) -> bool:
+    ends = edges.select(F.col("u").alias("k"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("k"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    per = ends.groupBy("k").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return not per.where("up > 1 or (up = 1 and down = 1)").limit(1).count()

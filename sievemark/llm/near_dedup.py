@@ -8,7 +8,7 @@ that share a band are candidates, and a candidate counts only if its weighted Ja
 
 No bucket is expanded into all pairs. In each round the texts of a bucket are compared with a few pivots of it; links join texts into
 classes; then texts of one class need no comparing, and 1 - similarity being a metric, a text need not be compared with
-one that is known to be too near to or far from a common pivot. The rest of a bucket goes to the next round, which has four times as many pivots.
+one that is known to be too near to or far from a common pivot. The rest of a bucket goes to the next round, which has sixteen times as many pivots.
 
 Defined results: null text counts as empty; equal texts, empty ones too, are of one class; a text of fewer words is one shingle; null ids come after all
 others; an empty table gives an empty result; other columns are not read.
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents, text_of, written
-from .components import components
+from .components import absorbed
 from .shingles import Shingler
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -34,6 +34,8 @@ DEPTH, WIDTH_BITS = 3, 16
 CHUNK = 1 << 12
 STEPS = 8
 TABLE_BITS = 16
+KEPT = 192
+"""Weights whose tables a worker keeps; it changes speed only."""
 
 _U = np.uint64
 _ODD = np.random.default_rng(20_240_501).integers(0, 1 << 63, (DEPTH + SAMPLES + BANDS, 2), np.uint64) | _U(1)
@@ -66,12 +68,14 @@ class Idf:
     def __init__(self, counts: np.ndarray, n: int):
         self.counts, self.n = counts, max(n, 2)
         self.noise = counts.sum(1) / counts.shape[1]
+        # idf = 1 + log(n / df) / log(n), rounded to steps: df at which it falls by one step.
+        self.cuts = self.n ** ((np.arange(STEPS) + 0.5) / STEPS)
 
     def __call__(self, features: np.ndarray) -> np.ndarray:
         # What a cell holds beyond the mean cell is the feature's own frequency; the median over rows is taken.
-        df = np.median([self.counts[d][_cells(features, d, WIDTH_BITS)] - self.noise[d] for d in range(DEPTH)], axis=0)
-        idf = 1 + np.log(self.n / np.clip(df, 1, self.n)) / np.log(self.n)
-        return np.rint(STEPS * idf).astype(np.int64)
+        a, b, c = (self.counts[d][_cells(features, d, WIDTH_BITS)] - self.noise[d] for d in range(DEPTH))
+        df = np.maximum(np.minimum(a, b), np.minimum(np.maximum(a, b), c))
+        return 2 * STEPS - np.searchsorted(self.cuts, df)
 
 
 def corpus_idf(docs: DataFrame, text_col: str = "text") -> Idf:
@@ -85,40 +89,62 @@ def corpus_idf(docs: DataFrame, text_col: str = "text") -> Idf:
 
 class Sampler:
     """ICWS. The variates of a feature come from a table of 2^TABLE_BITS rows, by another hash for each sample; so the value to be minimised
-    depends only on the table row and the weight, and is kept for each weight that occurs."""
+    depends only on the table row and the weight, and is kept for each weight that occurs. One 64-bit hash gives the rows of four samples."""
 
     def __init__(self):
         rng, n = np.random.default_rng(7), 1 << TABLE_BITS
         self.r, self.log_c, self.beta = rng.gamma(2, 1, n), np.log(rng.gamma(2, 1, n)), rng.random(n)
-        self.levels: dict[int, int] = {}
-        self.values = np.zeros((0, n), np.float32)
-        self.steps = np.zeros((0, n), np.int32)
-
-    def level(self, weights: np.ndarray) -> np.ndarray:
-        """Place of each weight (in steps of 1/STEPS) in the kept tables."""
-        own, back = np.unique(weights, return_inverse=True)
-        if len(self.levels) + len(own) > 256:
-            self.levels, self.values, self.steps = {}, self.values[:0], self.steps[:0]
-        for w in own.tolist():
-            if w not in self.levels:
-                t = np.floor(np.log(w / STEPS) / self.r + self.beta)
-                a = self.log_c - self.r * (t - self.beta) - self.r
-                self.levels[w] = len(self.levels)
-                self.values, self.steps = np.vstack([self.values, a.astype(np.float32)]), np.vstack([self.steps, t.astype(np.int32)])
-        return np.array([self.levels[w] for w in own.tolist()])[back]
+        self.forget()
+
+    def forget(self) -> None:
+        n = 1 << TABLE_BITS
+        self.place = np.full(1 << 12, -1, np.int32)  # of each weight up to 4095 in the kept tables
+        self.values, self.steps, self.used = np.empty((KEPT, n), np.float32), np.empty((KEPT, n), np.int32), 0
+
+    def levels(self, weights: np.ndarray) -> np.ndarray:
+        """Place of each weight (in steps of 1/STEPS) in the kept tables. Weights over 4095 are rounded to two of their digits."""
+        big = weights >= 1 << 12
+        if big.any():
+            scale = 10.0 ** np.floor(np.log10(weights[big]) - 1)
+            weights = weights.astype(float)
+            weights[big] = np.rint(weights[big] / scale) * scale
+            own, back = np.unique(weights, return_inverse=True)
+            self.forget()
+            self.add(own)
+            return back.astype(np.int32)
+        at = self.place[weights]
+        if (at < 0).any():
+            new = np.unique(weights[at < 0])
+            if self.used + len(new) > KEPT:
+                self.forget()
+                new = np.unique(weights)
+            self.place[new] = self.used + np.arange(len(new))
+            self.add(new)
+            at = self.place[weights]
+        return at
+
+    def add(self, weights: np.ndarray) -> None:
+        t = np.floor(np.log(weights[:, None] / STEPS) / self.r + self.beta)
+        a = self.log_c - self.r * (t - self.beta) - self.r
+        if self.used + len(weights) > len(self.values):  # a text of very many different weights
+            self.values, self.steps = np.resize(self.values, (self.used + len(weights), len(self.r))), np.resize(self.steps, (self.used + len(weights), len(self.r)))
+        self.values[self.used : self.used + len(weights)], self.steps[self.used : self.used + len(weights)] = a, t
+        self.used += len(weights)
 
     def bands(self, features: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """BANDS hashes, each of ROWS samples (feature, step)."""
         best, out = np.full(SAMPLES, np.inf, np.float32), np.zeros(SAMPLES, np.uint64)
-        odd = _ODD[DEPTH : DEPTH + SAMPLES]
-        for at in range(0, len(features), 4096):
-            f = features[at : at + 4096]
-            level = self.level(weights[at : at + 4096])
-            cell = ((f[None] * odd[:, :1] + odd[:, 1:]) >> _U(64 - TABLE_BITS)).astype(np.int64)
-            cell += level << TABLE_BITS
-            value = self.values.ravel()[cell]
+        odd, every = _ODD[DEPTH : DEPTH + SAMPLES // 4], np.arange(SAMPLES)
+        level = self.levels(weights) << TABLE_BITS
+        for at in range(0, len(features), 2048):
+            f = features[at : at + 2048]
+            x = f[None] * odd[:, :1] + odd[:, 1:]
+            x ^= x >> _U(32)
+            x *= _U(0xD6E8FEB86659FD93)
+            x ^= x >> _U(29)
+            cell = x.view(np.uint16).reshape(len(odd), len(f), 4).transpose(0, 2, 1).reshape(SAMPLES, len(f)) + level[at : at + 2048]
+            value = self.values.ravel().take(cell)
             k = value.argmin(1)
-            every = np.arange(SAMPLES)
             low = value[every, k]
             step = self.steps.ravel()[cell[every, k]].astype(np.int64).astype(np.uint64)
             sample = (f[k] + step * _U(0x9E3779B97F4A7C15)) * _U(0xD6E8FEB86659FD93)
@@ -199,7 +225,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         ta, tb = whole.select(F.col("key").alias("a"), F.col("text").alias("ta")), whole.select(F.col("key").alias("b"), F.col("text").alias("tb"))
         return written(pairs.join(tb, "b").join(ta, "a").select("a", "b", "ta", "tb").mapInArrow(_compared(idf), "a long, b long, sim double"), "sims")
 
-    pivots, links, classes, budget = members.select("band", "pivot").distinct(), None, None, 1
+    pivots, classes, budget = members.select("band", "pivot").distinct(), None, 1
     while True:
         pairs = members.select("band", F.col("key")).join(pivots, "band").where("key <> pivot").select("band", F.col("pivot"), "key")
         if classes is not None:
@@ -207,20 +233,23 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             pairs = pairs.join(ca, "pivot", "left").join(cb, "key", "left").where("coalesce(ca, pivot) <> coalesce(cb, key)").drop("ca", "cb")
         pairs = written(pairs, "pairs")
         sims = compare(pairs.select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b")).distinct())
-        found = sims.where(F.col("sim") >= threshold).select("a", "b")
+        apart = F.col("sim") < threshold
+        some_apart, some_far = sims.agg(F.count_if(apart) > 0, F.count_if(apart & (F.col("sim") >= 2 * threshold - 1)) > 0).first()
+        found = sims.where(~apart).select("a", "b")
         valued = pairs.join(sims, (F.least("key", "pivot") == F.col("a")) & (F.greatest("key", "pivot") == F.col("b"))).select("band", "pivot", "key", "sim")
-        links = found if links is None else links.unionByName(found)
-        classes = written(components(links), "classes")
+        classes = absorbed(classes, found)
+        if not some_apart:  # each text of a bucket is linked to its pivot, or of its class
+            break
         # Texts near enough to a pivot's followers to be linked to one of them, though not to the pivot, nor yet of their class.
-        far = valued.where((F.col("sim") < threshold) & (F.col("sim") >= 2 * threshold - 1))
-        near = valued.where(F.col("sim") >= threshold).select("band", "pivot", F.col("key").alias("other"), F.col("sim").alias("other_sim"))
-        cross = far.join(near, ["band", "pivot"]).where(F.col("other_sim") <= F.col("sim") + (1 - threshold)).select("key", "other").distinct()
-        ca, cb = classes.select("key", F.col("component").alias("ca")), classes.select(F.col("key").alias("other"), F.col("component").alias("cb"))
-        cross = cross.join(ca, "key", "left").join(cb, "other", "left").where("coalesce(ca, key) <> coalesce(cb, other)")
-        more = compare(cross.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()).where(F.col("sim") >= threshold).select("a", "b")
-        if more.limit(1).count():
-            links = links.unionByName(more)
-            classes = written(components(links), "classes")
+        if some_far:
+            far = valued.where((F.col("sim") < threshold) & (F.col("sim") >= 2 * threshold - 1))
+            near = valued.where(F.col("sim") >= threshold).select("band", "pivot", F.col("key").alias("other"), F.col("sim").alias("other_sim"))
+            cross = far.join(near, ["band", "pivot"]).where(F.col("other_sim") <= F.col("sim") + (1 - threshold)).select("key", "other").distinct()
+            ca, cb = classes.select("key", F.col("component").alias("ca")), classes.select(F.col("key").alias("other"), F.col("component").alias("cb"))
+            cross = cross.join(ca, "key", "left").join(cb, "other", "left").where("coalesce(ca, key) <> coalesce(cb, other)")
+            more = compare(cross.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()).where(F.col("sim") >= threshold).select("a", "b")
+            if more.limit(1).count():
+                classes = absorbed(classes, more)
         # What is left of a bucket: texts that no pivot is linked to, while they are of several classes.
         done = valued.where(F.col("sim") >= threshold).select("band", "key").unionByName(pivots.select("band", F.col("pivot").alias("key")))
         left = members.select("band", "key").join(done.distinct(), ["band", "key"], "left_anti")
@@ -229,7 +258,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         members = written(left.join(some, "band").select("band", "key"), "members")
         if not members.limit(1).count():
             break
-        budget *= 4
+        budget *= 16
         pivots = members.withColumn("_n", F.row_number().over(Window.partitionBy("band").orderBy("key"))).where(F.col("_n") <= budget).select("band", F.col("key").alias("pivot"))
     named = texts.join(classes, "key", "left").withColumn("component", F.coalesce("component", "key"))
     named = written(named.select("digest", "doc_id", "key", "component"), "named")
