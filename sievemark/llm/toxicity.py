@@ -5,9 +5,10 @@ stretch it spans, so a gap or an inserted letter lowers the likeness a little in
 white-space token, punctuation left out (`i.d.i-o.t`), its beginnings of STEMS letters, and runs of single letters (`i d i o t`).
 
 Training sees labelled sentences: a bounded sample of SAMPLE documents of each label. Which string of a toxic document makes it
-toxic isn't labelled; a greedy cover finds the few strings that explain most toxic documents and hardly occur in others, and the sentences
-that hold them are the positive ones. All strings of clean documents are negative; twice, those that score highest are added.
-Landmarks are the covering strings and the strongest other candidates. The trained machine is linear in landmark
+toxic isn't labelled. Each string's documents of both labels are tested for a difference, at a share FDR of false discoveries; of those
+that pass, a greedy cover takes all that explain toxic documents beyond ten times their chance hits, and these strings
+are the positive ones, however few documents hold them. Strings of clean documents are negative; in each of ROUNDS rounds but the last, those that score
+highest are added. Landmarks are all covering strings, the strongest other candidates, and in each round as many of the clean strings mistaken for them. The trained machine is linear in landmark
 kernels; folded into one weight for each letter triple it scores a string exactly, without a landmark at hand.
 
 A document's decision value is that of its highest string, at least -1 (the machine's negative margin); a logistic fit on the
@@ -35,6 +36,9 @@ from .common import documents, text_of, written
 SAMPLE = 3000
 """Labelled documents of each label that training takes, about: those with the lowest hashes."""
 CANDIDATES, LANDMARKS, NEGATIVES, HARD = 400, 64, 4000, 400
+ROUNDS = 6
+FDR, LEAST = 0.05, 1.5
+"""Share of false discoveries among the strings that pass the test, and the documents that a string of the cover explains beyond chance hits, at any size of the sample."""
 DECAY, ORDER, LONGEST, STRIDE = 0.6, 3, 16, 8
 STEMS = range(4, 8)
 ACCENTED = "äöüßéèêàçñóíáúâîôûëï"
@@ -92,6 +96,8 @@ def norms(cells: np.ndarray, n: int) -> np.ndarray:
 
 def by_length(strings: list[str], stems: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(length, index of the string, letters): windows of at most LONGEST letters, and stems, grouped by length."""
+    if not strings:
+        return
     raw, starts, lens = codes_of(strings)
     index = np.arange(len(strings))
     long = lens > LONGEST
@@ -218,11 +224,28 @@ def fit_svm(x: np.ndarray, y: np.ndarray, c: np.ndarray) -> np.ndarray:
     return w
 
 
+def contrast(pos: int, neg: int, share: float) -> float:
+    """Log-likelihood ratio of pos toxic and neg clean documents against a share of toxic ones; 0 where there are not more toxic ones than that.
+    By Chernoff's bound, chance reaches it with a probability of at most exp(-contrast); exactly that where neg is 0."""
+    k = pos + neg
+    if pos <= share * k:
+        return 0.0
+    return pos * np.log(pos / (share * k)) + (neg * np.log(neg / ((1 - share) * k)) if neg else 0.0)
+
+
+def discoveries(counts: list[tuple[int, int, int]], share: float) -> list[tuple[int, int]]:
+    """The (pos, neg) that pass, of (pos, neg, strings): Benjamini and Hochberg's rule, with a rate of FDR."""
+    ranked = sorted(((contrast(p, n, share), p, n, k) for p, n, k in counts), reverse=True)
+    upto = np.cumsum([k for *_, k in ranked])
+    passed = [i for i, (g, *_) in enumerate(ranked) if g > 0 and np.exp(-g) <= FDR * upto[i] / upto[-1]]
+    return [(p, n) for _, p, n, _ in ranked[: passed[-1] + 1]] if passed else []
+
+
 def cover(docs: list[list[str]], rates: dict[str, float], least: float) -> list[str]:
     """Strings that explain toxic documents, greedily: a document counts half as much with each string it holds of those
     found so far, as insults come together. rates: how often each string occurs in clean documents."""
     weight, out = [1.0] * len(docs), []
-    while len(out) < LANDMARKS // 2:
+    while True:
         gain: dict[str, float] = {}
         for d, w in zip(docs, weight):
             for s in d:
@@ -237,7 +260,8 @@ def cover(docs: list[list[str]], rates: dict[str, float], least: float) -> list[
 
 
 def fit(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> dict | None:
-    """weights, bias, slope, offset; None without labels of both kinds. What comes to the driver is bounded by SAMPLE, CANDIDATES, NEGATIVES and HARD."""
+    """weights, bias, slope, offset; None without labels of both kinds. What comes to the driver is bounded by SAMPLE, CANDIDATES, NEGATIVES and HARD:
+    the strings that pass the test are strings of the sample."""
     rows = written(sample_rows(docs, labels, size), "toxic-sample")
     bags = written(rows.mapInArrow(_strings, "toxic int, strings array<string>"), "toxic-strings")
     n = {r[0]: r[1] for r in bags.groupBy("toxic").count().collect()}
@@ -246,19 +270,23 @@ def fit(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> dict | None:
     stats = written(bags.select("toxic", F.explode("strings").alias("s")).groupBy("s").agg(F.sum("toxic").alias("pos"), F.sum(1 - F.col("toxic")).alias("neg")), "toxic-stats")
     lift = F.col("pos") * F.log((F.col("pos") / n[1]) / ((F.col("neg") + 0.5) / n[0]))
     top = stats.where("pos >= 2").withColumn("lift", lift).where("lift > 0").orderBy(F.desc("lift"), "s").limit(CANDIDATES).collect()
-    rates = {r["s"]: r["neg"] / n[0] for r in top}
-    pos = {r["s"]: r["pos"] for r in top}
     if not top:
         return None
-    names = F.broadcast(docs.sparkSession.createDataFrame([(s,) for s in rates], "s string"))
+    some = stats.where("pos >= 2")
+    passed = discoveries([tuple(r) for r in some.groupBy("pos", "neg").count().collect()], n[1] / (n[0] + n[1]))
+    spark = docs.sparkSession
+    clear = some.join(F.broadcast(spark.createDataFrame(passed, "pos long, neg long")), ["pos", "neg"]).select("s", "pos", "neg").collect()
+    rates = {r["s"]: r["neg"] / n[0] for r in clear}
+    pos = {r["s"]: r["pos"] for r in [*top, *clear]}
+    names = F.broadcast(spark.createDataFrame([(s,) for s in rates], "s string"))
     found = bags.where("toxic = 1").withColumn("id", F.monotonically_increasing_id()).select("id", F.explode("strings").alias("s")).join(names, "s").groupBy("id").agg(F.collect_set("s").alias("s")).collect()
-    words = cover([r["s"] for r in found], rates, max(1.5, 0.02 * n[1])) or [top[0]["s"]]
+    words = cover([r["s"] for r in found], rates, LEAST) or [top[0]["s"]]
     usual = stats.where("neg > 0").orderBy(F.desc("neg"), "s").limit(NEGATIVES // 2).collect()
     other = stats.where("neg > 0").orderBy(F.xxhash64("s"), "s").limit(NEGATIVES // 2).collect()
     negative = {r["s"]: r["neg"] for r in [*usual, *other]}
-    marks = list(dict.fromkeys([*words, *[s for s in sorted(negative, key=negative.get)][: LANDMARKS // 4], *[r["s"] for r in top]]))[:LANDMARKS]
+    marks = list(dict.fromkeys([*words, *[s for s in sorted(negative, key=negative.get)][: LANDMARKS // 4], *[r["s"] for r in top]]))[: max(LANDMARKS, len(words) + LANDMARKS // 2)]
     model = None
-    for round_ in range(3):
+    for round_ in range(ROUNDS):
         base, cells = features(marks)
         values, vectors = np.linalg.eigh((base @ base.T).astype(np.float64))
         keep = values > 1e-6 * values[-1]
@@ -269,14 +297,17 @@ def fit(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> dict | None:
         x = [*seen, *near, *bad]
         y = np.r_[np.ones(len(seen) + len(near)), -np.ones(len(bad))]
         c = np.r_[[1 + np.log1p(v) for v in [*seen.values(), *near.values()]], [1.0 + v for v in bad.values()]]
-        phi = np.concatenate([features(x[i : i + 1000], cells)[0] @ base.T for i in range(0, len(x), 1000)]).astype(np.float64) @ white
+        step = max(1, 8_000_000 // len(cells))
+        phi = np.concatenate([features(x[i : i + step], cells)[0] @ base.T for i in range(0, len(x), step)]).astype(np.float64) @ white
         w = fit_svm(phi, y, 10 * c)
         folded = np.zeros(LETTERS**ORDER, np.float32)
         folded[cells] = (white @ w[:-1]) @ base
         model = {"weights": folded, "bias": float(w[-1])}
-        if round_ < 2:
+        if round_ < ROUNDS - 1:
             hard = stats.where("neg > 0").select("s", "neg").mapInArrow(_valued(model["weights"], model["bias"]), "s string, neg long, value double")
-            negative |= {r["s"]: r["neg"] for r in hard.orderBy(F.desc("value"), "s").limit(HARD).collect()}
+            hardest = hard.orderBy(F.desc("value"), "s").limit(HARD).collect()
+            negative |= {r["s"]: r["neg"] for r in hardest}
+            marks = list(dict.fromkeys([*marks, *[r["s"] for r in hardest if r["s"] not in seen and r["value"] > 0][: len(words)]]))
     got = rows.mapInArrow(_decide(model["weights"], model["bias"], ["toxic"]), "toxic int, value double").collect()
     v, t = np.array([r["value"] for r in got]), np.array([r["toxic"] for r in got], float)
     model["slope"], model["offset"] = platt(v, t)

@@ -1,6 +1,7 @@
 """The operators of the llm subpackage: edge cases, and brute force where SQL can't tell."""
 
 import base64
+import binascii
 import collections
 import hashlib
 import random
@@ -89,6 +90,29 @@ def test_toxicity_tolerates_gaps(spark):
     assert all(x.predicted for x in r)
 
 
+def test_toxicity_learns_rare_insults(spark):
+    """More kinds than 32, each in about 1% of the toxic documents."""
+    rng = random.Random(6)
+    kinds = ["".join(rng.choice("qwxzvj") + rng.choice("aeiou") for _ in range(4)) for _ in range(40)]
+    bad = [k for k in kinds for _ in range(8)] + ["vlorpat"] * 400
+    clean = [" ".join(r[1].split()[:29]) for r in toxic_rows(rng, 3000) if not r[5]]
+    rows = [(i, f"{clean[i]} {bad[i]}" if i < len(bad) else clean[i], "en", "s", 0) for i in range(len(clean))]
+    model = toxicity.fit(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([(r[0], int(r[0] < len(bad))) for r in rows], "doc_id long, toxic int"))
+    trained = collections.Counter(b for i, b in enumerate(bad) if binascii.crc32(str(i).encode()) % 5)
+    known = {k for k in kinds if trained[k] >= 5}
+    assert known <= set(model["words"]) and len(known) > 32
+    new = [(i, f"cdtike {k} abrana", "", "", 0) for i, k in enumerate(kinds)] + [(100 + i, t, "", "", 0) for i, t in enumerate(clean[:200])]
+    got = {r.doc_id: r.predicted for r in toxicity.score(spark.createDataFrame(new, SCHEMA), model).collect()}
+    assert sum(got[i] for i in range(40)) >= 38 and sum(v for i, v in got.items() if i >= 100) <= 2
+
+
+def test_discoveries_need_more_than_chance():
+    """One document more says nothing; the smallest passing count doesn't grow with the sample."""
+    counts = [(2, 8, 500), (2, 0, 50), (5, 0, 10), (40, 1, 3)]
+    assert set(toxicity.discoveries(counts, 0.1)) >= {(5, 0), (40, 1)} and (2, 8) not in toxicity.discoveries(counts, 0.1)
+    assert toxicity.discoveries([(2, 2, 9)], 0.5) == [] == toxicity.discoveries([], 0.5)
+
+
 def test_toxicity_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(5, 1), (7, 0), (7, 1)], "doc_id long, toxic int")
     for model in (toxicity.fit(odd, labels), None):
