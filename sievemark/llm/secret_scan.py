@@ -1,9 +1,13 @@
 """Secret scans: a random forest tells real findings from false ones; DataFrame functions and Spark ML only.
 
-Candidates are words with a value of at least LEAST characters that holds a digit. Features: the value's length, shares of digits, capitals and distinct
+Candidates are the value runs of words (letters, digits and + / _ @ . - between other characters), each with its key and its place in the word: all that hold
+a digit, all of at least LEAST characters, and shorter ones without a digit (passwords) where they are assigned by = or : or follow a word that announces a secret.
+Left out are short runs of letters that nothing assigns or announces, as all prose consists of them. Values with other signs in them (! # $) or with
+letters beyond ASCII are given as their runs; the password of an address (scheme://user:password@host) is a run of its own. Features: the value's length, shares of digits, capitals and distinct
 characters, changes between letters and digits, how much of it common words of the corpus cover (counted over all documents), the path, and
 the words around it. The forest learns from labelled findings, a bounded sample of them: labelled() gives those whose form settles
-what they are (key formats with a checkable shape, or addresses, numbers and mail); the forest sees no form, only features.
+what they are (key formats with a checkable shape, or addresses, numbers, mail, and words of letters that nothing assigns or announces); the forest sees no form,
+only features. No form settles what a short password is: labelled() has none, so they are found reliably only with labelled findings that hold some.
 
 Defined results: null and empty texts have no candidates; null paths count as empty; without labelled findings of both kinds all scores are 0;
 repeated rows give repeated findings; an empty table gives an empty result; other columns are not read. Values are given as SHA-256 only.
@@ -26,6 +30,8 @@ SAMPLE = 20_000
 TREES, DEPTH, SEED = 25, 6, 7
 # Words that announce a secret, and words of places where examples live.
 ANNOUNCING = "token|secret|key|password|passwd|pwd|api|auth|bearer|credential|private"
+ANNOUNCED = rf"(?i)({ANNOUNCING})s?[\"'`]?[=:]?$"
+RUN = "[+/_@.-]*[A-Za-z0-9][A-Za-z0-9+/_@.-]*"
 EXAMPLES = "test|example|sample|mock|fixture|dummy|doc"
 FEATURES = ("length", "digits", "capitals", "distinct", "changes", "dots", "signs", "coverage", "path_length", "path_example", "announced", "assigned", "quoted", "example_near", "number_next")
 
@@ -37,14 +43,19 @@ def common_words(docs: DataFrame, text_col: str = "text", n: int = COMMON) -> li
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
-    """(doc_id, path, position, word, before, before2, after, key, value) of every candidate."""
+    """(doc_id, path, position, word, before, before2, after, place, value, key) of every candidate."""
     words = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(path_col).cast("string"), F.lit("")).alias("path"), F.split(text_of(text_col), r"\s+").alias("words"))
-    long = lambda i: (F.length(F.get("words", i)) >= LEAST) & F.get("words", i).rlike("[0-9]")
-    hits = F.filter(F.sequence(F.lit(0), F.size("words") - 1), long)
     near = lambda i: F.coalesce(F.get("words", i), F.lit(""))
+    led = lambda before, before2: before.rlike("[=:]$") | before.rlike(ANNOUNCED) | (before.rlike("^([=:>-]+|is|was)$") & before2.rlike(ANNOUNCED))
+    worth = lambda i: near(i).rlike("[0-9=:]") | (F.length(near(i)) >= LEAST) | led(near(i - 1), near(i - 2))
+    hits = F.filter(F.sequence(F.lit(0), F.size("words") - 1), worth)
     each = words.select("doc_id", "path", F.explode(F.transform(hits, lambda i: F.struct(i.alias("position"), near(i).alias("word"), near(i - 1).alias("before"), near(i - 2).alias("before2"), near(i + 1).alias("after")))).alias("c")).select("doc_id", "path", "c.*")
-    value = F.regexp_extract("word", rf"([A-Za-z0-9+/_@.-]{{{LEAST},}})[^A-Za-z0-9]*$", 1)
-    return each.withColumn("key", F.regexp_extract("word", r"^[^A-Za-z]*([A-Za-z_]+)\s*[=:]", 1)).withColumn("value", value).where(F.col("value").rlike("[0-9]"))
+    each = each.withColumn("_plain", F.regexp_replace("word", "(://[^/@:]*:[^/@]*)@", "$1,"))
+    each = each.withColumns({"_runs": F.regexp_extract_all("_plain", F.lit(RUN), F.lit(0)), "_between": F.split("_plain", RUN)})
+    runs = each.select("*", F.posexplode("_runs").alias("place", "value")).withColumn("_assigned", F.get("_between", F.col("place")).rlike("[=:]"))
+    runs = runs.withColumn("key", F.when(F.col("_assigned") & (F.col("place") > 0), F.regexp_replace(F.get("_runs", F.col("place") - 1), "^[+/_@.-]+", "")).otherwise(""))
+    taken = F.col("value").rlike("[0-9]") | (F.length("value") >= LEAST) | F.col("_assigned") | ((F.col("place") == 0) & led(F.col("before"), F.col("before2")))
+    return runs.where(taken).drop("_plain", "_runs", "_between", "_assigned")
 
 
 def _coverage(value: Column, words: list[str]) -> Column:
@@ -75,6 +86,8 @@ def labelled(found: DataFrame) -> DataFrame:
     around = F.lower(F.concat_ws(" ", "key", "before", "before2"))
     secret = v.rlike("^AKIA[0-9A-Z]{16}$") | v.rlike("^gh[pousr]_[A-Za-z0-9]{36}$") | (v.rlike("^([0-9a-f]{16,64}|[A-Za-z0-9+/]{32,})$") & around.rlike(ANNOUNCING))
     other = v.rlike(r"^[0-9.+/-]+$") | v.rlike(r"^[^@]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+\.?$")
+    led = (F.col("key") != "") | F.col("before").rlike("[=:]$") | around.rlike(ANNOUNCING)
+    other = other | (v.rlike("^[A-Z]?[a-z]+$") & ~led)
     return found.withColumn("label", F.when(secret, 1.0).when(other, 0.0)).where("label is not null")
 
 
@@ -98,11 +111,11 @@ def score(found: DataFrame, model: RandomForestClassificationModel | None) -> Da
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source", findings: DataFrame | None = None) -> DataFrame:
-    """(doc_id, position, value_sha256, length, score, predicted) of every candidate; findings: labelled ones to learn from, else labelled()'s own."""
+    """(doc_id, position, place, value_sha256, length, score, predicted) of every candidate: position of its word, place in the word; findings: labelled ones to learn from, else labelled()'s own."""
     words = common_words(docs, text_col)
     found = written(featured(candidates(docs, id_col, text_col, path_col), words), "candidates")
     model = fit(labelled(found) if findings is None else featured(findings, words))
-    return score(found, model).select("doc_id", "position", F.sha2("value", 256).alias("value_sha256"), F.col("length").cast("long").alias("length"), "score", "predicted")
+    return score(found, model).select("doc_id", "position", "place", F.sha2("value", 256).alias("value_sha256"), F.col("length").cast("long").alias("length"), "score", "predicted")
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -326,6 +326,22 @@ def test_secrets(spark, odd, none):
     assert secret_scan.scan(odd).count() >= 0 and secret_scan.scan(none).count() == 0
 
 
+def test_secrets_anywhere_in_a_word(spark):
+    key, other = "AKIA" + "Q7" * 8, "ghp_" + "a1B2" * 9
+    hidden = [f'{{"aws":"{key}","env":"prod"}}', f"aws={key}&region=us", f"https://x/cb?token={other}&state=1", f'{{"a":"{key}","b":"{other}"}}', "password: hunter", "postgres://me:s3cret@db.example.com/x", "x qwertzuiopasdf y", "plain short words"]
+    wanted = [{("aws", key), ("env", "prod")}, {("aws", key), ("region", "us")}, {("token", other), ("state", "1")}, {("a", key), ("b", other)}, {("", "hunter")}, {("me", "s3cret")}, {("", "qwertzuiopasdf")}, set()]
+    found = collections.defaultdict(set)
+    for r in secret_scan.candidates(spark.createDataFrame([(i, t, "", "", 0) for i, t in enumerate(hidden)], SCHEMA)).collect():
+        found[r.doc_id].add((r.key, r.value))
+    assert all(w <= found[i] for i, w in enumerate(wanted)) and not found[7]
+    rng, known = random.Random(8), []
+    for i in range(200):
+        value = "".join(rng.choice("0123456789abcdef") for _ in range(40))
+        known.append((1000 + i, [f"alpha river token={value} beta", f"alpha 10.1.{i}.7 river beta", f"beta u{i}@mail.example.com alpha", f"{hidden[3]} river"][i % 4], "", "src/app.py", 0))
+    got = secret_scan.scan(spark.createDataFrame(known, SCHEMA)).where("doc_id % 4 = 3 and predicted = 1").select("doc_id", "value_sha256").collect()
+    assert collections.Counter(r.value_sha256 for r in got) == {hashlib.sha256(v.encode()).hexdigest(): 50 for v in (key, other)}
+
+
 # -- 7
 
 def test_chat_round_trip(spark):
