@@ -25,21 +25,6 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("key"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("key"), F.col("v").alias("component")).distinct())
 
 
-def absorbed(classes: DataFrame | None, links: DataFrame) -> DataFrame:
-    """(key, component) after more links; only the classes that the new links touch are gone through again."""
-    if classes is None:
-        return written(components(links), "classes")
-    ends = links.select("a", "b")
-    for c in ("a", "b"):
-        ends = ends.join(classes.select(F.col("key").alias(c), F.col("component").alias(f"c{c}")), c, "left")
-    ends = written(ends.select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")), "ends")
-    new = components(ends.where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-    both = ends.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    alone = both.join(classes, "key", "left_anti").select("key", F.col("key").alias("component"))
-    every = classes.unionByName(alone).join(new.select(F.col("key").alias("component"), F.col("component").alias("_to")), "component", "left")
-    return written(every.select("key", F.coalesce("_to", "component").alias("component")), "classes")
-
-
 def _stars(edges: DataFrame) -> bool:
     ends = edges.select(F.col("u").alias("k"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("k"), F.lit(0).alias("up"), F.lit(1).alias("down")))
     per = ends.groupBy("k").agg(F.sum("up").alias("up"), F.max("down").alias("down"))

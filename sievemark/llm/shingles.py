@@ -5,7 +5,9 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-KNOWN = 1_000_000
+KNOWN_CHARS = 8_000_000
+"""Characters of the words that are remembered."""
+LONG = 64
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -13,7 +15,7 @@ class Shingler:
     """Distinct shingles of `size` words of a text, with their counts. Remembers word hashes; that changes speed only."""
 
     def __init__(self, size: int = 5):
-        self.size, self.known = size, {}
+        self.size, self.known, self.chars = size, {}, 0
 
     def words(self, text: str) -> np.ndarray:
         words = text.split()
@@ -22,12 +24,18 @@ class Shingler:
             return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
         except KeyError:
             pass
-        if len(known) > KNOWN:
+        if self.chars > KNOWN_CHARS:
             known.clear()
+            self.chars = 0
+        own = {}
         for w in words:
-            if w not in known:
-                known[w] = xxhash.xxh64_intdigest(w)
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+            if w not in known and w not in own:
+                if len(w) > LONG:
+                    own[w] = xxhash.xxh64_intdigest(w)
+                else:
+                    known[w] = xxhash.xxh64_intdigest(w)
+                    self.chars += len(w)
+        return np.fromiter((known[w] if w in known else own[w] for w in words), np.uint64, len(words))
 
     def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """A text of fewer words is one shingle; a text without words has none."""

@@ -255,6 +255,47 @@ def test_near_classes_against_all_pairs(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values()))
 
 
+def test_near_classes_of_wide_buckets(spark, monkeypatch):
+    """Buckets of many small blocks: a group of near copies, some far from most others, and texts that share a passage."""
+    monkeypatch.setattr(near_dedup, "BLOCK_TEXTS", 6)
+    rng, rows = random.Random(5), []
+    base = prose(rng, 80).split()
+    for i in range(60):
+        t = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2, 3, 9])):
+            t[rng.randrange(len(t))] = f"edit{rng.randrange(10**6)}"
+        rows.append((i, " ".join(t)))
+    rows += [(100 + i, " ".join(base[:40]) + " " + prose(rng, 12, 10**6)) for i in range(30)]
+    got = {r.doc_id: r.class_id for r in near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_classes(rows) and 2 < len(set(got.values())) < 90
+
+
+def test_similarities_against_one_pair_at_a_time():
+    """Features of few and of many texts, with different weights."""
+    rng = np.random.default_rng(3)
+    base = np.unique(rng.integers(0, 1 << 62, 120, dtype=np.uint64))
+    texts = []
+    for i in range(70):
+        f = np.unique(np.r_[base[rng.random(len(base)) < 0.8], base[:9] + np.uint64(i // 5), rng.integers(0, 1 << 62, 7, dtype=np.uint64)])
+        texts.append((f, rng.integers(1, 60, len(f)).astype(np.uint32)))
+    got = near_dedup.similarities(texts)
+    for i in range(0, 70, 9):
+        for j in range(70):
+            assert got[i, j] == pytest.approx(near_dedup.weighted_jaccard(texts[i], texts[j]), abs=1e-9)
+
+
+def test_idf_depends_on_shares_only(spark):
+    """The same share of documents gives the same step at any size of the corpus; rare shingles all have the largest."""
+    steps = []
+    for n in (2000, 32000):
+        counts = np.full((near_dedup.DEPTH, 1 << near_dedup.WIDTH_BITS), n // 200, np.int64)
+        f = np.arange(1, 6, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        for d in range(near_dedup.DEPTH):
+            counts[d, near_dedup._cells(f, d, near_dedup.WIDTH_BITS)] += (n * np.array([1, 0.5, 0.1, 0.01, 0])).astype(int)
+        steps.append(near_dedup.Idf(counts, n)(f).tolist())
+    assert steps[0] == steps[1] == [8, 9, 11, 13, 16]
+
+
 def test_near_odd_rows(spark, odd, none):
     rows = near_dedup.near_groups(odd).collect()
     assert len(rows) == odd.count() and sum(r.kept for r in rows) == len({r.class_id for r in rows})
