@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors share: spark.checkpoint.dir.
 
-    Only where that is unset (a local session, as in tests) a temporary folder takes its place.
+    Where that is unset, a local session (as in tests) gets a temporary folder; on a cluster that would lose rows, so there is none.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -59,3 +61,10 @@ def running_sum(df: DataFrame, group: list[str], bucket: str, order: list[str],
 def text_of(col: str = "text") -> Column:
     """A text as string; null counts as empty."""
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
+
+
+def expanded(df: DataFrame, first: str, copies: str, out: str, step: int = 1 << 16) -> DataFrame:
+    """df with `copies` rows for each of its rows, numbered from `first` on in `out`; in two steps, so that no array holds more than `step` numbers."""
+    at = F.sequence(F.lit(0).cast("long"), F.floor((F.col(copies) - 1) / step))
+    upto = F.least(F.col("_step") * step + step, F.col(copies)) - 1
+    return df.where(F.col(copies) > 0).withColumn("_step", F.explode(at)).withColumn(out, F.explode(F.sequence(F.col(first) + F.col("_step") * step, F.col(first) + upto))).drop("_step")

@@ -4,6 +4,7 @@ Every source's documents are shuffled by hash into one stream of words, which is
 A van der Corput sequence gives the order of the mix: point n, the bit-reversed n, falls into one source's
 interval of the cumulative weights, and the r-th slot of a source takes the r-th block of its stream. The first 2^k points hold one
 point in each cell of width 2^-k, so a source gets its share of slots within one, and any prefix of the schedule is balanced too.
+Which words are taken, and when, follows from the slots: each document carries the first slot that takes words of it.
 
 Defined results: null text has size 0 and takes nothing; null source is a source of its own, last in order; repeated rows are
 documents of their own; an empty table, or one without words, takes nothing; other columns are not read.
@@ -16,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, running_sum, written
+from .common import documents, expanded, running_sum, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -94,7 +95,7 @@ def schedule(goals: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_words: int = BLOCK_WORDS) -> DataFrame:
-    """One row per row of docs: doc_id, source, size, source_size, target, taken."""
+    """One row per row of docs: doc_id, source, size, source_size, target, taken, first_slot (null where nothing is taken); in the order of first_slot the documents are mixed."""
     sizes = written(sized(docs, id_col, text_col, source_col), "sizes")
     goals = written(targets(sizes), "goals")
     slots = schedule(goals, block_words)
@@ -108,13 +109,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         .withColumn("_start", F.col("block") * block_words)
         .withColumn("_end", F.least(F.col("_start") + block_words, F.col("source_size"), F.round("target").cast("long") - F.col("epoch") * F.col("source_size")))
         .where("_end > _start")
-        .select(F.col("source").alias("_source"), F.col("block").alias("_block"), "_start", "_end")
+        .select(F.col("source").alias("_source"), F.col("block").alias("_block"), "_start", "_end", "slot")
     )
     order = F.xxhash64(F.lit("mix"), F.col("doc_id"), F.col("size"))
     stream = sizes.withColumn("_h", order).withColumn("_bucket", F.pmod(F.shiftright("_h", 20), F.lit(BUCKETS)))
     stream = stream.withColumn("_words", F.col("size") * F.col("copies"))
     stream = written(running_sum(stream, ["source"], "_bucket", ["_h", "doc_id", "size"], "_words", "_at"), "stream")
-    rows = stream.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).withColumn("_from", F.col("_at") + (F.col("_copy") - 1) * F.col("size"))
+    rows = expanded(stream.withColumn("_one", F.lit(1).cast("long")), "_one", "copies", "_copy").withColumn("_from", F.col("_at") + (F.col("_copy") - 1) * F.col("size"))
     pieces = (
         rows.where("size > 0")
         .withColumn("_to", F.col("_from") + F.col("size"))
@@ -126,30 +127,37 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     taken = (
         p.join(t, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_block") == F.col("_taken_block")), "left")
         .groupBy("source", "doc_id", "size", "_copy")
-        .agg(F.sum(F.coalesce(got, F.lit(0))).alias("taken"))
-        .select("source", "doc_id", "size", "taken")
+        .agg(F.sum(F.coalesce(got, F.lit(0))).alias("taken"), F.min(F.when(got > 0, F.col("slot"))).alias("first_slot"))
+        .select("source", "doc_id", "size", "taken", "first_slot")
     )
-    empty = rows.where("size = 0").select("source", "doc_id", "size", F.lit(0).cast("long").alias("taken"))
+    empty = rows.where("size = 0").select("source", "doc_id", "size", F.lit(0).cast("long").alias("taken"), F.lit(None).cast("long").alias("first_slot"))
     return taken.unionByName(empty).join(g, F.col("source").eqNullSafe(F.col("_source"))).select(
-        "doc_id", "source", "size", "source_size", "target", F.col("taken").cast("long").alias("taken")
+        "doc_id", "source", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"), "first_slot"
     )
 
 
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "source")
+    return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "source", "first_slot")
 
 
 def repeat_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The rows of docs as often as the mix takes them, all columns as they are.
 
-    A document that the mix cuts counts as whole from half its words on. Rows that are alike in id, source and size are
-    numbered on both sides, so that repeated rows meet one another once each. Documents without words are left out.
+    A document that the mix cuts counts as whole from half its words on; a source of which words are taken, but of no document half, gives the one that
+    most are taken of. Documents without words stay as they are. Rows that are alike in id, source and size are
+    numbered on both sides, so that repeated rows meet one another once each.
     """
     cols, keys = docs.columns, ["__doc", "__source", "__size"]
     number = F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(1)))
-    taken = mix(docs, id_col, text_col, source_col).where("size > 0")
+    taken = written(mix(docs, id_col, text_col, source_col), "taken")
+    most = F.max_by(F.struct("doc_id", "size"), F.struct("taken", "size", F.col("doc_id").cast("string")))
+    bare = taken.where("taken > 0").groupBy("source").agg(F.max(F.col("taken") / F.col("size")).alias("share"), most.alias("most")).where("share < 0.5")  # a row a source at most
+    bare = bare.select(F.col("source").alias("_bare"), F.col("most.doc_id").alias("_id"), F.col("most.size").alias("_size"))
+    same = F.col("source").eqNullSafe(F.col("_bare")) & F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("size") == F.col("_size"))
+    times = F.when(F.col("size") == 0, 1).when(F.col("_size").isNotNull() & (F.col("taken") > 0), 1).otherwise(F.round(F.col("taken") / F.col("size"))).cast("int")
+    taken = taken.join(bare, same, "left").withColumn("_times", times)
     taken = taken.select(
-        F.col("doc_id").alias("__doc"), F.col("source").alias("__source"), F.col("size").alias("__size"), F.round(F.col("taken") / F.col("size")).cast("int").alias("__times")
+        F.col("doc_id").alias("__doc"), F.col("source").alias("__source"), F.col("size").alias("__size"), F.col("_times").alias("__times")
     ).withColumn("__n", number)
     taken = taken.where("__times > 0").select(*[F.col(k).alias(f"{k}2") for k in [*keys, "__n"]], "__times")
     rows = docs.withColumns({"__doc": F.col(id_col), "__source": F.col(source_col).cast("string"), "__size": word_count(F.col(text_col))}).withColumn("__n", number)

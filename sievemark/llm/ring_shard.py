@@ -1,14 +1,15 @@
 """Sharding by a consistent-hash ring with virtual nodes and bounded loads.
 
-Every shard has `vnodes` points on a ring of 2^63 places; a key belongs to the arc that ends at the next point
-clockwise. A shard takes at most its capacity: n // shards keys, and one more for the first n % shards of them. Each shard
-fills from its own arcs first, in ring order; keys that overflow it go on clockwise to the first shard with room. As the
-capacities sum to n, shard counts end at most one apart (law `rows`), and most keys stay where a plain ring puts them.
+Every shard has `vnodes` points on a ring of 2^62 places; a text belongs to the arc that ends at the next point
+clockwise, so rows of equal texts share a place. A shard takes at most its capacity: n // shards rows, and one more for the first n % shards of them. Each shard
+fills from its own arcs first, in ring order; rows that overflow it go on clockwise to the first shard with room. As the
+capacities sum to n, shard counts end at most one apart (law `rows`), and most rows stay where a plain ring puts them.
 
-Keys of one arc take the same way, so only arcs are followed one by one: shards * vnodes rows, however large the table.
-Each arc's way is a list of (shard, count); a key's rank within its arc picks the shard and the slot.
+Rows of one arc take the same way, so only arcs are followed one by one: shards * vnodes rows, however large the table.
+Each arc's way is a list of (shard, count); a row's rank within its arc picks the shard and the slot. Equal texts have neighbouring ranks, so
+they are parted only where an entry of a way ends: at most one group for each entry, and there are at most shards + arcs entries.
 
-Defined results: a null text has size 16; null ids share one place on the ring; repeated rows are counted, then
+Defined results: a null text counts as empty, of size 16; ids don't matter for the place; repeated rows are counted, then
 numbered one after another; an empty table gives an empty result; other columns are not read.
 """
 
@@ -16,13 +17,15 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, text_of, written
+from .common import documents, expanded, running_sum, text_of, written
 
 SHARDS, VNODES = 40, 128
 RING_BITS, CELL_BITS = 62, 12
+PARTS = 256
+"""Parts into which the rows of one text are dealt by id, so that a text of very many copies is ranked by many tasks."""
 
 
 def ring(shards: int, vnodes: int = VNODES) -> list[tuple[int, int]]:
@@ -75,6 +78,7 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         F.col(id_col).alias("doc_id"),
         (F.octet_length(text) + 16).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"),
+        F.shiftrightunsigned(F.xxhash64(text), 64 - RING_BITS).alias("place"),
     )
 
 
@@ -87,12 +91,10 @@ def assign(docs: DataFrame, shards: int = SHARDS, vnodes: int = VNODES, id_col:
     edges = [(a, points[a - 1][0] + 1 if a else 0, p) for a, (p, _) in enumerate(points)] + [(0, points[-1][0] + 1, (1 << RING_BITS) - 1)]
     cells = [(c, a, lo, hi) for a, lo, hi in edges for c in range(lo // width, hi // width + 1) if lo <= hi]
     arcs = F.broadcast(spark.createDataFrame(cells, "cell long, arc int, lo long, hi long"))  # shards * vnodes + 2^CELL_BITS rows
-    place = F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 64 - RING_BITS)
     rows = (
         keyed(docs, id_col, text_col)
-        .groupBy("doc_id", "size", "text_crc32")
-        .agg(F.count(F.lit(1)).alias("copies"))  # a key of very many rows comes as few
-        .withColumn("place", place)
+        .groupBy("doc_id", "size", "text_crc32", "place")
+        .agg(F.count(F.lit(1)).alias("copies"))  # repeated rows come as one
         .withColumn("cell", F.shiftrightunsigned("place", RING_BITS - CELL_BITS))
         .join(arcs, "cell")
         .where("place >= lo and place <= hi")
@@ -107,9 +109,10 @@ def assign(docs: DataFrame, shards: int = SHARDS, vnodes: int = VNODES, id_col:
     # The walk fills at least one shard or ends one arc with each entry: at most shards + arcs entries.
     to = F.broadcast(spark.createDataFrame(moved, "arc int, first long, last long, shard int, slot0 long"))
     homes = F.broadcast(spark.createDataFrame(home, "arc int, home int"))
-    order = Window.partitionBy("arc").orderBy("place", "doc_id", "size", "text_crc32").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = rows.withColumn("before", F.coalesce(F.sum("copies").over(order), F.lit(0)))
-    each = ranked.withColumn("rank", F.explode(F.sequence(F.col("before"), F.col("before") + F.col("copies") - 1)))
+    hexed = lambda c, n: F.lpad(F.hex(c), n, "0")
+    ranked = rows.withColumn("part", F.concat(hexed(F.col("place"), 16), hexed(F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)), 2)))
+    ranked = running_sum(ranked, ["arc"], "part", ["size", "text_crc32", "doc_id"], "copies", "before")
+    each = expanded(ranked, "before", "copies", "rank")
     return (
         each.join(to, "arc")
         .where("rank >= first and rank <= last")

@@ -33,7 +33,8 @@ ANCHORS = frozenset(
     "el los las y del se por con una su para al lo como mas o".split()
 )
 CHAIN = 2
-KNOWN = 1_000_000
+KNOWN_CHARS = 8_000_000
+"""Characters of the words that a worker remembers; it changes speed only."""
 THRESHOLD = 0.8
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
@@ -44,6 +45,7 @@ class Spots:
 
     def __init__(self):
         self.known: dict[str, int] = {}
+        self.chars = 0
 
     def _code(self, token: str) -> int:
         """0 for a token without letters or digits; else its hash, odd for anchors, even for content words."""
@@ -53,11 +55,13 @@ class Spots:
     def __call__(self, text: str) -> np.ndarray:
         """Sorted distinct 32-bit signatures."""
         tokens, known = text.lower().split(), self.known
-        if len(known) > KNOWN:
+        if self.chars > KNOWN_CHARS:
             known.clear()
+            self.chars = 0
         for t in {*tokens}:
             if t not in known:
                 known[t] = self._code(t)
+                self.chars += len(t)
         code = np.fromiter(map(known.__getitem__, tokens), np.uint64, len(tokens))
         code = code[code != 0]
         anchor = (code & np.uint64(1)).astype(bool)
@@ -94,32 +98,43 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-ROWS_A_PART, MOST_PARTS = 2000, 2048
+SMALL_PART, LARGE_PART = 4 << 20, 256 << 20
+"""Bytes of a range of ids: small ones as long as there are PARTS of them at most, beyond that larger ones, and then as many as it takes."""
+PARTS = 2048
 
 
 def in_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(part, tail, doc_id, text): ranges of ids, sorted by descending id within each, and after each the first row of the next one (tail).
 
-    Texts are shuffled once; only the ranges' first rows, at most MOST_PARTS, go to two places.
+    Texts are shuffled once; only the ranges' first rows go to two places. Null ids come last, in ranges of the first bytes of their texts.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    n = rows.count()
-    parts = min(MOST_PARTS, n // ROWS_A_PART + 1)
-    bounds = sorted(set(rows.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.1 / parts))) if parts > 1 else []
-    edge = np.array(bounds, float)
+    begin = F.coalesce(F.conv(F.hex(F.substring(F.col("text").cast("binary"), 1, 6)), 16, 10).cast("double"), F.lit(0.0)) * F.pow(F.lit(256.0), 6 - F.least(F.octet_length("text"), F.lit(6)))
+    rows = rows.withColumn("begin", F.when(F.col("doc_id").isNull(), begin))
+    size = F.octet_length("text").cast("long")
+    total, nulls = rows.agg(F.coalesce(F.sum(size), F.lit(0)), F.coalesce(F.sum(F.when(F.col("doc_id").isNull(), size)), F.lit(0))).first()
+
+    def edges(column: str, size: int) -> np.ndarray:
+        parts = max(min(PARTS, size // SMALL_PART), size // LARGE_PART) + 1
+        return np.array(sorted(set(rows.approxQuantile(column, [i / parts for i in range(1, parts)], 0.1 / parts))) if parts > 1 else [], float)
+
+    edge, null_edge = edges("doc_id", total), edges("begin", nulls)
+    parts = len(edge) + 1 + (len(null_edge) + 1 if nulls else 0)
 
     @F.pandas_udf("int")
-    def part_of(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.where(ids.isna(), -1, np.searchsorted(edge, ids.fillna(0).astype(float), side="right")))
+    def part_of(ids: pd.Series, begin: pd.Series) -> pd.Series:
+        # In ascending order of part, rows come in ascending order; null ids have the parts below 0.
+        null = np.searchsorted(null_edge, begin.fillna(0).astype(float), side="right") - len(null_edge) - 1
+        return pd.Series(np.where(ids.isna(), null, np.searchsorted(edge, ids.fillna(0).astype(float), side="right")))
 
-    rows = rows.withColumn("part", part_of("doc_id"))
+    rows = rows.withColumn("part", part_of("doc_id", "begin")).drop("begin")
     heads = rows.groupBy("part").agg(F.max(F.struct(F.col("doc_id").isNotNull().alias("some"), "doc_id", "text")).alias("h"))
     heads = written(heads, "heads")
-    by = Window.orderBy("part")  # over at most MOST_PARTS rows
+    by = Window.orderBy("part")  # over one row for each range
     to = F.coalesce(F.lead("part").over(by), F.first("part").over(by))
     tails = heads.select(to.alias("part"), F.lit(1).alias("tail"), F.col("h.doc_id").alias("doc_id"), F.col("h.text").alias("text"))
     every = rows.select("part", F.lit(0).alias("tail"), "doc_id", "text").unionByName(tails)
-    return every.repartition(max(1, parts), "part").sortWithinPartitions("part", "tail", F.desc_nulls_last("doc_id"), F.desc("text"))
+    return every.repartition(parts, "part").sortWithinPartitions("part", "tail", F.desc_nulls_last("doc_id"), F.desc("text"))
 
 
 def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,8 +175,8 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def near_pairs(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(members, links): (doc_id, rep) of every document, rep being the smallest id of those with its fingerprint; and (a, b, likeness) of all
-    pairs of reps at least `threshold` alike.
+    """(members, links): (doc_id, rep, f) of every document, f naming its fingerprint and rep being the smallest id of those that have it; and (a, b, fa, fb, likeness) of
+    all pairs of reps at least `threshold` alike.
 
     A set of n signatures shares one of its n - ceil(threshold * n) + 1 rarest with every set that alike. Sets lie in partitions of
     lengths threshold^-p to threshold^-(p+1), and meet in their own partition or the next.
@@ -170,23 +185,23 @@ def near_pairs(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc
     signed = written(rows.mapInArrow(_signed, "doc_id long, spots array<long>"), "spots")
     named = signed.withColumn("f", F.sha2(F.array_join("spots", ","), 256))
     reps = written(named.groupBy("f").agg(F.min("doc_id").alias("rep"), F.first("spots").alias("spots")), "reps")
-    each = reps.select("rep", F.size("spots").alias("n"), F.explode("spots").alias("s"))
+    each = reps.select("f", F.size("spots").alias("n"), F.explode("spots").alias("s"))
     df = each.groupBy("s").agg(F.count(F.lit(1)).alias("df")).where("df > 1")  # others can't be shared
-    rarest = each.join(df, "s").withColumn("k", F.row_number().over(Window.partitionBy("rep").orderBy("df", "s")))
+    rarest = each.join(df, "s").withColumn("k", F.row_number().over(Window.partitionBy("f").orderBy("df", "s")))
     # Signatures without a partner are the rarest of all: they use up places.
-    alone = each.join(df, "s", "left_anti").groupBy("rep").agg(F.count(F.lit(1)).alias("alone"))
-    prefix = rarest.join(alone, "rep", "left").where(F.col("k") + F.coalesce("alone", F.lit(0)) <= F.col("n") - F.ceil(F.col("n") * threshold) + 1)
+    alone = each.join(df, "s", "left_anti").groupBy("f").agg(F.count(F.lit(1)).alias("alone"))
+    prefix = rarest.join(alone, "f", "left").where(F.col("k") + F.coalesce("alone", F.lit(0)) <= F.col("n") - F.ceil(F.col("n") * threshold) + 1)
     part = F.floor(F.log("n") / -math.log(threshold)).cast("int")
-    prefix = written(prefix.select("rep", "n", "s", part.alias("p")), "prefixes")
-    left = prefix.select(F.col("rep").alias("a"), F.col("n").alias("na"), "s", F.explode(F.array("p", F.col("p") + 1)).alias("p"))
-    right = prefix.select(F.col("rep").alias("b"), F.col("n").alias("nb"), "s", "p")
-    met = left.join(right, ["s", "p"]).where((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))).where(F.col("na") >= F.col("nb") * threshold)
-    met = met.select("a", "b").distinct()
-    x = reps.select(F.col("rep").alias("a"), F.col("spots").alias("x"))
-    y = reps.select(F.col("rep").alias("b"), F.col("spots").alias("y"))
+    prefix = written(prefix.select("f", "n", "s", part.alias("p")), "prefixes")
+    left = prefix.select(F.col("f").alias("fa"), F.col("n").alias("na"), "s", F.explode(F.array("p", F.col("p") + 1)).alias("p"))
+    right = prefix.select(F.col("f").alias("fb"), F.col("n").alias("nb"), "s", "p")
+    met = left.join(right, ["s", "p"]).where((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("fa") < F.col("fb")))).where(F.col("na") >= F.col("nb") * threshold)
+    met = met.select("fa", "fb").distinct()
+    x = reps.select(F.col("f").alias("fa"), F.col("rep").alias("a"), F.col("spots").alias("x"))
+    y = reps.select(F.col("f").alias("fb"), F.col("rep").alias("b"), F.col("spots").alias("y"))
     shared = F.size(F.array_intersect("x", "y"))
-    links = met.join(x, "a").join(y, "b").select("a", "b", (shared / (F.size("x") + F.size("y") - shared)).alias("likeness")).where(F.col("likeness") >= threshold)
-    return named.join(reps.select("f", "rep"), "f").select("doc_id", "rep"), links
+    links = met.join(x, "fa").join(y, "fb").select("a", "b", "fa", "fb", (shared / (F.size("x") + F.size("y") - shared)).alias("likeness")).where(F.col("likeness") >= threshold)
+    return named.join(reps.select("f", "rep"), "f").select("doc_id", "rep", "f"), links
 
 
 def op8_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:

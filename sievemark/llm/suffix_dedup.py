@@ -5,8 +5,9 @@
 2. Shards. Stretches of text whose strings have a shared owner go to a shard by that owner, so equal strings meet in one. Owners of very many stretches
    are split further by the hash of the string itself. Equal stretches are settled where they are read: only that of the smallest id goes on.
 3. Each shard is cut into pieces of at most PIECE bytes. A piece gets a suffix array by Larsson-Sadakane refinement and common
-   prefixes by Kasai's rule; runs of neighbours with at least LENGTH common bytes are the equal strings of a piece. Sorted lists of strings (by 64-bit hash)
-   and their smallest ids are merged across pieces by binary search, and each string asks the merged list for the smallest id.
+   prefixes by Kasai's rule; runs of neighbours with at least LENGTH common bytes are the equal strings of a piece, already in the order of their bytes. The lists of
+   pieces are merged by binary search, comparing bytes, and each string has the smallest id of its place in the merged list. Hashes only choose what meets
+   where: no byte is removed because two hashes agree.
 4. Removed stretches are gathered by document, united, and cut out.
 
 Copies of a whole text need no stretches: one that is not of the smallest id among its copies loses all its bytes, if it has LENGTH.
@@ -146,28 +147,69 @@ def common_prefixes(data: np.ndarray, order: np.ndarray) -> np.ndarray:
     return plcp[order]
 
 
-def piece_classes(data: np.ndarray, starts: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, smallest ids) of the distinct strings at `starts`, sorted by hash; docs: the id of each start."""
+def piece_classes(data: np.ndarray, starts: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the distinct strings at `starts`, in the order of their bytes: a place of each, and the smallest id in docs (an id for each start); and for each start, which one it is."""
     order = suffix_array(data)
     group = np.empty(len(data), np.int64)
     group[order] = np.cumsum(common_prefixes(data, order) < LENGTH)
     own = group[starts]
-    by = np.lexsort((docs, own))
-    first = np.flatnonzero(np.r_[True, np.diff(own[by]) != 0]) if len(by) else by
-    key, low = hashes(data, LENGTH)[starts[by[first]]], docs[by[first]]
-    by = np.argsort(key)
-    return key[by], low[by]
-
-
-def merge(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Two sorted lists of (hash, smallest id) as one: binary search finds b's strings in a, the others go in where they belong."""
-    if not len(a[0]):
-        return b
-    at = np.searchsorted(a[0], b[0])
-    hit = a[0][np.minimum(at, len(a[0]) - 1)] == b[0]
-    low = a[1].copy()
-    np.minimum.at(low, at[hit], b[1][hit])
-    return np.insert(a[0], at[~hit], b[0][~hit]), np.insert(low, at[~hit], b[1][~hit])
+    low, at = np.full(len(data) + 1, LAST), np.zeros(len(data) + 1, np.int64)
+    np.minimum.at(low, own, docs)
+    at[own] = starts
+    there = np.zeros(len(data) + 1, bool)
+    there[own] = True
+    some = np.flatnonzero(there)
+    return at[some], low[some], (np.cumsum(there) - 1)[own]
+
+
+class Merged:
+    """Strings of several pieces in the order of their bytes, each by a place in the data, with its smallest id."""
+
+    def __init__(self, data: bytes):
+        self.words = np.ndarray(len(data), ">u8", data + bytes(64), strides=(1,))  # eight bytes from each place on
+        self.at, self.low, self.pieces = np.zeros(0, np.int64), np.zeros(0, np.int64), []
+
+    def word(self, places: np.ndarray, k: int) -> np.ndarray:
+        w = self.words[places + 8 * k].astype(np.uint64)
+        return w >> _U(64 - 8 * (LENGTH - 8 * k)) if LENGTH - 8 * k < 8 else w
+
+    def compare(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """-1, 0 or 1 for each pair of places, by all LENGTH bytes."""
+        out, live = np.zeros(len(x), np.int8), np.arange(len(x))
+        for k in range(-(-LENGTH // 8)):
+            a, b = self.word(x[live], k), self.word(y[live], k)
+            out[live] = np.where(a < b, -1, a > b)
+            live = live[a == b]
+            if not len(live):
+                break
+        return out
+
+    def add(self, at: np.ndarray, low: np.ndarray) -> None:
+        """Another piece's list. Binary search finds its strings here; the others go in where they belong."""
+        first = self.word(self.at, 0)
+        own = self.word(at, 0)
+        lo, hi = np.searchsorted(first, own, "left"), np.searchsorted(first, own, "right")
+        live = np.flatnonzero(lo < hi)
+        while len(live):
+            mid = (lo[live] + hi[live]) // 2
+            less = self.compare(self.at[mid], at[live]) < 0
+            lo[live] = np.where(less, mid + 1, lo[live])
+            hi[live] = np.where(less, hi[live], mid)
+            live = live[lo[live] < hi[live]]
+        hit = np.zeros(len(at), bool)
+        near = np.flatnonzero(lo < len(self.at))
+        hit[near] = self.compare(self.at[lo[near]], at[near]) == 0
+        np.minimum.at(self.low, lo[hit], low[hit])
+        new = ~hit
+        shift = np.cumsum(np.bincount(lo[new], minlength=len(self.at) + 1))  # strings that go in before each place
+        self.pieces = [x + shift[x] for x in self.pieces]
+        # Of the new ones before this one, all go in at its place or before.
+        self.pieces.append(np.where(hit, lo + shift[lo], lo + np.cumsum(new) - new))
+        self.at, self.low = np.insert(self.at, lo[new], at[new]), np.insert(self.low, lo[new], low[new])
+
+    def least(self, piece: int) -> np.ndarray:
+        """Smallest ids of the strings of a piece."""
+        return self.low[self.pieces[piece]]
 
 
 # -- 1: fingerprints
@@ -356,15 +398,18 @@ def _decide(group: pa.Table) -> pa.Table:
     segments, low = list(known), np.array(low_doc, np.int64)
     del known
     count = np.array([len(x) for x in segments], np.int64) - LENGTH + 1
-    keys, merged = [], (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    whole = b"".join(segments)
+    merged, each, base = Merged(whole), [], 0
     for a, b in _pieces(segments):
-        data = np.frombuffer(b"".join(segments[a:b]), np.uint8)
         n = count[a:b]
         lens = n + LENGTH - 1
+        data = np.frombuffer(whole, np.uint8, int(lens.sum()), base)
         starts = np.arange(n.sum()) + np.repeat((np.cumsum(lens) - lens) - (np.cumsum(n) - n), n)
-        merged = merge(merged, piece_classes(data, starts, np.repeat(low[a:b], n)))
-        keys.append(hashes(data, LENGTH)[starts])
-    least = np.concatenate([merged[1][np.searchsorted(merged[0], k)] for k in keys])
+        at, own_low, which = piece_classes(data, starts, np.repeat(low[a:b], n))
+        merged.add(at + base, own_low)
+        each.append(which)
+        base += len(data)
+    least = np.concatenate([merged.least(i)[which] for i, which in enumerate(each)])
     begin = np.cumsum(count) - count
     number, docs, tids, places = (np.concatenate(x) for x in (number, docs, tids, places))
     out = []

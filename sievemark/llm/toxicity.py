@@ -42,18 +42,20 @@ FDR, LEAST = 0.05, 1.5
 DECAY, ORDER, LONGEST, STRIDE = 0.6, 3, 16, 8
 STEMS = range(4, 8)
 ACCENTED = "äöüßéèêàçñóíáúâîôûëï"
-LETTERS = 26 + len(ACCENTED) + 1
-"""a to z, the accented, and one for every other letter or digit."""
+OTHERS = 16
+LETTERS = 26 + len(ACCENTED) + OTHERS + 1
+"""a to z, the accented, OTHERS symbols that letters beyond Latin-1 share by code point, and one for every other letter or digit."""
 FLOOR = -1.0
-CACHE = 600_000
-"""Tokens whose value a worker remembers; beyond it the memory is emptied. It changes speed only."""
+CACHE_CHARS = 8_000_000
+"""Characters of the tokens whose value a worker remembers; beyond it the memory is emptied. It changes speed only."""
 
 DROP, SEP = 255, 254
-codecs.register_error("sievemark_other", lambda e: ("".join("\xff" if c.isalnum() else " " for c in e.object[e.start : e.end]), e.end))
+codecs.register_error("sievemark_other", lambda e: ("".join(chr(128 + ord(c) % OTHERS) if c.isalnum() else " " for c in e.object[e.start : e.end]), e.end))
 _CODE = np.full(256, DROP, np.uint8)
 _CODE[[i for i in range(128, 256) if chr(i).isalnum()] + list(range(48, 58))] = LETTERS - 1
 _CODE[97:123] = np.arange(26)
 _CODE[[ord(c) for c in ACCENTED]] = np.arange(26, 26 + len(ACCENTED))
+_CODE[128 : 128 + OTHERS] = np.arange(26 + len(ACCENTED), LETTERS - 1)
 _CODE[10] = SEP
 SINGLES = re.compile(r"(?<!\S)\S(?:\s+\S(?!\S)){2,}")
 
@@ -94,6 +96,11 @@ def norms(cells: np.ndarray, n: int) -> np.ndarray:
     return np.sqrt(np.where(last, (upto - before) ** 2, 0).sum(1))
 
 
+def window_starts(n: int) -> list[int]:
+    """Where the windows of a string of n letters start: one, if it has LONGEST at most."""
+    return sorted({*range(0, n - LONGEST, STRIDE), max(0, n - LONGEST)})
+
+
 def by_length(strings: list[str], stems: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(length, index of the string, letters): windows of at most LONGEST letters, and stems, grouped by length."""
     if not strings:
@@ -102,7 +109,7 @@ def by_length(strings: list[str], stems: bool) -> Iterator[tuple[int, np.ndarray
     index = np.arange(len(strings))
     long = lens > LONGEST
     if long.any():
-        parts = [(i, s + k) for i, s, n in zip(index[long], starts[long], lens[long]) for k in sorted({*range(0, n - LONGEST, STRIDE), n - LONGEST})]
+        parts = [(i, s + k) for i, s, n in zip(index[long], starts[long], lens[long]) for k in window_starts(n)]
         index = np.r_[index[~long], [i for i, _ in parts]].astype(np.int64)
         starts = np.r_[starts[~long], [s for _, s in parts]].astype(np.int64)
         lens = np.r_[lens[~long], np.full(len(parts), LONGEST)]
@@ -136,7 +143,7 @@ class Machine:
     """Decision values of strings from one weight per letter triple; remembers tokens."""
 
     def __init__(self, weights: np.ndarray, bias: float):
-        self.weights, self.bias, self.known = weights.astype(np.float32), float(bias), {}
+        self.weights, self.bias, self.known, self.chars = weights.astype(np.float32), float(bias), {}, 0
         self.least = {n: float(np.sqrt((w**2).sum())) for n, (_, w) in _TRIPLES.items()}
 
     def values(self, strings: list[str]) -> np.ndarray:
@@ -150,14 +157,15 @@ class Machine:
                 np.maximum.at(out, index[near], dots[near] / norms(cells[near], n) + self.bias)
         return out
 
-    def learn(self, tokens: list[str]) -> None:
-        if len(self.known) > CACHE:
+    def learn(self, sets: list[set[str]]) -> None:
+        """Values of all tokens of these sets."""
+        if self.chars > CACHE_CHARS:
             self.known.clear()
+            self.chars = 0
+        tokens = list(set().union(*sets).difference(self.known))
+        self.chars += sum(map(len, tokens))
         self.known.update(zip(tokens, self.values(tokens).tolist()))
 
-    def text(self, text: str) -> float:
-        return max(map(self.known.__getitem__, strings_of(text)), default=FLOOR)
-
 
 def single_runs(text: str) -> list[str]:
     """Runs of at least three single characters with white space between, joined."""
@@ -197,7 +205,8 @@ def sample_rows(docs: DataFrame, labels: DataFrame, size: int) -> DataFrame:
 def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            clean = {re.sub(r"[\W_]+", "", s)[:LONGEST] for s in strings_of(text)}
+            clean = {re.sub(r"[\W_]+", "", s) for s in strings_of(text)}
+            clean = {s[k : k + LONGEST] for s in clean for k in window_starts(len(s))}
             clean |= {s[:n] for s in clean for n in STEMS}
             yield pa.RecordBatch.from_pydict({"toxic": pa.array([toxic], pa.int32()), "strings": pa.array([sorted(s for s in clean if len(s) >= ORDER)], pa.list_(pa.string()))})
 
@@ -353,8 +362,8 @@ def _decide(weights: np.ndarray, bias: float, extra: list[str]):
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 sets = [strings_of(t.as_py()) for t in part.column(0)]
+                machine.learn(sets)
                 known = machine.known
-                machine.learn([s for s in set().union(*sets) if s not in known] if len(known) <= CACHE else list(set().union(*sets)))
                 values = [max(map(known.__getitem__, s), default=FLOOR) for s in sets]
                 yield pa.RecordBatch.from_arrays([*[part.column(1 + i) for i in range(len(extra))], pa.array(values, pa.float64())], [*extra, "value"])
 

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sievemark.llm import byte_bpe, chat, exact_dedup, mixing, near_dedup, queries, ring_shard, secret_scan, shingles, spotsigs, suffix_dedup, toxicity
+from sievemark.llm import byte_bpe, chat, common, exact_dedup, mixing, near_dedup, queries, ring_shard, secret_scan, shingles, spotsigs, suffix_dedup, toxicity
 from sievemark.llm.components import components
 
 DATA = "/root/testdata/sf0.001"
@@ -173,6 +173,19 @@ def test_ring_is_balanced_and_gapless(spark, odd, none):
     assert ring_shard.assign(none, 4, 8).count() == 0
 
 
+def test_ring_keeps_equal_texts_together(spark):
+    """A group is parted only where an entry of an arc's way ends; one of a third of the rows goes on over several shards."""
+    rows = [(i, f"text {i % 400}" if i % 3 else "hot") for i in range(1800)]
+    got = ring_shard.assign(spark.createDataFrame(rows, "doc_id long, text string"), 8, 16).collect()
+    shards, text = collections.defaultdict(set), dict(rows)
+    for r in got:
+        shards[text[r.doc_id]].add(r.shard)
+    parted = {t for t, s in shards.items() if len(s) > 1}
+    assert "hot" in parted and len(parted) <= 1 + 8 + 16
+    many = spark.createDataFrame([(5, "x")] * 40, "doc_id long, text string")
+    assert sorted(r.n for r in common.expanded(many.groupBy("doc_id").agg(F.count("*").alias("c"), F.lit(3).cast("long").alias("f")), "f", "c", "n", 7).collect()) == list(range(3, 43))
+
+
 def test_ring_walk_against_one_key_at_a_time():
     rng = random.Random(3)
     points = ring_shard.ring(5, 6)
@@ -202,7 +215,7 @@ def test_ring_walk_against_one_key_at_a_time():
 
 
 def test_ring_moves_few_keys_when_it_grows(spark):
-    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"))
     a, b = ({r.doc_id: r.home for r in ring_shard.assign(docs, n, 64).collect()} for n in (10, 11))
     moved = [k for k in a if a[k] != b[k]]
     assert all(b[k] == 10 for k in moved) and 0.03 < len(moved) / 4000 < 0.16
@@ -411,13 +424,51 @@ def test_spotsigs(spark, odd, none):
     order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, text_of(r[1])), reverse=True)
     want = collections.Counter((r[0], len(text_of(r[1])), spotsigs.edited(text_of(r[1]), text_of(order[(i + 1) % len(order)][1]))) for i, r in enumerate(order))
     assert collections.Counter((r.doc_id, r.n_chars, r.edited) for r in got) == want
-    prints = {}
-    for r in rows:
-        prints.setdefault(text_of(r[1]), spotsigs.hex_of(spotsigs.Spots()(text_of(r[1]))))
-    assert {r.fingerprint for r in got} == set(prints.values())
+    prints = {t: plain_spots(t) for t in {text_of(r[1]) for r in rows} | {r.edited for r in got}}
+    hexes = {}
+    for r in got:
+        assert hexes.setdefault(r.edited_fingerprint, prints[r.edited]) == prints[r.edited]
+    texts = [text_of(r[1]) for r in order]
+    nexts = collections.defaultdict(list)
+    for i, r in enumerate(order):
+        t, u = texts[i], texts[(i + 1) % len(order)]
+        e = spotsigs.edited(t, u)
+        nexts[r[0], e].append((round(jaccard(prints[t], prints[e]), 9), round(jaccard(prints[t], prints[u]), 9)))
+    for r in got:
+        assert (round(r.near_edited, 9), round(r.near_next, 9)) in nexts[r.doc_id, r.edited]
+    assert len({r.fingerprint for r in got}) == len({frozenset(prints[t]) for t in texts})
     assert spotsigs.compare_next(none).count() == 0
 
 
+def jaccard(a, b):
+    return len(a & b) / len(a | b)
+
+
+def plain_spots(text):
+    """SpotSigs one word at a time: each anchor with the next content words."""
+    words = [w for w in (x.strip("".join(c for c in x if not c.isalnum())) for x in text.lower().split()) if w]
+    content = [w for w in words if w not in spotsigs.ANCHORS]
+    out, at = set(), 0
+    for w in words:
+        if w not in spotsigs.ANCHORS:
+            at += 1
+        elif at + spotsigs.CHAIN <= len(content):
+            out.add((w, *content[at : at + spotsigs.CHAIN]))
+    if not out:
+        out = {("", *content[i : i + spotsigs.CHAIN]) for i in range(len(content) - spotsigs.CHAIN + 1)}
+    return out or {("short", *words)}
+
+
+def test_spots_of_many_null_ids(spark, monkeypatch):
+    """Ranges by text among null ids: every row is compared with the next one, whatever the number of ranges."""
+    monkeypatch.setattr(spotsigs, "SMALL_PART", 200)
+    rng = random.Random(3)
+    rows = [(i if i % 3 else None, prose(rng, 6, 10**6)) for i in range(90)] + [(None, ""), (None, "a"), (7, "z")]
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]), reverse=True)
+    want = collections.Counter((r[0], spotsigs.edited(r[1], order[(i + 1) % len(order)][1])) for i, r in enumerate(order))
+    assert collections.Counter((r.doc_id, r.edited) for r in spotsigs.compare_next(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == want
+
+
 def test_spot_pairs_against_all_pairs(spark):
     rng = random.Random(6)
     texts = []
@@ -479,6 +530,27 @@ def test_mix(spark):
     assert all(abs(half[s] - n / 2) <= 3 for s, n in collections.Counter(order).items())
 
 
+def test_mix_follows_its_slots(spark):
+    """A document's first slot is one of its source's slots; in their order, words come as the targets say at every tenth of the mix."""
+    docs = spark.read.parquet(f"{DATA.replace('0.001', '0.01')}/documents.parquet")
+    goals = mixing.targets(mixing.sized(docs)).collect()
+    slots = {r.slot: r.source for r in mixing.schedule(spark.createDataFrame(goals), 256).collect()}
+    got = mixing.mix(docs, block_words=256).collect()
+    assert all((r.first_slot is None) == (r.taken == 0) for r in got)
+    assert all(slots[r.first_slot] == r.source for r in got if r.taken)
+    order, n = [slots[k] for k in sorted(slots)], collections.Counter(slots.values())
+    for cut in range(1, 10):
+        head = collections.Counter(order[: len(order) * cut // 10])
+        assert all(abs(head[s] - n[s] * cut / 10) <= 4 for s in n)
+
+
+def test_repeats_of_a_source_of_one_document(spark):
+    """A target under half of the only document still takes it; texts without words stay."""
+    rows = [(1, " ".join(["w"] * 4000), "b"), *[(10 + i, "x y z", "a") for i in range(100)], (200, "", "a"), (201, None, "b")]
+    got = collections.Counter(r.doc_id for r in mixing.repeat_documents(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect())
+    assert got[1] >= 1 and got[200] == got[201] == 1
+
+
 def test_mix_odd_rows(spark, odd, none):
     assert mixing.mix(odd).count() == odd.count() and mixing.mix(none).count() == 0
     assert mixing.repeat_documents(odd).columns == odd.columns
@@ -534,6 +606,24 @@ def test_suffix_dedup_against_all_windows(spark, odd, none):
     assert digest_rows(none) == []
 
 
+def test_equal_hashes_remove_nothing(monkeypatch):
+    """Strings count as equal by their bytes, in one piece and across pieces."""
+    rng = random.Random(2)
+    base = bytes(rng.choices(b"ab\x00", k=80))
+    texts = [base, base[:60] + b"z" * 10, bytes(rng.choices(b"ab", k=90)), base[5:75], bytes(rng.choices(b"a\x00", k=70)), base[1:]]
+    monkeypatch.setattr(suffix_dedup, "hashes", lambda data, n: np.zeros(len(data) - n + 1, np.uint64))
+    ids = [4, 9, 2, 7, 1, 3]
+    import pyarrow as pa
+
+    blob = lambda x: np.array([x], np.int64).tobytes()
+    table = pa.table({"shard": [0] * 6, "data": texts, "docs": [blob(i) for i in ids], "starts": [blob(0)] * 6, "lens": [blob(len(t)) for t in texts], "texts": [blob(i) for i in ids]})
+    want = sorted((i, k) for i, t in zip(ids, texts) for k in range(len(t) - 49) if any(t[k : k + 50] in u for j, u in zip(ids, texts) if j < i))
+    for piece in (60, 170, 1 << 20):
+        monkeypatch.setattr(suffix_dedup, "PIECE", piece)
+        out = suffix_dedup._decide(table).to_pylist()
+        assert sorted((r["doc"], k) for r in out for k in range(r["first"], r["last"] + 1)) == want and want
+
+
 def test_hot_owners_are_split(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "HOT", 1)
     rng = random.Random(1)
