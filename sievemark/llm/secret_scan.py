@@ -5,16 +5,18 @@ a digit, all of at least LEAST characters, and shorter ones without a digit (pas
 Left out are short runs of letters that nothing assigns or announces, as all prose consists of them. Values with other signs in them (! # $) or with
 letters beyond ASCII are given as their runs; the password of an address (scheme://user:password@host) is a run of its own. Features: the value's length, shares of digits, capitals and distinct
 characters, changes between letters and digits, how much of it common words of the corpus cover (counted over all documents), the path, and
-the words around it. The forest learns from labelled findings, a bounded sample of them: labelled() gives those whose form settles
-what they are (key formats with a checkable shape, or addresses, numbers, mail, and words of letters that nothing assigns or announces); the forest sees no form,
-only features. No form settles what a short password is: labelled() has none, so they are found reliably only with labelled findings that hold some.
+the words around it. The forest learns from labelled findings, a bounded sample of them. No table holds any, so planted() makes them: into the words of documents it writes
+values whose truth is known because it wrote them, secrets and the look-alikes that fill code and logs (digests, identifiers, versions, addresses, paths, settings); the forest sees no kind,
+only features. Many pairs of kinds have the same form, such as 40 hexadecimal digits after `token` and after `commit`, so that only length, covering words, place and words nearby tell them apart.
+by_rule() is what patterns alone say, for comparison; no score comes from it.
 
 Defined results: null and empty texts have no candidates; null paths count as empty; without labelled findings of both kinds all scores are 0;
-repeated rows give repeated findings; an empty table gives an empty result; other columns are not read. Values are given as SHA-256 only.
+labelled findings that are alike each count; repeated rows give repeated findings; an empty table gives an empty result; other columns are not read. Values are given as SHA-256 only.
 """
 
 from __future__ import annotations
 
+import re
 
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -26,7 +28,9 @@ from .common import documents, text_of, written
 
 LEAST, COMMON = 12, 300
 SAMPLE = 20_000
-"""Labelled findings of each kind that training takes, about: those with the lowest hashes."""
+"""Labelled findings of each label that training takes at most: those with the lowest hashes."""
+DOCUMENTS, EACH = 5_000, 6
+"""Documents that get planted values, about, and how many each: with the lowest hashes of their ids."""
 TREES, DEPTH, SEED = 25, 6, 7
 # Words that announce a secret, and words of places where examples live.
 ANNOUNCING = "token|secret|key|password|passwd|pwd|api|auth|bearer|credential|private"
@@ -80,26 +84,67 @@ def featured(found: DataFrame, words: list[str]) -> DataFrame:
     return found.withColumns(cols)
 
 
-def labelled(found: DataFrame) -> DataFrame:
-    """The candidates whose form settles what they are, with label 1 (secret) or 0."""
+def by_rule(found: DataFrame) -> DataFrame:
+    """found with `rule`: 1 where a pattern with its announcing word says secret."""
     v = F.col("value")
     around = F.lower(F.concat_ws(" ", "key", "before", "before2"))
     secret = v.rlike("^AKIA[0-9A-Z]{16}$") | v.rlike("^gh[pousr]_[A-Za-z0-9]{36}$") | (v.rlike("^([0-9a-f]{16,64}|[A-Za-z0-9+/]{32,})$") & around.rlike(ANNOUNCING))
-    other = v.rlike(r"^[0-9.+/-]+$") | v.rlike(r"^[^@]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+\.?$")
-    led = (F.col("key") != "") | F.col("before").rlike("[=:]$") | around.rlike(ANNOUNCING)
-    other = other | (v.rlike("^[A-Z]?[a-z]+$") & ~led)
-    return found.withColumn("label", F.when(secret, 1.0).when(other, 0.0)).where("label is not null")
+    return found.withColumn("rule", secret.cast("int"))
+
+
+# (label, text before, value, text after). {h40}: 40 hexadecimal digits; m, u, d: mixed letters and digits, capitals and digits, digits; w, W: a word of the document; a letter b to e takes another piece.
+KINDS = [
+    (1, 'token = "', "{h40}", '"'), (1, "password=", "{m12}", ""), (1, "api_key='", "{m32}", "'"), (1, '{"aws":"', "AKIA{u16}", '","env":"prod"}'), (1, "", "ghp_{m36}", ""), (1, "Authorization: Bearer ", "{m40}", ""),
+    (1, "secret=", "{h32}", "&region=us"), (1, "postgres://app:", "{m10}", "@db.local/main"), (1, "pwd: ", "{W}{d3}", ""), (1, "https://x.local/cb?token=", "ghp_{m36}", "&state=1"), (1, "aws=", "AKIA{u16}", ""), (1, "password=", "{h18}", ""),
+    (0, "commit ", "{h40}", ""), (0, "sha256:", "{h64}", ""), (0, "id=", "{d8}", ""), (0, '{"session":"', "{h8}-{bh4}-{ch4}-{dh4}-{eh12}", '","n":1}'), (0, "", "{d2}.{bd2}.{cd2}.{dd1}", ""), (0, "mail ", "{w}.{d2}@mail.example.com", ""),
+    (0, "/usr/lib/", "{w}-{d1}.{bd2}.tar.gz", ""), (0, "version ", "v{d1}.{bd2}.{cd1}", ""), (0, "?page=", "{d2}", "&lang=en"), (0, "img/", "{h16}.png", ""), (0, "call ", "+{d2}-{bd7}", ""), (0, "", "{w}{w}{w}", ""),
+    (0, 'token = "', "your-token-{d2}", '"'), (0, "key=", "test-key-{w}", ""), (0, "etag ", "{m32}", ""), (0, "trace=", "{h32}", ""),
+]
+
+
+def _filled(template: Column, salt: Column, word: Column) -> Column:
+    """A value of KINDS with its pieces put in, all from hashes of `salt` but the words."""
+    for name in sorted({x for *_, v, _ in KINDS for x in re.findall("{([a-z]*[0-9]+)}", v)}):
+        kind, n = re.fullmatch("([b-e]?[hmud])([0-9]+)", name).groups()
+        h = F.sha2(F.concat(salt, F.lit("/" + kind)), 256)
+        if kind[-1] == "d":
+            h = F.translate(h, "abcdef", "904172")
+        elif kind[-1] in "mu":
+            h = F.translate(F.base64(F.unhex(h)), "+/=", "kQ7")
+        template = F.replace(template, F.lit("{" + name + "}"), F.substring(F.upper(h) if kind[-1] == "u" else h, 1, int(n)))
+    return F.replace(F.replace(template, F.lit("{w}"), word), F.lit("{W}"), F.initcap(word))
+
+
+def planted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
+    """Candidates with label, planted between words of a bounded sample of documents: each by its place in the text, so with the words and the path that surround it there."""
+    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.coalesce(F.col(path_col).cast("string"), F.lit("")).alias("path"), text_of(text_col).alias("text")).where("id is not null and length(text) > 0")
+    n = max(1, rows.count())
+    rank = F.pmod(F.xxhash64(F.lit("plant"), "id"), F.lit(1 << 30)) / (1 << 30)
+    some = rows.where(rank < DOCUMENTS / n).withColumn("w", F.split("text", r"\s+")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(EACH - 1))))
+    some = some.withColumn("salt", F.concat_ws("/", "id", "i")).withColumn("at", F.pmod(F.xxhash64("salt"), F.size("w")).cast("int"))
+    near = lambda i: F.coalesce(F.get("w", i), F.lit(""))
+    plain = F.regexp_replace(F.lower(near(F.col("at"))), "[^a-z]", "")
+    word = F.when(F.length(plain) > 2, plain).otherwise(F.lit("river"))
+    kinds = F.broadcast(docs.sparkSession.createDataFrame([(i, float(label), *k) for i, (label, *k) in enumerate(KINDS)], "kind int, label double, lead string, template string, trail string"))  # KINDS alone
+    some = some.select("salt", "path", word.alias("word"), *[near(F.col("at") + i).alias(f"w{i + 2}") for i in (-2, -1, 0, 1)], F.pmod(F.xxhash64(F.lit("kind"), "salt"), F.lit(len(KINDS))).cast("int").alias("kind"))
+    made = some.join(kinds, "kind").withColumn("planted", _filled(F.col("template"), F.col("salt"), F.col("word")))
+    made = made.select(
+        F.concat(F.col("salt"), F.lit("#"), F.col("path")).alias("salt"), "path", F.concat_ws(" ", "w0", "w1", F.concat("lead", "planted", "trail"), "w2", "w3").alias("text"), "label", "planted",
+    )
+    found = candidates(made, "salt", "text", "path").withColumnRenamed("doc_id", "salt")
+    return found.join(made.select(F.col("salt").alias("_salt"), "label", "planted"), F.col("salt") == F.col("_salt")).where(F.regexp_replace("value", "^[+/_@.-]+|[.]+$", "") == F.col("planted")).withColumnRenamed("salt", "doc_id").drop("_salt", "planted")
 
 
 def fit(findings: DataFrame, sample: int = SAMPLE) -> RandomForestClassificationModel | None:
-    """A forest from labelled findings (the columns FEATURES, value, label); None unless both labels are there."""
-    n = {r[0]: r[1] for r in findings.groupBy("label").count().collect()}
-    if len(n) < 2:
+    """A forest from labelled findings (the columns FEATURES and label); None unless both labels are there."""
+    names = [c for c in ("doc_id", "position", "place", "value") if c in findings.columns]
+    ranked = findings.where("label in (0, 1)").select(*FEATURES, "label", F.xxhash64(F.lit("finding"), *names, F.monotonically_increasing_id()).alias("_h"))
+    ranked = written(ranked, "findings")
+    rows = ranked.where("label = 1").orderBy("_h").limit(sample).unionByName(ranked.where("label = 0").orderBy("_h").limit(sample))
+    rows = written(VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(rows).select("x", F.col("label").cast("double").alias("label")), "learned")
+    if rows.select("label").distinct().count() < 2:
         return None
-    rank = F.pmod(F.xxhash64(F.lit("finding"), "value", "position"), F.lit(1_000_000)) / 1_000_000
-    keep = F.when(F.col("label") == 1, rank < sample / n[1.0]).otherwise(rank < sample / n[0.0])
-    rows = VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(findings.where(keep))
-    return RandomForestClassifier(featuresCol="x", labelCol="label", numTrees=TREES, maxDepth=DEPTH, seed=SEED).fit(rows.select("x", "label"))
+    return RandomForestClassifier(featuresCol="x", labelCol="label", numTrees=TREES, maxDepth=DEPTH, seed=SEED).fit(rows)
 
 
 def score(found: DataFrame, model: RandomForestClassificationModel | None) -> DataFrame:
@@ -111,10 +156,12 @@ def score(found: DataFrame, model: RandomForestClassificationModel | None) -> Da
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source", findings: DataFrame | None = None) -> DataFrame:
-    """(doc_id, position, place, value_sha256, length, score, predicted) of every candidate: position of its word, place in the word; findings: labelled ones to learn from, else labelled()'s own."""
+    """(doc_id, position, place, value_sha256, length, score, predicted) of every candidate: position of its word, place in the word.
+
+    findings: labelled ones to learn from, with the columns of candidates() and label; else planted()'s."""
     words = common_words(docs, text_col)
     found = written(featured(candidates(docs, id_col, text_col, path_col), words), "candidates")
-    model = fit(labelled(found) if findings is None else featured(findings, words))
+    model = fit(featured(planted(docs, id_col, text_col, path_col) if findings is None else findings, words))
     return score(found, model).select("doc_id", "position", "place", F.sha2("value", 256).alias("value_sha256"), F.col("length").cast("long").alias("length"), "score", "predicted")
 
 

@@ -5,6 +5,7 @@ import binascii
 import collections
 import hashlib
 import random
+import re
 import struct
 
 import duckdb
@@ -377,7 +378,55 @@ def test_secrets(spark, odd, none):
     docs = spark.createDataFrame(data, SCHEMA)
     got = {r.doc_id: r.predicted for r in secret_scan.scan(docs).collect()}
     assert all(got[i] == (i % 4 < 2) for i in got) and len(got) > 190
-    assert secret_scan.scan(odd).count() >= 0 and secret_scan.scan(none).count() == 0
+    assert secret_scan.scan(none).count() == 0
+
+
+def test_secrets_of_odd_rows(spark, odd):
+    """Nulls, empty texts and repeated rows: the candidates are those of a split by hand; repeated rows repeat theirs."""
+    got = collections.Counter((r.doc_id, r.position, r.place) for r in secret_scan.scan(odd).collect())
+    want = collections.Counter()
+    for i, t, *_ in odd_rows():
+        for at, w in enumerate(re.split(r"\s+", text_of(t), flags=re.ASCII)):
+            for place, run in enumerate(re.findall(r"[+/_@.-]*[A-Za-z0-9][A-Za-z0-9+/_@.-]*", w)):
+                if re.search("[0-9]", run) or len(run) >= secret_scan.LEAST:
+                    want[i, at, place] += 1
+    assert got == want
+
+
+def test_features_by_hand(spark):
+    found = secret_scan.candidates(spark.createDataFrame([(1, 'the river token = "ab12CD34_theriver.x" 77 end', "", "tests/a.py", 0)], SCHEMA))
+    r = secret_scan.featured(found, ["the", "river"]).where("length > 10").first()
+    v = "ab12CD34_theriver.x"
+    assert r.value == v and r.length == len(v)
+    assert [round(r[c], 6) for c in ("digits", "capitals", "distinct", "changes", "dots", "signs", "coverage")] == [round(x / len(v), 6) for x in (4, 2, len(set(v)), 3, 1, 1, 8)]
+    assert [r[c] for c in ("path_length", "path_example", "announced", "assigned", "quoted", "example_near", "number_next")] == [10, 1, 1, 1, 1, 0, 1]
+
+
+def test_forest_from_few_equal_findings(spark):
+    """40 equal secrets and 50 equal addresses: any sample holds both labels; one label alone gives no forest."""
+    rows = [(i, f"token={'a1b2' * 10}", "", "src/a.py", 0) for i in range(40)] + [(100 + i, "at 10.0.0.1 x", "", "src/a.py", 0) for i in range(50)]
+    found = secret_scan.featured(secret_scan.candidates(spark.createDataFrame(rows, SCHEMA)).where("value rlike '[0-9]'"), ["at"]).withColumn("label", (F.col("doc_id") < 100).cast("double"))
+    for n in (1, 2, 3, 5):
+        model = secret_scan.fit(found, n)
+        assert {(r.label, r.predicted) for r in secret_scan.score(found, model).select("label", "predicted").collect()} <= {(0.0, 0), (1.0, 1), (1.0, 0), (0.0, 1)}
+    assert secret_scan.fit(found.where("label = 1")) is None
+    assert secret_scan.score(found, None).where("score > 0 or predicted > 0").count() == 0
+
+
+def test_forest_beats_the_rule_on_held_out_findings(spark):
+    docs = spark.read.parquet(f"{DATA.replace('0.001', '0.01')}/documents.parquet")
+    found = common.written(secret_scan.featured(secret_scan.planted(docs), secret_scan.common_words(docs)), "planted")
+    late = F.pmod(F.crc32(F.substring_index("doc_id", "/", 1)), F.lit(5)) == 0
+    rows = secret_scan.by_rule(secret_scan.score(found.where(late), secret_scan.fit(found.where(~late)))).select("label", "predicted", "rule").collect()
+
+    def figures(name):
+        hit = sum(r[name] and r.label for r in rows)
+        return hit / max(1, sum(r[name] for r in rows)), hit / sum(r.label for r in rows)
+
+    forest, rule = figures("predicted"), figures("rule")
+    print("precision and recall, forest and rule:", forest, rule, len(rows))
+    assert len(rows) > 500 and min(forest) > 0.9 and sum(forest) > sum(rule)
+    assert any(r.predicted != r.rule and r.predicted == r.label for r in rows)
 
 
 def test_secrets_anywhere_in_a_word(spark):
