@@ -30,7 +30,7 @@ from .common import documents, text_of, written
 
 LENGTH, GRAM = 50, 20
 GRAMS = LENGTH - GRAM + 1
-PIECE = 2 << 20
+PIECE = 1 << 20
 SHARD = 4 << 20
 """Bytes of a piece, and of a shard, about."""
 HOT = 4000
