@@ -97,7 +97,12 @@ def misses(df: DataFrame, view: str, threshold: float) -> DataFrame:
     return df.where((F.col("view") == view) & (F.col("label") == 1) & (F.col("probability") < threshold)).orderBy("probability", "sample_id")
 
 
-def best_candidates(curves: DataFrame) -> DataFrame:
-    """One row: the healthy run of lowest last loss, and of those with the flattest tail the recommended one."""
-    ok = F.col("healthy")
-    return curves.agg(F.min_by("run_id", F.when(ok, F.struct("last_loss", "run_id"))).alias("best_healthy"), F.min_by("run_id", F.when(ok, F.struct("tail_mad", "last_loss", "run_id"))).alias("recommended"), F.count_if(ok).alias("healthy_runs"))
+def canary_summary(health: DataFrame) -> DataFrame:
+    """One row from curve_health() with (steps, samples, eligible) of the runs: of healthy runs, the one of lowest last loss, then slope, then gradient; the one of best last validation, then best
+    validation; the same among eligible ones (recommended); whether all runs had equal steps and samples. Of equal runs the smallest run_id."""
+    ok, few = F.col("healthy"), F.col("healthy") & F.col("eligible")
+    score = F.struct(-F.col("last_score"), -F.col("best_score"), "run_id")
+    return health.agg(
+        F.min_by("run_id", F.when(ok, F.struct("last_loss", "slope_100", "gradient_p95", "run_id"))).alias("healthiest"), F.min_by("run_id", F.when(ok, score)).alias("best_validation"),
+        F.min_by("run_id", F.when(few, score)).alias("recommended"), F.count_if(ok).alias("healthy_runs"), (F.count_distinct("steps") == 1).alias("equal_steps"), (F.count_distinct("samples") == 1).alias("equal_samples"),
+    )

@@ -182,20 +182,38 @@ def standardized_difference(df: DataFrame, features: list[str]) -> DataFrame:
     return long.groupBy("feature").agg(F.when(s > 1e-12, F.try_divide(d, s)).otherwise(0.0).alias("difference"))
 
 
-def curve_health(curves: DataFrame) -> DataFrame:
-    """Per run (run_id, step, loss, gradient_norm): medians of the first and last three losses, slope per 100 steps, spread of the last half, p95 of the gradient."""
+CHECKS = ("finite", "no_decode_failures", "loss_not_worse", "gradient_bounded", "validation_not_worse")
+
+
+def curve_health(curves: DataFrame, validations: DataFrame, runs: DataFrame) -> DataFrame:
+    """One row per run of curves (run_id, step, loss, gradient_norm), validations (run_id, step, macro_score) and runs (run_id, decode_failures, ...): medians of the first and last three
+    losses, their relative change, slope per 100 steps, spread of the last half, p95 and maximum of the gradient, first, last and best validation, the five CHECKS, and `healthy`, if all hold.
+
+    A run of less than six losses or three validations fails. Losses and gradients that are null or not finite fail the first check."""
     w = Window.partitionBy("run_id")
     r = curves.withColumn("k", F.row_number().over(w.orderBy("step"))).withColumn("n", F.count(F.lit(1)).over(w))
     r = r.withColumn("g", F.row_number().over(w.orderBy("gradient_norm", "step")))
-    tail = F.when(F.col("k") > F.col("n") / 2, F.col("loss"))
+    tail = F.when(F.col("k") > F.floor(F.col("n") / 2), F.col("loss"))
     r = r.withColumn("mid", F.median(tail).over(w))
-    spread = F.median(F.when(F.col("k") > F.col("n") / 2, F.abs(F.col("loss") - F.col("mid"))))
+    spread = F.median(F.when(F.col("k") > F.floor(F.col("n") / 2), F.abs(F.col("loss") - F.col("mid"))))
     p95 = F.max(F.when(F.col("g") == F.bround((F.col("n") - 1) * 0.95).cast("int") + 1, F.col("gradient_norm")))
-    out = r.groupBy("run_id").agg(
-        F.max("n").alias("steps"), F.median(F.when(F.col("k") <= 3, F.col("loss"))).alias("first_loss"), F.median(F.when(F.col("k") > F.col("n") - 3, F.col("loss"))).alias("last_loss"),
-        (F.regr_slope("loss", "step") * 100).alias("slope_100"), spread.alias("tail_mad"), p95.alias("gradient_p95"),
+    finite = lambda c: F.bool_and(F.coalesce(~F.isnan(c) & (F.abs(F.col(c)) < float("inf")), F.lit(False)))
+    c = r.groupBy("run_id").agg(
+        F.max("n").alias("points"), F.median(F.when(F.col("k") <= 3, F.col("loss"))).alias("first_loss"), F.median(F.when(F.col("k") > F.col("n") - 3, F.col("loss"))).alias("last_loss"),
+        F.coalesce(F.regr_slope("loss", "step") * 100, F.lit(0.0)).alias("slope_100"), spread.alias("tail_mad"), p95.alias("gradient_p95"), F.max("gradient_norm").alias("gradient_max"), (finite("loss") & finite("gradient_norm")).alias("finite"),
     )
-    return out.withColumn("healthy", (F.col("last_loss") <= F.col("first_loss")) & (F.col("slope_100") <= 0))
+    v = validations.groupBy("run_id").agg(F.count(F.lit(1)).alias("validations"), F.min_by("macro_score", "step").alias("first_score"), F.max_by("macro_score", "step").alias("last_score"), F.max("macro_score").alias("best_score"))
+    short = (F.col("points") < 6) | (F.coalesce("validations", F.lit(0)) < 3)
+    long = F.when(short, F.raise_error(F.concat(F.lit("incomplete curve: "), F.col("run_id").cast("string"))).cast("long")).otherwise(F.col("points"))
+    out = c.join(v, "run_id", "left").withColumn("points", long).join(runs, "run_id")
+    out = out.withColumns({
+        "loss_reduction": (F.col("first_loss") - F.col("last_loss")) / F.greatest("first_loss", F.lit(1e-12)), "no_decode_failures": F.col("decode_failures") == 0, "loss_not_worse": F.col("last_loss") <= F.col("first_loss") * 1.10,
+        "gradient_bounded": F.col("gradient_p95") < 100.0, "validation_not_worse": F.col("last_score") >= F.col("first_score") - 0.01,
+    })
+    every = F.lit(True)
+    for check in CHECKS:
+        every = every & F.coalesce(check, F.lit(False))
+    return out.withColumn("healthy", every)
 
 
 def stable_count(validations: DataFrame, best: float, margin: float = 0.005) -> DataFrame:

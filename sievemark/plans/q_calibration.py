@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import calibration as C
 from ..operators import gates as Q
+from ..operators import integrity as I
 from ..operators import joins as J
 from ..operators import linear as L
 from ..operators import metrics as M
@@ -89,18 +90,28 @@ def _(spark, d):
 
 @query("i6_evaluation_gates")
 def _(spark, d):
+    """Predictions that failed count as a logit of 0, as a report needs all of them."""
     m = V.manifest(spark, d).withColumn("role", F.when(F.conv(F.substring("content_sha256", 1, 4), 16, 10).cast("int") % 2 == 0, "calibration").otherwise("test"))
-    return rounded(Q.evaluation_report(m, V.ledger(spark, d), VIEWS, T, 50, 3)["gates"], 5)
+    audit = I.audit_manifest(m.withColumn("phash", F.substring("content_sha256", 1, 16)), 4)
+    whole = V.ledger(spark, d).withColumns({"raw_logit": F.coalesce("raw_logit", F.lit(0.0)), "error": F.lit(None).cast("string")})
+    return rounded(Q.evaluation_report(m, whole, audit, VIEWS, T, 50, 3)["gates"], 5)
 
 
-@query("i7_redteam_gates", with_views(f""", {_CASES}, m AS (SELECT min((tp / (tp + fn) + tn / (tn + fp)) / 2) AS ba, min(tp / (tp + fn)) FILTER (view = 'hard') AS rc FROM cases WHERE view <> 'clean')
+_C2 = _CASES.replace("FROM scored)", "FROM rescored)")
+
+
+@query("i7_redteam_gates", with_views(f""", rescored AS (SELECT * REPLACE (1 / (1 + exp(-(raw_logit * 2 + {LOGIT} - 1))) AS probability) FROM scored), {_C2},
+    m AS (SELECT min((tp / (tp + fn) + tn / (tn + fp)) / 2) AS ba, min(tp / (tp + fn)) FILTER (view = 'hard') AS rc FROM cases WHERE view <> 'clean')
     SELECT g AS gate, round(v, 6) AS value, b AS bound, CASE WHEN ge THEN v >= b ELSE v <= b END AS passed FROM (
-        SELECT 'protocol_problems <= 0' AS g, (SELECT count(*) FROM ledger)::DOUBLE * 0 AS v, 0::DOUBLE AS b, false AS ge UNION ALL SELECT 'worst_balanced_accuracy >= 0.75', ba, 0.75, true FROM m
-        UNION ALL SELECT 'critical_recall >= 0.6', rc, 0.6, true FROM m UNION ALL SELECT 'missing_families <= 0', 1, 0, false)""", *BASE))
+        SELECT 'protocol_problems <= 0' AS g, (SELECT count(*) FROM ledger WHERE view_pos <> CASE view WHEN 'clean' THEN 0 WHEN 'web' THEN 1 ELSE 3 END)::DOUBLE AS v, 0::DOUBLE AS b, false AS ge UNION ALL SELECT 'worst_balanced_accuracy >= 0.75', ba, 0.75, true FROM m
+        UNION ALL SELECT 'critical_recall >= 0.6', rc, 0.6, true FROM m
+        UNION ALL SELECT 'missing_families <= 0', (SELECT count(*) FROM (VALUES ('resize'), ('crop')) f(x) WHERE x NOT IN (SELECT CASE WHEN view = 'clean' THEN 'none' ELSE 'resize' END FROM cases)), 0, false)""", *BASE))
 def _(spark, d):
-    reg = spark.createDataFrame([(v, i, "model-a") for i, v in enumerate(VIEWS)], "case_id string, view_pos int, model_id string")
+    """The registry has another place for one view than the ledger."""
+    reg = spark.createDataFrame([(v, i + (v == "hard"), "model-a") for i, v in enumerate(VIEWS)], "case_id string, view_pos int, model_id string")
     p = J.protocol_join(V.manifest(spark, d), V.ledger(spark, d), reg, ["view_pos", "model_id"])
-    return rounded(Q.redteam_report(V.scored(spark, d), p, T, ["hard"], family(), ["resize", "crop"])["gates"])
+    calibrator = spark.range(1).select(F.lit(2.0).alias("slope"), (S.logit(T) - 1).alias("intercept"), F.lit(0.5).alias("boundary"))
+    return rounded(Q.redteam_report(V.scored(spark, d), p, calibrator, T, ["hard"], family(), ["resize", "crop"], 40, 5)["gates"])
 
 
 @query("i8_compare")
@@ -108,39 +119,54 @@ def _(spark, d):
     return rounded(Q.compare(V.scored(spark, d), V.scored(spark, d, "b", 0.8), T, 40, 11)["intervals"])
 
 
-@query("i9_rank_tournament", with_views(f""", r AS (SELECT 'a' AS model, * FROM scored UNION ALL SELECT 'b', * FROM scored_b),
-    s AS (SELECT model, avg(x) AS macro_score FROM (SELECT model, label, avg(rate) AS x FROM (SELECT model, label, group_id, avg({_OK}) AS rate FROM r GROUP BY ALL) GROUP BY ALL) GROUP BY model)
-    SELECT model, round(macro_score, 6) AS macro_score, round(auc, 6) AS auc, true AS eligible, row_number() OVER (ORDER BY macro_score DESC, auc DESC) AS rank FROM s JOIN ({auc_sql('r', 'model')}) USING (model)""", *BOTH))
+def tournament(spark, d):
+    """Models a and b on calibration rows; every sample of the manifest is one here."""
+    m = V.manifest(spark, d).withColumn("role", F.lit("calibration"))
+    return Q.rank_tournament(m, {"a": V.ledger(spark, d), "b": V.ledger(spark, d, "b", 0.8)}, T, {"a": False, "b": True})
+
+
+@query("i9_rank_tournament")
 def _(spark, d):
-    return rounded(Q.rank_tournament(V.manifest(spark, d), {"a": V.ledger(spark, d), "b": V.ledger(spark, d, "b", 0.8)}, T))
+    return rounded(tournament(spark, d), 4)
 
 
 def _vm(s: str) -> str:
     return f"(SELECT view, (tp / (tp + fn) + tn / (tn + fp)) / 2 AS ba, tp / (tp + fn) AS recall, tn / (tn + fp) AS spec, auc FROM (SELECT view, {CONFUSION} FROM {s} GROUP BY view) JOIN ({auc_sql(s, 'view')}) USING (view))"
 
 
-@query("i10_ablation_gates", with_views(f""", x AS {_vm('scored')}, y AS {_vm('scored_b')}, j AS (SELECT view, y.ba - x.ba AS ba, y.recall - x.recall AS rc, y.spec - x.spec AS sp, y.auc - x.auc AS au FROM x JOIN y USING (view)),
-    v AS (SELECT avg(ba) FILTER (view <> 'clean') AS c1, avg(rc) FILTER (view <> 'clean') AS c2, avg(ba) FILTER (view = 'clean') AS c3, avg(sp) FILTER (view = 'clean') AS c4, avg(au) FILTER (view = 'clean') AS c5 FROM j)
-    SELECT g AS gate, round(v, 6) AS value, b AS bound, v >= b AS passed FROM (SELECT 'critical_balanced_accuracy >= 0.01' AS g, c1 AS v, 0.01::DOUBLE AS b FROM v UNION ALL SELECT 'critical_recall >= 0.02', c2, 0.02 FROM v
-        UNION ALL SELECT 'clean_balanced_accuracy >= -0.01', c3, -0.01 FROM v UNION ALL SELECT 'clean_specificity >= -0.02', c4, -0.02 FROM v UNION ALL SELECT 'clean_auc >= -0.005', c5, -0.005 FROM v)""", *BOTH))
+@query("i10_ablation_gates", with_views(f""", x AS {_vm('scored')}, y AS {_vm('scored_b')}, j AS (SELECT view, y.ba - x.ba AS ba, y.recall - x.recall AS rc, y.spec - x.spec AS sp FROM x JOIN y USING (view)),
+    v AS (SELECT avg(ba) FILTER (view <> 'clean') AS c1, avg(ba) FILTER (view = 'hard') AS c2, avg(rc) FILTER (view <> 'clean') AS c3, avg(ba) FILTER (view = 'clean') AS c4, avg(sp) FILTER (view <> 'clean') AS c5 FROM j)
+    SELECT g AS gate, round(v, 6) AS value, b AS bound, v >= b AS passed FROM (SELECT 'low_quality_balanced_accuracy >= 0.05' AS g, c1 AS v, 0.05::DOUBLE AS b FROM v UNION ALL SELECT 'critical_balanced_accuracy >= 0.05', c2, 0.05 FROM v
+        UNION ALL SELECT 'low_quality_recall >= 0.08', c3, 0.08 FROM v UNION ALL SELECT 'clean_balanced_accuracy >= -0.01', c4, -0.01 FROM v UNION ALL SELECT 'low_quality_specificity >= -0.03', c5, -0.03 FROM v)""", *BOTH))
 def _(spark, d):
-    return rounded(Q.ablation_gates(M.view_metrics(V.scored(spark, d), T), M.view_metrics(V.scored(spark, d, "b", 0.8), T), F.col("view") != "clean"))
+    return rounded(Q.ablation_gates(M.view_metrics(V.scored(spark, d), T), M.view_metrics(V.scored(spark, d, "b", 0.8), T), F.col("view") != "clean", F.col("view") == "hard"))
 
 
-@query("i11_promotion_gates")
+@query("i11_promotion_gates", with_views(f""", x AS {_vm('scored')}, y AS {_vm('scored_b')}, lx AS {_vm("(SELECT * FROM scored WHERE width < 1500)")}, ly AS {_vm("(SELECT * FROM scored_b WHERE width < 1500)")},
+    j AS (SELECT view, y.ba - x.ba AS ba FROM x JOIN y USING (view)), co AS (SELECT dataset, avg(rb) - avg(ra) AS rc FROM (SELECT dataset, view, avg((a.probability >= {T})::INT) AS ra FROM scored a WHERE label = 1 GROUP BY ALL) JOIN (SELECT dataset, view, avg((probability >= {T})::INT) AS rb FROM scored_b WHERE label = 1 GROUP BY ALL) USING (dataset, view) GROUP BY dataset),
+    ca AS (SELECT view, {CONFUSION} FROM (SELECT * FROM scored WHERE sample_id IN (SELECT sample_id FROM scored WHERE view = 'clean')) GROUP BY view), cb AS (SELECT view, {CONFUSION} FROM (SELECT * FROM scored_b WHERE sample_id IN (SELECT sample_id FROM scored_b WHERE view = 'clean')) GROUP BY view),
+    fam AS (SELECT (SELECT min((tp / (tp + fn) + tn / (tn + fp)) / 2) FROM cb WHERE view <> 'clean') - (SELECT min((tp / (tp + fn) + tn / (tn + fp)) / 2) FROM ca WHERE view <> 'clean') AS f),
+    dis AS (SELECT avg(((1 / (1 + exp(-(a.raw_logit + 0.6))) >= {T}) <> (1 / (1 + exp(-(b.raw_logit + 0.6))) >= {T}))::INT) AS dr FROM scored a JOIN scored_b b USING (sample_id, view))
+    SELECT g AS gate, round(v, 6) AS value, b AS bound, CASE WHEN ge THEN v >= b ELSE v <= b END AS passed FROM (SELECT view || '_balanced_accuracy >= -0.01' AS g, ba AS v, -0.01::DOUBLE AS b, true AS ge FROM j
+        UNION ALL SELECT 'low_quality_balanced_accuracy >= 0.08', (SELECT avg(ba) FROM ly) - (SELECT avg(ba) FROM lx), 0.08, true UNION ALL SELECT 'low_quality_recall >= 0.15', (SELECT avg(recall) FROM ly) - (SELECT avg(recall) FROM lx), 0.15, true
+        UNION ALL SELECT dataset || '_recall >= 0', rc, 0, true FROM co WHERE dataset IN ('en', 'de') UNION ALL SELECT 'family_balanced_accuracy >= 0.05', f, 0.05, true FROM fam UNION ALL SELECT 'disagreement_rate <= 0.005', dr, 0.005, false FROM dis)""", *BOTH))
 def _(spark, d):
+    """Low quality: small samples; cohorts: the positives of two languages."""
     a, b = V.scored(spark, d), V.scored(spark, d, "b", 0.8)
-    protected = G.all_any_detected(b.where("label = 1"), T, [])
-    return rounded(Q.promotion_gates(M.view_metrics(a, T), M.view_metrics(b, T), F.col("view") != "clean", protected, G.family_rollup(G.attack_cases(b, T).withColumn("family", family())), G.ledger_parity(a, b, 1.0, 0.6, T)))
+    small = F.col("width") < 1500
+    cohort = lambda s, lang: G.positive_summary(s.where((F.col("label") == 1) & (F.col("dataset") == lang)), ["view"], T)
+    families = lambda s: G.family_rollup(G.attack_cases(s, T).withColumn("family", family()))
+    return rounded(Q.promotion_gates(
+        M.view_metrics(a, T), M.view_metrics(b, T), M.view_metrics(a.where(small), T), M.view_metrics(b.where(small), T), {x: (cohort(a, x), cohort(b, x)) for x in ("en", "de")}, families(a), families(b), "resize", G.ledger_parity(a, b, 1.0, 0.6, T),
+    ))
 
 
 @query("i12_teacher_gate")
 def _(spark, d):
     a, b = V.scored(spark, d), V.scored(spark, d, "b", 0.8)
-    ranking = Q.rank_tournament(V.manifest(spark, d), {"a": V.ledger(spark, d), "b": V.ledger(spark, d, "b", 0.8)}, T)
     whole = a.unionByName(b).groupBy("sample_id").count().where("count = 6").select("sample_id")
     a, b = a.join(whole, "sample_id", "left_semi"), b.join(whole, "sample_id", "left_semi")
-    return rounded(Q.teacher_gate(ranking, "a", "b", a, b, curves(spark, d).withColumn("score", F.col("loss")), 50.0, 30, 5))
+    return rounded(Q.teacher_gate(tournament(spark, d), "a", {"a": a, "b": b}, curves(spark, d).withColumn("score", F.col("loss")), 50.0, 30, 5))
 
 
 @query("i13_positive_cohort", with_views(f"SELECT view, count(*) AS n, count(*) FILTER (probability >= {T}) AS detected, round(avg(probability), 6) AS mean_p, round(avg((probability >= {T})::INT), 6) AS recall FROM scored WHERE label = 1 GROUP BY view", *BASE))

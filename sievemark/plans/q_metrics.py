@@ -278,12 +278,28 @@ def curves(spark, d):
     return e.withColumn("step", F.row_number().over(Window.partitionBy("run_id").orderBy("day")))
 
 
-@query("g25_curve_health", f"""WITH {_CURVES}, r AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY step) AS k, count(*) OVER (PARTITION BY run_id) AS n, row_number() OVER (PARTITION BY run_id ORDER BY gradient_norm, step) AS g FROM curves),
-    t AS (SELECT *, median(loss) FILTER (k > n / 2) OVER (PARTITION BY run_id) AS mid FROM r),
-    s AS (SELECT run_id, max(n) AS steps, median(loss) FILTER (k <= 3) AS f, median(loss) FILTER (k > n - 3) AS l, regr_slope(loss, step) * 100 AS sl, median(abs(loss - mid)) FILTER (k > n / 2) AS mad, max(gradient_norm) FILTER (g = round_even((n - 1) * 0.95, 0) + 1) AS p95 FROM t GROUP BY run_id)
-    SELECT run_id, steps, round(f, 6) AS first_loss, round(l, 6) AS last_loss, round(sl, 4) AS slope_100, round(mad, 6) AS tail_mad, round(p95, 6) AS gradient_p95, l <= f AND sl <= 0 AS healthy FROM s""")
+def canary(spark, d):
+    """(curves, validations, runs) of the runs with enough points: every second point is a validation, too."""
+    c = curves(spark, d)
+    c = c.join(c.groupBy("run_id").agg(F.count(F.lit(1)).alias("n")).where("n >= 6").select("run_id"), "run_id")
+    runs = c.groupBy("run_id").agg(F.count(F.lit(1)).alias("steps")).withColumns({"samples": F.col("steps") * 48, "decode_failures": F.when(F.col("run_id") % 5 == 0, 1).otherwise(0), "eligible": F.col("run_id") % 3 != 0})
+    return c, c.where("step % 2 = 0").select("run_id", "step", (1 / (1 + F.col("loss") / 100)).alias("macro_score")), runs
+
+
+_HEALTH = f"""{_CURVES}, r AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY step) AS k, count(*) OVER (PARTITION BY run_id) AS n, row_number() OVER (PARTITION BY run_id ORDER BY gradient_norm, step) AS g FROM curves),
+    t AS (SELECT *, median(loss) FILTER (k > n // 2) OVER (PARTITION BY run_id) AS mid FROM r WHERE n >= 6),
+    s AS (SELECT run_id, max(n) AS points, median(loss) FILTER (k <= 3) AS first_loss, median(loss) FILTER (k > n - 3) AS last_loss, regr_slope(loss, step) * 100 AS slope_100, median(abs(loss - mid)) FILTER (k > n // 2) AS tail_mad,
+        max(gradient_norm) FILTER (g = round_even((n - 1) * 0.95, 0) + 1) AS gradient_p95, max(gradient_norm) AS gradient_max, bool_and(isfinite(loss) AND isfinite(gradient_norm)) AS finite,
+        arg_min(1 / (1 + loss / 100), step) FILTER (step % 2 = 0) AS first_score, arg_max(1 / (1 + loss / 100), step) FILTER (step % 2 = 0) AS last_score, max(1 / (1 + loss / 100)) FILTER (step % 2 = 0) AS best_score FROM t GROUP BY run_id),
+    h AS (SELECT *, run_id % 5 <> 0 AS no_decode_failures, last_loss <= first_loss * 1.1::DOUBLE AS loss_not_worse, gradient_p95 < 100 AS gradient_bounded, last_score >= first_score - 0.01::DOUBLE AS validation_not_worse FROM s),
+    health AS (SELECT *, finite AND no_decode_failures AND loss_not_worse AND gradient_bounded AND validation_not_worse AS healthy FROM h)"""
+_HEALTH_COLUMNS = ("first_loss", "last_loss", "tail_mad", "gradient_p95", "gradient_max", "first_score", "last_score", "best_score")
+
+
+@query("g25_curve_health", f"""WITH {_HEALTH} SELECT run_id, points, {', '.join(r(c, c) for c in _HEALTH_COLUMNS)}, round(slope_100, 4) AS slope_100, round((first_loss - last_loss) / greatest(first_loss, 1e-12), 6) AS loss_reduction,
+    finite, no_decode_failures, loss_not_worse, gradient_bounded, validation_not_worse, healthy FROM health""")
 def _(spark, d):
-    return rounded(G.curve_health(curves(spark, d))).withColumn("slope_100", F.round("slope_100", 4))
+    return rounded(G.curve_health(*canary(spark, d)).withColumn("slope_100", F.round("slope_100", 4)).select("run_id", "points", *_HEALTH_COLUMNS, "slope_100", "loss_reduction", *G.CHECKS, "healthy"))
 
 
 @query("g26_stable_count", f"WITH {_CURVES} SELECT count(*) FILTER (step > 0 AND loss >= 50 + 0.005) AS stable FROM curves")

@@ -9,7 +9,7 @@ from ..operators import resample as X
 from ..operators import sampling as W
 from ..operators import slices as G
 from . import views as V
-from .q_metrics import _CURVES, BASE, BOTH, auc_sql, curves, paired, rounded
+from .q_metrics import _HEALTH, BASE, BOTH, auc_sql, canary, paired, rounded
 from .registry import query
 from .views import THRESHOLD as T
 from .views import with_views
@@ -95,14 +95,12 @@ def _(spark, d):
     return rounded(W.misses(V.scored(spark, d), "clean", T).select("sample_id", "probability"))
 
 
-@query("w13_best_candidates", f"""WITH {_CURVES}, r AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY step) AS k, count(*) OVER (PARTITION BY run_id) AS n FROM curves),
-    t AS (SELECT *, median(loss) FILTER (k > n / 2) OVER (PARTITION BY run_id) AS mid FROM r),
-    s AS (SELECT run_id, median(loss) FILTER (k <= 3) AS f, median(loss) FILTER (k > n - 3) AS l, regr_slope(loss, step) AS sl, median(abs(loss - mid)) FILTER (k > n / 2) AS mad FROM t GROUP BY run_id),
-    h AS (SELECT * FROM s WHERE l <= f AND sl <= 0)
-    SELECT (SELECT run_id FROM h ORDER BY l, run_id LIMIT 1) AS best_healthy, (SELECT run_id FROM h ORDER BY mad, l, run_id LIMIT 1) AS recommended, (SELECT count(*) FROM h) AS healthy_runs""")
+@query("w13_canary_summary", f"""WITH {_HEALTH} SELECT (SELECT run_id FROM health WHERE healthy ORDER BY last_loss, slope_100, gradient_p95, run_id LIMIT 1) AS healthiest,
+    (SELECT run_id FROM health WHERE healthy ORDER BY last_score DESC, best_score DESC, run_id LIMIT 1) AS best_validation, (SELECT run_id FROM health WHERE healthy AND run_id % 3 <> 0 ORDER BY last_score DESC, best_score DESC, run_id LIMIT 1) AS recommended,
+    (SELECT count(*) FROM health WHERE healthy) AS healthy_runs, count(DISTINCT points) = 1 AS equal_steps, count(DISTINCT points) = 1 AS equal_samples FROM health""")
 def _(spark, d):
     """W13, I16."""
-    return W.best_candidates(G.curve_health(curves(spark, d)))
+    return W.canary_summary(G.curve_health(*canary(spark, d)))
 
 
 _SUMS = f"cs AS (SELECT label, sample_id, count(*) AS rows, sum((CASE WHEN label = 1 THEN probability >= {T} ELSE probability < {T} END)::INT) AS ok, sum((probability - label) ** 2) AS brier FROM scored GROUP BY ALL), c AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY sample_id) - 1 AS i, count(*) OVER (PARTITION BY label) AS n FROM cs)"

@@ -206,3 +206,63 @@ def test_scoring_keeps_errors(spark):
 
     got = {r.sample_id: (r.raw_logit, r.error) for r in linear.score_to_ledger(df, fn, "x", "m").collect()}
     assert got["a"] == (2.0, None) and got["b"][1].startswith("ValueError")
+
+
+# -- reports and gates, by the cases of the reference's own tests
+
+
+def canary_tables(spark, **change):
+    run = {"losses": [1.0, 0.9, 0.8, 0.7, 0.6, 0.5], "gradients": [5.0] * 6, "scores": [0.6, 0.7, 0.65], "failures": 0} | change
+    curve = [("r", i + 1, x, g) for i, (x, g) in enumerate(zip(run["losses"], run["gradients"]))]
+    return (
+        spark.createDataFrame(curve, "run_id string, step int, loss double, gradient_norm double"), spark.createDataFrame([("r", 10 * i, x) for i, x in enumerate(run["scores"])], "run_id string, step int, macro_score double"),
+        spark.createDataFrame([("r", run["failures"], 6, 288, True)], "run_id string, decode_failures int, steps int, samples int, eligible boolean"),
+    )
+
+
+@pytest.mark.parametrize(("change", "failed"), [
+    ({}, None), ({"losses": [1.0, 1.0, 1.0, 1.2, 1.2, 1.2]}, "loss_not_worse"), ({"losses": [1.0, 1.0, 1.0, 1.1, 1.1, 1.1]}, None), ({"gradients": [5.0, 5.0, 5.0, 5.0, 100.0, 100.0]}, "gradient_bounded"), ({"gradients": [900.0] + [5.0] * 20, "losses": [1.0] * 21}, None),
+    ({"scores": [0.6, 0.7, 0.58]}, "validation_not_worse"), ({"failures": 1}, "no_decode_failures"), ({"losses": [1.0, 0.9, float("nan"), 0.7, 0.6, 0.5]}, "finite"),
+])
+def test_curve_checks(spark, change, failed):
+    r = slices.curve_health(*canary_tables(spark, **change)).first()
+    assert [c for c in slices.CHECKS if not r[c]] == ([failed] if failed else []) and r.healthy == (failed is None)
+    s = sampling.canary_summary(slices.curve_health(*canary_tables(spark, **change))).first()
+    assert (s.healthiest, s.recommended, s.best_validation) == ((None,) * 3 if failed else ("r",) * 3) and s.equal_steps
+
+
+def test_short_curves_fail(spark):
+    for change in ({"losses": [1.0] * 5, "gradients": [1.0] * 5}, {"scores": [0.5, 0.6]}):
+        with pytest.raises(Exception, match="incomplete curve"):
+            slices.curve_health(*canary_tables(spark, **change)).collect()
+
+
+def rank_rows(spark, reverse=False):
+    rows = [(f"r{i}", "clean", -3.0, 0, "real") for i in range(30)] + [(f"f{g}{i}", "clean", 3.0, 1, f"fake{g}") for g in range(3) for i in range(10)]
+    manifest = spark.createDataFrame([(s, y, g, "calibration") for s, _, _, y, g in rows], "sample_id string, label int, group_id string, role string")
+    ledger = spark.createDataFrame([(s, v, -x if reverse else x, None) for s, v, x, _, _ in rows], "sample_id string, view string, raw_logit double, error string")
+    return manifest, ledger
+
+
+def test_tournament_ranks_eligible_first(spark):
+    manifest, good = rank_rows(spark)
+    _, bad = rank_rows(spark, True)
+    rows = {r.model: r for r in gates.rank_tournament(manifest, {"good": good, "bad": bad}, 0.65, {"good": True}).collect()}
+    assert rows["good"].rank == 1 and rows["good"].eligible and not rows["bad"].eligible
+    assert rows["good"].macro_score == 1.0 and rows["good"].auc == 1.0 and rows["bad"].auc == 0.0
+    with pytest.raises(Exception, match="no eligible candidate"):
+        gates.rank_tournament(manifest, {"good": good}, 0.65, {}).collect()
+    with pytest.raises(Exception, match="not in the manifest"):
+        gates.rank_tournament(manifest.where("sample_id <> 'r3'"), {"good": good}, 0.65, {"good": True}, ("identity",)).collect()
+
+
+def test_report_needs_all_predictions(spark):
+    roles = [(role, y, f"{role}{y}{g}") for role in ("calibration", "test") for y in (0, 1) for g in range(3)]
+    rows = [(f"{g}{i}", y, g, role) for role, y, g in roles for i in range(3)]
+    manifest = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "sample_id string, label int, group_id string, role string, line int")
+    ledger = spark.createDataFrame([(s, v, k, 3.0 if y else -3.0, None) for s, y, _, _ in rows for k, v in enumerate(("clean", "web"))], "sample_id string, view string, view_pos int, raw_logit double, error string")
+    audit = spark.createDataFrame([("duplicate_sample_id", 0, "error"), ("near_overlap", 2, "warning")], "code string, n int, severity string")
+    got = {r.gate.split()[0]: r for r in gates.evaluation_report(manifest, ledger, audit, ["clean", "web"], 0.65, 20, 1)["gates"].collect()}
+    assert got["manifest_errors"].passed and got["balanced_accuracy"].value == 1.0 and got["class_support"].value == 9 and not got["class_support"].passed
+    with pytest.raises(Exception, match="missing predictions"):
+        gates.evaluation_report(manifest, ledger.where("sample_id <> 'test010' or view <> 'web'"), audit, ["clean", "web"], 0.65, 20, 1)["gates"].collect()
