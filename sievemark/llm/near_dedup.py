@@ -37,7 +37,7 @@ BLOCK_FEATURES, BLOCK_TEXTS = 1 << 18, 1 << 10
 FEW = 32
 """Texts of a block that share a feature, up to which its pairs are counted one by one; it changes speed only."""
 TABLE_BITS = 16
-KEPT = 192
+KEPT = 96
 """Weights whose tables a worker keeps; it changes speed only."""
 
 _U = np.uint64

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-KNOWN_CHARS = 3_000_000
+KNOWN_CHARS = 1_500_000
 """Characters of the words that are remembered."""
 LONG = 64
 _MIX = np.uint64(0x9E3779B97F4A7C15)

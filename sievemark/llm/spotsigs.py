@@ -33,7 +33,7 @@ ANCHORS = frozenset(
     "el los las y del se por con una su para al lo como mas o".split()
 )
 CHAIN = 2
-KNOWN_CHARS = 3_000_000
+KNOWN_CHARS = 1_500_000
 """Characters of the words that a worker remembers; it changes speed only."""
 THRESHOLD = 0.8
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)

@@ -358,14 +358,18 @@ def _decide(weights: np.ndarray, bias: float, extra: list[str]):
             _MACHINES.clear()
             _MACHINES[key] = Machine(weights, bias)
         machine = _MACHINES[key]
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                sets = [strings_of(t.as_py()) for t in part.column(0)]
-                machine.learn(sets)
-                known = machine.known
-                values = [max(map(known.__getitem__, s), default=FLOOR) for s in sets]
-                yield pa.RecordBatch.from_arrays([*[part.column(1 + i) for i in range(len(extra))], pa.array(values, pa.float64())], [*extra, "value"])
+        try:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 512):
+                    part = batch.slice(at, 512)
+                    sets = [strings_of(t.as_py()) for t in part.column(0)]
+                    machine.learn(sets)
+                    known = machine.known
+                    values = [max(map(known.__getitem__, s), default=FLOOR) for s in sets]
+                    yield pa.RecordBatch.from_arrays([*[part.column(1 + i) for i in range(len(extra))], pa.array(values, pa.float64())], [*extra, "value"])
+        finally:  # the worker goes on to other tasks
+            machine.known.clear()
+            machine.chars = 0
 
     return run
 
@@ -394,11 +398,15 @@ def keep_clean(docs: DataFrame, model: dict | None, text_col: str = "text") -> D
     decide = _decide(model["weights"], model["bias"], [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
-                texts = pa.RecordBatch.from_arrays([part.column(at).fill_null("")], ["text"])
-                values = np.concatenate([x.column(0).to_numpy() for x in decide(iter([texts]))])
-                yield part.filter(pa.array(values * slope + offset < 0))
+        parts: list[pa.RecordBatch] = []
+
+        def texts() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for start in range(0, batch.num_rows, 512):
+                    parts.append(batch.slice(start, 512))
+                    yield pa.RecordBatch.from_arrays([parts[-1].column(at).fill_null("")], ["text"])
+
+        for found in decide(texts()):  # a batch for each part
+            yield parts.pop().filter(pa.array(found.column(0).to_numpy() * slope + offset < 0))
 
     return docs.mapInArrow(run, docs.schema)
