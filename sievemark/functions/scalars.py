@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -124,6 +126,21 @@ def bands(h: Column, distance: int) -> Column:
     return F.array(*out)
 
 
+def near_keys(h: Column, distance: int) -> Column:
+    """(band, bits) of which hashes at most `distance` bits apart share one: each choice of `agree` of distance + agree blocks of the 64 bits.
+
+    Up to 4 bits apart 3 of 7 blocks agree: 35 keys of 27 bits or more, so that few rows meet by chance; beyond, blocks would be too narrow and one of distance + 1 does.
+    """
+    agree = 3 if distance <= 4 else 1
+    n, bits = distance + agree, bits_of(h)
+    widths = [64 // n + (i < 64 % n) for i in range(n)]
+    keys = []
+    for i, choice in enumerate(combinations(range(n), agree)):
+        mask = sum(((1 << widths[b]) - 1) << (64 - sum(widths[: b + 1])) for b in choice)
+        keys.append(F.struct(F.lit(i).alias("band"), bits.bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask)).alias("bits")))
+    return F.array(*keys)
+
+
 def median_bits(v: Column) -> Column:
     """16 hex digits: which of 64 coefficients reach the median of the last 63."""
     mid = F.element_at(F.array_sort(F.slice(v, 2, 63)), 32)

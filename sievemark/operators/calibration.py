@@ -59,7 +59,7 @@ def fit_calibrators(df: DataFrame, methods: tuple[str, ...], target: float, by:
 
 def select_calibrator(df: DataFrame, target: float, methods: tuple[str, ...] = METHODS) -> tuple[DataFrame, DataFrame]:
     """(scores per method, the chosen method refitted on all rows). Needs three positive groups. Each fold's rows are scored by a fit on all others."""
-    folds = logo_folds(df)
+    folds = logo_folds(df).persist()  # each Newton step reads it; lost parts are made again
     n = folds.where("label = 1").select("fold").distinct().count()
     if n < 3:
         raise ValueError(f"three positive groups are needed, there are {n}")
@@ -69,7 +69,8 @@ def select_calibrator(df: DataFrame, target: float, methods: tuple[str, ...] = M
     out = folds.join(F.broadcast(fits.withColumnRenamed("held", "fold")), "fold").withColumn("probability", S.calibrate(F.col("raw_logit"), F.col("slope"), F.col("intercept")))
     scores = macro_score(out, target, ("method",)).join(M.rates(M.confusion(out, ["method"], target)).select("method", "balanced_accuracy"), "method").join(M.proper_scores(out, ["method"]), "method")
     best = pick_calibrator(scores).select("method")
-    final = fit_calibrators(df.withColumn("all", F.lit(0)), methods, target, "all").drop("all").join(best, "method")
+    final = fit_calibrators(folds.drop("fold").withColumn("all", F.lit(0)), methods, target, "all").drop("all").join(best, "method")
+    folds.unpersist()
     return scores, final
 
 

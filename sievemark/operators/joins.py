@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from .ranges import places
 
 
 def expected_keys(manifest: DataFrame, views: list[str]) -> DataFrame:
@@ -62,14 +63,14 @@ def paired_views(df: DataFrame, base: str, stress: list[str]) -> DataFrame:
 def banded(df: DataFrame, distance: int, id_col: str = "sample_id") -> DataFrame:
     """(id, phash, role, content_sha256, band, bits) of well-formed hashes: rows that share (band, bits) are candidates."""
     ok = df.where(S.is_hex(F.col("phash"), 16))
-    return ok.select(F.col(id_col).alias("id"), "phash", "role", "content_sha256", F.inline(S.bands(F.col("phash"), distance)))
+    return ok.select(F.col(id_col).alias("id"), "phash", "role", "content_sha256", F.inline(S.near_keys(F.col("phash"), distance)))
 
 
 def near_pairs(df: DataFrame, distance: int, cross: str | None = "role") -> DataFrame:
     """(a, b, distance): each pair of rows of different contents, and roles if `cross`, at most `distance` bits apart, once.
 
-    distance + 1 bands are exact: two hashes that differ in `distance` bits agree in a band. Equal hashes are collapsed to one row per
-    (phash, role, content) with the smallest id, so that copies don't multiply; a pair is kept by its first common band only.
+    The keys are exact: two hashes that differ in `distance` bits share one (`near_keys`). Equal hashes are collapsed to one row per
+    (phash, role, content) with the smallest id, so that copies don't multiply.
     """
     rows = df.groupBy("phash", "role", "content_sha256").agg(F.min("sample_id").alias("sample_id"))
     x = banded(rows, distance)
@@ -84,8 +85,9 @@ def near_pairs(df: DataFrame, distance: int, cross: str | None = "role") -> Data
 def decontaminate(df: DataFrame, protected: DataFrame, distance: int = 4) -> DataFrame:
     """(sample_id, reason): rows of df too near to a protected row; `exact` content goes before `near`."""
     exact = df.join(protected.select("content_sha256").distinct(), "content_sha256", "left_semi").select("sample_id", F.lit("exact").alias("reason"))
-    p = banded(protected.select("sample_id", "phash", "role", "content_sha256").dropDuplicates(["phash"]), distance).select("band", "bits", F.col("phash").alias("p"))
-    near = banded(df, distance).join(p, ["band", "bits"]).where(S.hamming(F.col("phash"), F.col("p")) <= distance).select(F.col("id").alias("sample_id"), F.lit("near").alias("reason"))
+    keys = lambda x, name: x.where(S.is_hex(F.col("phash"), 16)).select(F.col("phash").alias(name)).distinct().select(name, F.inline(S.near_keys(F.col(name), distance)))
+    met = keys(df, "phash").join(keys(protected, "p"), ["band", "bits"]).where(S.hamming(F.col("phash"), F.col("p")) <= distance).select("phash").distinct()
+    near = df.join(met, "phash", "left_semi").select("sample_id", F.lit("near").alias("reason"))
     return exact.unionByName(near).groupBy("sample_id").agg(F.min("reason").alias("reason"))
 
 
@@ -111,9 +113,9 @@ def enrich(df: DataFrame, attempts: DataFrame, key: str, columns: dict[str, obje
 def pick_partner(df: DataFrame, pool: DataFrame, salt: str) -> DataFrame:
     """df with `partner`: the pool row (by id order) at hash modulo n; the next one where that is the row itself and there is another.
 
-    Pool rows are numbered by a count of smaller ids per range of ids, not in one task.
+    Pool rows are numbered in ranges of ids, not in one task.
     """
-    numbered = number_rows(pool.select("sample_id"), "sample_id")
+    numbered = places(pool.select("sample_id"), [], "sample_id", "place")
     n = pool.agg(F.count(F.lit(1)).alias("n"))
     rows = df.crossJoin(n).withColumn("_i", (S.hash_number(salt, F.col("sample_id")) % F.greatest("n", F.lit(1))).cast("long"))  # one row: the count
     p = numbered.select(F.col("place").alias("_p"), F.col("sample_id").alias("_id"))
@@ -122,15 +124,6 @@ def pick_partner(df: DataFrame, pool: DataFrame, salt: str) -> DataFrame:
     return rows.join(p.select(F.col("_p").alias("_j"), F.col("_id").alias("partner")), "_j", "left").drop("_i", "_j", "_one", "n")
 
 
-def number_rows(df: DataFrame, key: str, buckets: int = 256) -> DataFrame:
-    """df with `place`, 0 for the smallest key: places within hash-ordered prefixes of the key, after the counts of the prefixes before."""
-    pre = F.substring(F.col(key).cast("string"), 1, 2)
-    counts = df.groupBy(pre.alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
-    starts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    rows = df.withColumn("_b", pre).withColumn("_k", F.row_number().over(Window.partitionBy("_b").orderBy(key)) - 1)
-    return rows.join(starts, "_b").withColumn("place", (F.col("_start") + F.col("_k")).cast("long")).drop("_b", "_k", "_start")
-
-
 def strict_lookup(ledger: DataFrame, manifest: DataFrame) -> DataFrame:
     """ledger with the manifest's label and group; a sample that isn't in the manifest fails."""
     m = manifest.select("sample_id", "label", "group_id", F.lit(True).alias("_here"))

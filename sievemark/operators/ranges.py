@@ -1,0 +1,65 @@
+"""Places and running sums over groups of any size: rows go to ranges of their order, and a range starts at the sums of those before it.
+
+No window spans a group, so a group that holds all rows is still spread over PARTS tasks. The ranges end at approximate quantiles of
+each group, an aggregate that combines map-side; they spread the work only, results are exact whatever they are.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+PARTS = 64  # a power of two
+
+
+def quantiles(c: Column | str) -> Column:
+    return F.percentile_approx(c, [k / PARTS for k in range(1, PARTS)], 1000)
+
+
+def attach(df: DataFrame, other: DataFrame, by: list[str]) -> DataFrame:
+    """df with the columns of other, which has at most a row per key; null is a key like others."""
+    if not by:
+        return df.crossJoin(other)  # one row
+    o = other.select(*[F.col(k).alias(f"_o_{k}") for k in by], *[c for c in other.columns if c not in by])
+    same = [F.col(k).eqNullSafe(F.col(f"_o_{k}")) for k in by]
+    return df.join(o, same).drop(*[f"_o_{k}" for k in by])
+
+
+def with_range(df: DataFrame, value: str, bounds: str, out: str) -> DataFrame:
+    """df with `out`: how many of the PARTS - 1 sorted bounds lie below the value, by halving. Null values come first."""
+    df, step = df.withColumn(out, F.lit(0)), PARTS // 2
+    while step:
+        df = df.withColumn(out, F.col(out) + F.when(F.col(value) > F.get(bounds, F.col(out) + (step - 1)), step).otherwise(0))
+        step //= 2
+    return df
+
+
+def before(by: list[str], *order: Column | str):
+    """The rows of the group before the current one."""
+    return Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+
+
+def sum_before(c: str, window) -> Column:
+    return F.coalesce(F.sum(c).over(window), F.lit(0))
+
+
+def _number(key: str) -> Column:
+    """The seven bytes after the prefix that all keys of the group share, as a number that keeps their order."""
+    rest = F.hex(F.encode(F.expr(f"substring(`{key}`, _skip + 1, 7)"), "utf-8"))
+    return F.conv(F.rpad(F.substring(rest, 1, 14), 14, "0"), 16, 10).cast("long")
+
+
+def places(df: DataFrame, by: list[str], key: str, out: str, size: str = "_size") -> DataFrame:
+    """df with `out`, the place by key within the group from 0, and `size`, the group's rows. Null keys come first; the order of equal keys is open."""
+    text = dict(df.dtypes)[key] == "string"
+    ends = df.groupBy(*by).agg(F.count(F.lit(1)).alias(size), *([F.min(key).alias("_lo"), F.max(key).alias("_hi")] if text else []))
+    if text:
+        shared = F.expr("array_max(filter(sequence(0, length(_lo)), k -> left(_lo, k) = left(_hi, k)))")
+        ends = ends.withColumn("_skip", F.coalesce(shared, F.lit(0))).drop("_lo", "_hi")
+    rows = attach(df, ends, by).withColumn("_v", _number(key) if text else F.col(key))
+    rows = with_range(attach(rows, rows.groupBy(*by).agg(quantiles("_v").alias("_bounds")), by), "_v", "_bounds", "_range").drop("_v", "_bounds", "_skip")
+    starts = rows.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    starts = starts.withColumn("_start", sum_before("_n", before(by, "_range"))).drop("_n")
+    rows = rows.withColumn(out, F.row_number().over(Window.partitionBy(*by, "_range").orderBy(key)))
+    rows = attach(rows, starts, [*by, "_range"]).withColumn(out, F.col("_start") + F.col(out) - 1).drop("_range", "_start")
+    return rows.drop("_size")

@@ -5,17 +5,17 @@ A replicate draws whole clusters (images, groups); only each cluster's sums are
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from .joins import weighted_draw
+from .ranges import places
 
 
 def numbered(df: DataFrame, by: list[str], key: str) -> DataFrame:
     """df with (i, n): place by key within the group, and the group's size; df has a row per cluster."""
-    w = Window.partitionBy(*by)
-    return df.withColumn("i", F.row_number().over(w.orderBy(key)) - 1).withColumn("n", F.count(F.lit(1)).over(w))
+    return places(df, by, key, "i", "n")
 
 
 def draw_weights(clusters: DataFrame, replicates: int, seed: int, by: str = "label") -> DataFrame:
@@ -102,7 +102,7 @@ def group_auc_bootstrap(a: DataFrame, b: DataFrame, replicates: int, seed: int,
 def balanced_plan(df: DataFrame, steps: range, batch: int, seed: int, exponent: float) -> DataFrame:
     """(step, label, slot, sample_id, draw_seed): each step takes half a batch of each class; a source's chance is its size to the
     power `exponent`, a row's is even within its source. A step depends on its number only, so a plan can be made in parts."""
-    rows = df.withColumn("i", F.row_number().over(Window.partitionBy("label", "source").orderBy("sample_id")) - 1)
+    rows = places(df.select("label", "source", "sample_id"), ["label", "source"], "sample_id", "i")
     sources = df.groupBy("label", "source").agg(F.count(F.lit(1)).alias("n"))
     spark, plans = df.sparkSession, []
     for label in (0, 1):
