@@ -46,7 +46,7 @@ OTHERS = 16
 LETTERS = 26 + len(ACCENTED) + OTHERS + 1
 """a to z, the accented, OTHERS symbols that letters beyond Latin-1 share by code point, and one for every other letter or digit."""
 FLOOR = -1.0
-CACHE_CHARS = 2_500_000
+CACHE_CHARS = 1_500_000
 """Characters of the tokens whose value a worker remembers; beyond it the memory is emptied. It changes speed only."""
 
 DROP, SEP = 255, 254
@@ -370,6 +370,7 @@ def _decide(weights: np.ndarray, bias: float, extra: list[str]):
         finally:  # the worker goes on to other tasks
             machine.known.clear()
             machine.chars = 0
+            pa.default_memory_pool().release_unused()
 
     return run
 
