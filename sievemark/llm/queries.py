@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, chat, exact_dedup, mixing, near_dedup, ring_shard, secret_scan, spotsigs, suffix_dedup, toxicity
+from . import byte_bpe, chat, exact_dedup, html_main, mixing, near_dedup, ring_shard, secret_scan, spotsigs, suffix_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_spotsigs": spotsigs.op8_spotsigs,
     "op9_mix_sources": mixing.op9_mix_sources,
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
+    "op11_html_main": html_main.op11_html_main,
 }
 
 ORACLE_SQL: dict[str, str] = exact_dedup.ORACLE_SQL | chat.ORACLE_SQL
