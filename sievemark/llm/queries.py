@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, chat, exact_dedup, hard_negatives, html_main, mixing, near_dedup, ring_shard, secret_scan, spotsigs, suffix_dedup, toxicity
+from . import byte_bpe, chat, collocations, exact_dedup, hard_negatives, html_main, mixing, near_dedup, ring_shard, secret_scan, spotsigs, suffix_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -20,7 +20,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mix_sources": mixing.op9_mix_sources,
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
     "op11_html_main": html_main.op11_html_main,
+    "op12_collocations": collocations.op12_collocations,
     "op13_hard_negatives": hard_negatives.op13_hard_negatives,
 }
 
-ORACLE_SQL: dict[str, str] = exact_dedup.ORACLE_SQL | chat.ORACLE_SQL | hard_negatives.ORACLE_SQL
+ORACLE_SQL: dict[str, str] = exact_dedup.ORACLE_SQL | chat.ORACLE_SQL | collocations.ORACLE_SQL | hard_negatives.ORACLE_SQL
