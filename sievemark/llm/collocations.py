@@ -1,6 +1,7 @@
 """Phrase collocations from count streams in prefix and in suffix order.
 
-Tasks count the phrases of one to three words of their texts; the sums by phrase are the only shuffle that grows with the corpus.
+Tasks count the phrases of one to three words of their texts and deal them by hash into buckets; a bucket's counts travel as compressed blocks of phrases in order of their words,
+so that the one shuffle that grows with the corpus costs a few bytes a phrase. A bucket holds about BUCKET bytes of text whatever the corpus is, and a phrase comes once from each task.
 What has fewer than `least` occurrences can't matter further: no part of a candidate is rarer than the candidate.
 
 The counts are then two streams on disk, in ranges: in prefix order a phrase follows the phrases that it begins with, in suffix order those it ends in.
@@ -17,6 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,7 +29,7 @@ LEAST, COVERED, TOP = 10, 50, 2000
 """Occurrences of a candidate; per cent of them within a longer candidate that drop it; rows kept of each language."""
 TOKENS = 2_000_000
 """Words that a task counts at once; a longer text is one count."""
-OUT = 100_000
+BUCKET = 8 << 20
 DENSE = 1 << 21
 """Up to so many distinct words, three of them fit 63 bits."""
 
@@ -86,51 +88,89 @@ def phrases(words: np.ndarray, piece: np.ndarray, size: int) -> Iterator[tuple[l
         yield [head // size, head % size, u % size], n
 
 
-def _counted(langs: list[str], texts: list[pa.Array]) -> Iterator[pa.RecordBatch]:
-    """Counts of some texts; langs has the language of each text."""
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return h ^ (h >> np.uint64(29))
+
+
+def _block(phrase: pa.Array, n: np.ndarray) -> bytes:
+    sink = pa.BufferOutputStream()
+    batch = pa.RecordBatch.from_arrays([phrase, pa.array(n.astype(np.int64))], names=["phrase", "n"])
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _counted(langs: list[str], texts: list[pa.Array], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Counts of some texts, a block for each language and bucket; langs has the language of each text. The empty phrase counts all words."""
     column = pa.concat_arrays([t.cast(pa.large_binary()) for t in texts])
     names, of_text = np.unique(np.array(langs, dtype=object), return_inverse=True)
     words, number, piece, text = tokens(column)
     lang = of_text[text] if len(text) else np.zeros(0, np.int64)
     order = np.argsort(lang, kind="stable")
     number, piece, lang = number[order], piece[order], lang[order]
+    hashes = np.fromiter((xxhash.xxh64_intdigest(w.as_buffer()) for w in words), np.uint64, len(words))
     for k, name in enumerate(names):
         a, b = np.searchsorted(lang, [k, k + 1])
         if a == b:
             continue
-        yield _batch(name, 0, pa.array([b""], pa.large_binary()), np.array([b - a]))
+        found, count, at = [pa.array([b""], pa.large_binary())], [np.array([b - a])], [np.zeros(1, np.int64)]
         for parts, n in phrases(number[a:b], piece[a:b], len(words)):
-            for f in range(0, len(n), OUT):
-                own = [words.take(pa.array(p[f : f + OUT])) for p in parts]
-                yield _batch(name, len(parts), pc.binary_join_element_wise(*own, pa.scalar(b" ", pa.large_binary())) if len(own) > 1 else own[0], n[f : f + OUT])
-
-
-def _batch(lang: str, k: int, phrase: pa.Array, n: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), pa.array(np.full(len(n), k, np.int32)), phrase.cast(pa.binary()).view(pa.string()), pa.array(n.astype(np.int64))], names=["lang", "k", "phrase", "n"])
-
-
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    langs, texts, size = [], [], 0
-    for b in batches:
-        column = b.column("text").cast(pa.binary())
-        for f in range(0, len(column)):
-            own = column.slice(f, 1)
-            langs.append(b.column("lang")[f].as_py())
-            texts.append(own)
-            size += len(own[0].as_buffer()) // 5 + 1
-            if size > TOKENS:
-                yield from _counted(langs, texts)
-                langs, texts, size = [], [], 0
-    if texts:
-        yield from _counted(langs, texts)
+            own = [words.take(pa.array(p)) for p in parts]
+            found.append(pc.binary_join_element_wise(*own, pa.scalar(b" ", pa.large_binary())) if len(own) > 1 else own[0])
+            count.append(n)
+            h = np.zeros(len(n), np.uint64)
+            for p in parts:
+                h = _mix(h + hashes[p])
+            at.append((h % np.uint64(buckets)).astype(np.int64))
+        found, count, at = pa.concat_arrays(found), np.concatenate(count), np.concatenate(at)
+        order = np.argsort(at, kind="stable")
+        found, count, ends = found.take(pa.array(order)), count[order], np.searchsorted(at[order], np.arange(buckets + 1))
+        full = np.flatnonzero(ends[1:] > ends[:-1])
+        for f in range(0, len(full), 64):
+            some = full[f : f + 64]
+            blocks = [_block(found.slice(ends[i], ends[i + 1] - ends[i]), count[ends[i] : ends[i + 1]]) for i in some]
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(some), pa.string()), pa.array(some.astype(np.int32)), pa.array(blocks, pa.binary())], names=["lang", "bucket", "block"])
+
+
+def _count(buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        langs, texts, size = [], [], 0
+        for b in batches:
+            column = b.column("text").cast(pa.binary())
+            for f in range(0, len(column)):
+                own = column.slice(f, 1)
+                langs.append(b.column("lang")[f].as_py())
+                texts.append(own)
+                size += len(own[0].as_buffer()) // 5 + 1
+                if size > TOKENS:
+                    yield from _counted(langs, texts, buckets)
+                    langs, texts, size = [], [], 0
+        if texts:
+            yield from _counted(langs, texts, buckets)
+
+    return run
+
+
+def _sums(least: int):
+    def run(blocks: pa.Table) -> pa.Table:
+        tables = [pa.ipc.open_stream(x.as_buffer()).read_all() for c in blocks.column("block").chunks for x in c]
+        f = pa.concat_tables(tables).group_by("phrase").aggregate([("n", "sum")])
+        f = f.filter(pc.or_(pc.greater_equal(f["n_sum"], least), pc.equal(f["phrase"], b"")))
+        k = pc.if_else(pc.equal(f["phrase"], b""), 0, pc.add(pc.count_substring(f["phrase"], " "), 1)).cast(pa.int32())
+        phrase = pa.chunked_array([c.cast(pa.binary()).view(pa.string()) for c in f["phrase"].chunks], pa.string())
+        lang = pa.array([blocks.column("lang")[0].as_py()] * len(f), pa.string())
+        return pa.table([lang, k, phrase, f["n_sum"]], names=["lang", "k", "phrase", "f"])
+
+    return run
 
 
 def phrase_counts(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """(lang, k, phrase, f) of phrases of k = 1 to 3 words of at least `least` occurrences within pieces; k = 0 has all words of the language."""
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), text_of().alias("text"))
-    counts = rows.mapInArrow(_count, "lang string, k int, phrase string, n long")
-    # Tasks have summed their own already, so sums are taken once, after the shuffle.
-    return counts.repartition("lang", "phrase").groupBy("lang", "k", "phrase").agg(F.sum("n").alias("f")).where((F.col("f") >= least) | (F.col("k") == 0))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = rows.mapInArrow(_count(size // BUCKET + 1), "lang string, bucket int, block binary")
+    return blocks.groupBy("lang", "bucket").applyInArrow(_sums(least), "lang string, k int, phrase string, f long")
 
 
 def lockstep(rows: DataFrame, words: list[Column], sub1: str, sub2: str, extension: str, name: str) -> DataFrame:
@@ -161,7 +201,6 @@ def scored(counts: DataFrame, covered: int = COVERED) -> DataFrame:
     w = F.split("phrase", " ")
     rows = lockstep(counts.where("k > 0"), [F.get(w, i) for i in range(3)], "first1", "first2", "right", "prefix-stream")
     rows = lockstep(rows, [F.get(w, F.col("k") - 1 - i) for i in range(3)], "last1", "last2", "left", "suffix-stream")
-    d = lambda c: F.col(c).cast("decimal(19,0)")
     cut = lambda l, r: F.struct(F.expr(f"cast(1000000 as decimal(7,0)) * cast(f as decimal(16,0)) * cast(f as decimal(15,0)) div (cast({l} as decimal(19,0)) * cast({r} as decimal(19,0)))").alias("score"), F.col(l).alias("l"), F.col(r).alias("r"))
     one, two = cut("first1", "last1"), F.when(cut("first1", "last2")["score"] <= cut("first2", "last1")["score"], cut("first1", "last2")).otherwise(cut("first2", "last1"))
     kept = F.coalesce(100 * F.greatest("left", "right") < covered * F.col("f"), F.lit(True))

@@ -58,14 +58,16 @@ def test_brute(spark):
 def test_counts_of_a_task(monkeypatch, dense, size):
     monkeypatch.setattr(C, "DENSE", dense)
     monkeypatch.setattr(C, "TOKENS", size)
-    monkeypatch.setattr(C, "OUT", 7)
     rows = [(x or "", lang or "und") for _, x, lang, _ in odd(random.Random(dense))]
-    got = collections.Counter()
+    got, where = collections.Counter(), {}
     for f in range(0, len(rows), 25):
         batch = pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows[f : f + 25]]), pa.array([x for _, x in rows[f : f + 25]])], names=["text", "lang"])
-        for b in C._count(iter([batch])):
+        for b in C._count(5)(iter([batch])):
             for r in b.to_pylist():
-                got[r["lang"], r["phrase"]] += r["n"]
+                for x in pa.ipc.open_stream(r["block"]).read_all().to_pylist():
+                    got[r["lang"], x["phrase"].decode()] += x["n"]
+                    bucket = where.setdefault(x["phrase"], r["bucket"])
+                    assert bucket == r["bucket"]
     want = collections.Counter()
     for text, lang in rows:
         for piece in re.split(r"[.,;:!?\x0A-\x0D]", text.translate(AZ)):
@@ -86,10 +88,10 @@ def test_ranges_that_cut_a_prefix(spark):
 
 def test_products_past_64_bits(spark):
     n = 3_000_000_000
-    rows = [("en", 1, "a", n), ("en", 1, "b", n + 1), ("en", 2, "a b", n - 7), ("en", 1, "c", n), ("en", 2, "b c", n // 3), ("en", 3, "a b c", n // 2)]
+    rows = [("en", 1, "a", n), ("en", 1, "b", n + 1), ("en", 2, "a b", n - 7), ("en", 1, "c", n), ("en", 2, "b c", n // 2), ("en", 3, "a b c", n // 2 - 1000)]
     got = {r.phrase: tuple(r) for r in C.scored(spark.createDataFrame(rows, "lang string, k int, phrase string, f long")).collect()}
-    a = n // 2
-    cuts = [(1_000_000 * a * a // (n * (n // 3)), n, n // 3), (1_000_000 * a * a // ((n - 7) * n), n - 7, n)]
+    a = n // 2 - 1000
+    cuts = [(1_000_000 * a * a // (n * (n // 2)), n, n // 2), (1_000_000 * a * a // ((n - 7) * n), n - 7, n)]
     s, l, r = min(cuts, key=lambda x: x[0])
     assert got["a b c"] == ("en", "a b c", a, l, r, s)
     assert got["a b"] == ("en", "a b", n - 7, n, n + 1, 1_000_000 * (n - 7) ** 2 // (n * (n + 1)))
