@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -93,15 +95,15 @@ def rank_tournament(manifest: DataFrame, ledgers: dict[str, DataFrame], target:
     """Models by the macro score of held-out groups, then raw AUC, both on the manifest's rows of role `calibration`; eligible models come first, and without one it fails.
 
     Each model gets its own calibrator, chosen by leave-one-group-out; its slope and intercept after a fit on all rows come along. A prediction of a sample that isn't a calibration row fails."""
-    out = None
-    for name, ledger in ledgers.items():
-        rows = J.strict_lookup(ledger.where("error is null and raw_logit is not null"), manifest.where("role = 'calibration'"))
-        scores, final = C.select_calibrator(rows, target, methods)
-        best = scores.join(final.select("method", "slope", "intercept"), "method").select("macro_score", F.col("balanced_accuracy").alias("pooled_balanced_accuracy"), "log_loss", F.col("method").alias("calibrator"), "slope", "intercept")
-        auc = M.roc_auc(rows.withColumn("probability", F.col("raw_logit")).withColumn("model", F.lit(name)), ["model"])
-        row = best.crossJoin(auc).withColumn("eligible", F.lit(bool(eligible.get(name))))  # one row each
-        out = row if out is None else out.unionByName(row)
-    return W.rank_candidates(out)
+    tables = [l.where("error is null and raw_logit is not null").withColumn("model", F.lit(name)) for name, l in ledgers.items()]
+    rows = J.strict_lookup(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables), manifest.where("role = 'calibration'"))
+    out = []
+    for model, found in C.select_calibrators(rows, "model", target, methods).items():
+        final = found["final"]
+        best = next(r for r in found["scores"] if r["method"] == final["method"])
+        out.append(best | final | {"model": model, "auc": found["auc"], "calibrator": final["method"], "pooled_balanced_accuracy": best["balanced_accuracy"], "eligible": bool(eligible.get(model))})
+    kinds = "macro_score double, pooled_balanced_accuracy double, log_loss double, calibrator string, slope double, intercept double, model string, auc double, eligible boolean"
+    return W.rank_candidates(C.local(manifest.sparkSession, out, kinds))
 
 
 def change(base: DataFrame, new: DataFrame, where: Column, prefix: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from .joins import exclude_hashes
+from .ordered import attach, in_parts, numbered
 
 
 def capped_sample(df: DataFrame, key: str, caps: dict[str, int], seed: int, locator: str, default: int = 0) -> DataFrame:
@@ -66,12 +67,14 @@ def group_folds(df: DataFrame, folds: int, seed: int) -> DataFrame:
     return df.join(dealt, ["label", "group_id"]).withColumn("grouped", F.col("k") >= 2).withColumn("fold", F.when(F.col("grouped"), F.col("_i") % F.greatest("k", F.lit(1))).otherwise(by_content)).drop("_i", "k")
 
 
-def logo_folds(df: DataFrame) -> DataFrame:
-    """df with fold: each positive group is one, in order of name; negatives are dealt over as many by hash."""
-    g = df.where("label = 1").select("group_id").distinct().withColumn("_f", F.row_number().over(Window.orderBy("group_id")) - 1)  # a row per group
-    n = g.agg(F.count(F.lit(1)).alias("_n"))
-    rows = df.join(g, "group_id", "left").crossJoin(n)  # one row
-    return rows.withColumn("fold", F.when(F.col("label") == 1, F.col("_f")).otherwise((S.hash_number(F.col("sample_id")) % F.greatest("_n", F.lit(1))).cast("int"))).drop("_f", "_n")
+def logo_folds(df: DataFrame, by: list[str] = ()) -> DataFrame:
+    """df with fold: each positive group is one, in order of name; negatives are dealt over as many by hash. Within each key of `by`, if given."""
+    by = list(by)
+    g = df.where("label = 1").select(*by, "group_id").distinct()
+    g = numbered(in_parts(g, [*by, "group_id"], "groups"), by, ["group_id"], "_f")
+    n = g.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    rows = attach(df.join(g, [*by, "group_id"], "left"), n, by)
+    return rows.withColumn("fold", F.when(F.col("label") == 1, F.col("_f")).otherwise(S.hash_number(F.col("sample_id")) % F.greatest("_n", F.lit(1))).cast("int")).drop("_f", "_n")
 
 
 def rank_candidates(scores: DataFrame) -> DataFrame:
