@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from .ranges import places
+from .ordered import places
 
 
 def expected_keys(manifest: DataFrame, views: list[str]) -> DataFrame:
@@ -113,7 +113,7 @@ def enrich(df: DataFrame, attempts: DataFrame, key: str, columns: dict[str, obje
 def pick_partner(df: DataFrame, pool: DataFrame, salt: str) -> DataFrame:
     """df with `partner`: the pool row (by id order) at hash modulo n; the next one where that is the row itself and there is another.
 
-    Pool rows are numbered in ranges of ids, not in one task.
+    Pool rows are numbered in parts of the order of ids, not in one task.
     """
     numbered = places(pool.select("sample_id"), [], "sample_id", "place")
     n = pool.agg(F.count(F.lit(1)).alias("n"))

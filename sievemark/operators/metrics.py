@@ -1,16 +1,16 @@
 """Binary-classification metrics as grouped aggregates over (label, probability).
 
 `by` lists the group columns; all functions return one row per group. Undefined rates are null, never NaN. Rank metrics go
-over distinct scores, in ranges of each group's scores (`ranges`), so that no task sorts a group.
+over distinct scores in parts of their order (`ordered`), so that no task sorts a group.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from . import ranges as R
+from .ordered import attach, in_parts, running
 
 COUNTS = ("tp", "tn", "fp", "fn")
 
@@ -52,42 +52,25 @@ def _by_score(df: DataFrame, by: list[str], score: str, weight: Column) -> DataF
     return df.groupBy(*by, F.col(score).alias("_s")).agg(F.sum(F.when(pos, weight).otherwise(0.0)).alias("_pos"), F.sum(F.when(pos, 0.0).otherwise(weight)).alias("_neg"))
 
 
-def _ranged(s: DataFrame, by: list[str]) -> DataFrame:
-    """Rows by score with their range (_r), the sums in it of lower scores (_low_pos, _low_neg), and the group's sums (_all_pos, _all_neg)."""
-    whole = s.groupBy(*by).agg(R.quantiles("_s").alias("_b"), F.sum("_pos").alias("_all_pos"), F.sum("_neg").alias("_all_neg"))
-    s = R.with_range(R.attach(s, whole, by), "_s", "_b", "_r").drop("_b")
-    lower = R.before([*by, "_r"], "_s")
-    return s.withColumns({"_low_pos": R.sum_before("_pos", lower), "_low_neg": R.sum_before("_neg", lower)})
+def _by_order(df: DataFrame, by: list[str], score: str, weight: Column) -> DataFrame:
+    """A row per score with its sums and those of all lower scores (_low_pos, _low_neg)."""
+    parts = in_parts(_by_score(df, by, score, weight), [*by, "_s"], "scores")
+    return running(parts, by, ["_s"], {"_low_pos": F.col("_pos"), "_low_neg": F.col("_neg")})
 
 
 def roc_auc(df: DataFrame, by: list[str], score: str = "probability", weight: str | None = None) -> DataFrame:
     """(*by, auc): ties count half; null unless both classes are there."""
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
-    inside = F.sum(F.col("_pos") * (F.col("_low_neg") + F.col("_neg") / 2))
-    parts = _ranged(_by_score(df, by, score, w), by).groupBy(*by, "_r").agg(F.sum("_pos").alias("_pos"), F.sum("_neg").alias("_neg"), inside.alias("_in"))
-    parts = parts.withColumn("_below", R.sum_before("_neg", R.before(by, "_r")))
-    area = F.sum(F.col("_in") + F.col("_pos") * F.col("_below"))
-    return parts.groupBy(*by).agg(F.try_divide(area, F.sum("_pos") * F.sum("_neg")).alias("auc"))
+    area = F.sum(F.col("_pos") * (F.col("_low_neg") + F.col("_neg") / 2))
+    return _by_order(df, by, score, w).groupBy(*by).agg(F.try_divide(area, F.sum("_pos") * F.sum("_neg")).alias("auc"))
 
 
 def average_precision(df: DataFrame, by: list[str], tie: list[str]) -> DataFrame:
-    """(*by, average_precision): scores descending, ties in the order of `tie`, whose first column is a number.
-
-    Rows whose score is a bound of the ranges, as any frequent score is, form ranges of their own, cut again by that column.
-    """
-    slim = df.select(*by, "label", "probability", *tie)
-    whole = slim.groupBy(*by).agg(R.quantiles("probability").alias("_b"), R.quantiles(tie[0]).alias("_tb"))
-    r = R.with_range(R.with_range(R.attach(slim, whole, by), "probability", "_b", "_r"), tie[0], "_tb", "_t")
-    bound = F.col("probability").eqNullSafe(F.get("_b", "_r"))
-    r = r.withColumns({"_r": -(2 * F.col("_r") + F.when(bound, 0).otherwise(-1)), "_t": F.when(bound, F.col("_t")).otherwise(0)}).drop("_b", "_tb")
-    cell = ["_r", "_t"]
-    starts = r.groupBy(*by, *cell).agg(F.sum("label").alias("_l"), F.count(F.lit(1)).alias("_c"))
-    up = R.before(by, *cell)
-    starts = starts.select(*by, *cell, R.sum_before("_l", up).alias("_hits0"), R.sum_before("_c", up).alias("_rank0"))
-    order = Window.partitionBy(*by, *cell).orderBy(F.desc("probability"), *tie)
-    r = r.withColumn("_hits", F.sum("label").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_rank", F.row_number().over(order))
-    r = R.attach(r, starts, [*by, *cell])
-    gain = F.when(F.col("label") == 1, (F.col("_hits0") + F.col("_hits")) / (F.col("_rank0") + F.col("_rank"))).otherwise(0.0)
+    """(*by, average_precision): scores descending, ties in the order of `tie`."""
+    order = [F.desc("probability"), *tie]
+    parts = in_parts(df.select(*by, "label", "probability", *tie), [*by, *order], "precision")
+    r = running(parts, by, order, {"_hits": F.col("label"), "_rank": F.lit(1)})
+    gain = F.when(F.col("label") == 1, (F.col("_hits") + 1) / (F.col("_rank") + 1)).otherwise(0.0)
     return r.groupBy(*by).agg(F.try_divide(F.sum(gain), F.sum("label")).alias("average_precision"))
 
 
@@ -110,17 +93,14 @@ def optimal_threshold(df: DataFrame, by: list[str], score: str = "raw_logit") ->
     Thresholds below all scores and above them reach 0.5, as does the lowest score itself, so only a best of 0.5 could meet them:
     the value just below the lowest and just above the highest score compete as those scores do.
     """
-    s = _ranged(_by_score(df, by, score, F.lit(1.0)), by)
-    # Of a score, all - low positives - those of the ranges before are true positives and low negatives and those of the ranges before true negatives: the best of a range needs no other range.
-    inside = F.col("_low_neg") * F.col("_all_pos") - F.col("_low_pos") * F.col("_all_neg")
-    best = F.min(F.struct((-inside).alias("g"), F.abs("_s").alias("a"), F.col("_s").alias("t")))
-    parts = s.groupBy(*by, "_r").agg(best.alias("_b"), F.max("_all_pos").alias("_all_pos"), F.max("_all_neg").alias("_all_neg"), F.sum("_pos").alias("_low_pos"), F.sum("_neg").alias("_low_neg"))
-    low = R.before(by, "_r")
-    parts = parts.withColumn("_g", F.col("_b.g") - (F.col("_all_pos") - R.sum_before("_low_pos", low)) * F.col("_all_neg") - R.sum_before("_low_neg", low) * F.col("_all_pos"))
-    first = F.min(F.struct("_g", "_b.a", "_b.t"))
-    return parts.groupBy(*by).agg(first.alias("_b"), F.max("_all_pos").alias("_all_pos"), F.max("_all_neg").alias("_all_neg")).select(
-        *by, F.col("_b.t").alias("threshold"), F.try_divide(-F.col("_b._g"), 2 * F.col("_all_pos") * F.col("_all_neg")).alias("balanced")
-    )
+    rows = _by_order(df, by, score, F.lit(1.0))
+    # True positives are all positives but the lower ones, true negatives the lower negatives; what is the same for all scores of a group is added at the end.
+    all_pos, all_neg = F.sum("_pos").alias("_p"), F.sum("_neg").alias("_n")
+    whole = _by_score(df, by, score, F.lit(1.0)).groupBy(*by).agg(all_pos, all_neg)
+    goal = F.col("_low_neg") * F.col("_p") + (F.col("_p") - F.col("_low_pos")) * F.col("_n")
+    best = F.min(F.struct((-goal).alias("g"), F.abs("_s").alias("a"), F.col("_s").alias("t"))).alias("_b")
+    out = attach(rows, whole, by).groupBy(*by).agg(best, F.max("_p").alias("_p"), F.max("_n").alias("_n"))
+    return out.select(*by, F.col("_b.t").alias("threshold"), F.try_divide(-F.col("_b.g"), 2 * F.col("_p") * F.col("_n")).alias("balanced"))
 
 
 def unique_images(df: DataFrame, by: list[str]) -> DataFrame:

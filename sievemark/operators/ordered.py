@@ -28,10 +28,24 @@ def attach(df: DataFrame, other: DataFrame, by: list[str]) -> DataFrame:
     return df.join(o, [F.col(k).eqNullSafe(F.col(f"_o_{k}")) for k in by]).drop(*[f"_o_{k}" for k in by])
 
 
+def running(parts: DataFrame, by: list[str], keys: list[Column | str], values: dict[str, Column]) -> DataFrame:
+    """parts with a column for each of values: its sum over the rows of the group that come before, in the order that in_parts() was given (by, then keys)."""
+    rows = parts.withColumns({f"_v_{out}": v for out, v in values.items()})
+    per = rows.groupBy(*by, PART).agg(*[F.sum(f"_v_{out}").alias(out) for out in values])
+    before = Window.partitionBy(*by).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)  # a row per group and part
+    per = per.select(*by, PART, *[F.coalesce(F.sum(out).over(before), F.lit(0)).alias(f"_s_{out}") for out in values])
+    own = Window.partitionBy(*by, PART).orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns({out: F.coalesce(F.sum(f"_v_{out}").over(own), F.lit(0)) for out in values})
+    rows = attach(rows, per, [*by, PART]).withColumns({out: F.col(out) + F.col(f"_s_{out}") for out in values})
+    return rows.drop(PART, *[f"{k}_{out}" for k in ("_v", "_s") for out in values])
+
+
 def numbered(parts: DataFrame, by: list[str], keys: list[Column | str], out: str, start: int = 0) -> DataFrame:
     """parts with `out`: the place within the group in the order of keys, which in_parts() was given after the group's columns (or alone)."""
-    per = parts.groupBy(*by, PART).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*by).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)  # a row per group and part
-    per = per.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    rows = parts.withColumn(out, F.row_number().over(Window.partitionBy(*by, PART).orderBy(*keys)))
-    return attach(rows, per, [*by, PART]).withColumn(out, F.col("_start") + F.col(out) - 1 + start).drop("_start", PART)
+    return running(parts, by, keys, {out: F.lit(1)}).withColumn(out, F.col(out) + start)
+
+
+def places(df: DataFrame, by: list[str], key: str, out: str, size: str = "_size") -> DataFrame:
+    """df with `out`, the place by key within the group from 0, and `size`, the group's rows. Null keys come first; the order of equal keys is open."""
+    parts = in_parts(df, [*by, key], "places")
+    return attach(numbered(parts, by, [key], out), parts.groupBy(*by).agg(F.count(F.lit(1)).alias(size)), by)

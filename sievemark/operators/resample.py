@@ -1,6 +1,7 @@
-"""Bootstrap intervals and sampling plans. Draws are hashes of (seed, replicate, slot): the same on any partitioning.
+"""Bootstrap intervals and sampling plans.
 
-A replicate draws whole clusters (images, groups); only each cluster's sums are joined to its draws, never rows.
+A replicate draws whole clusters (images, groups). Its draws come from a splitting tree over the clusters (`replicates`), so the input is read once however many replicates there are;
+clustered_bootstrap() can also take one hash for each replicate and slot, which SQL can do as well. Either way the same seed gives the same result on any partitioning.
 """
 
 from __future__ import annotations
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from .joins import weighted_draw
-from .ranges import places
+from .ordered import places
+from .replicates import replicate_auc, replicate_counts, replicate_sums
 
 
 def numbered(df: DataFrame, by: list[str], key: str) -> DataFrame:
@@ -42,60 +44,78 @@ def intervals(stats: DataFrame, names: list[str], confidence: float) -> DataFram
     return long.groupBy("metric").agg(F.percentile("x", a).alias("low"), F.percentile("x", 1 - a).alias("high"), F.avg("x").alias("mean"))
 
 
-def clustered_bootstrap(df: DataFrame, replicates: int, seed: int, threshold: float, confidence: float = 0.95) -> DataFrame:
-    """Intervals of balanced accuracy, recall, specificity and Brier score; samples are drawn within each class."""
-    c = numbered(cluster_sums(df, threshold), ["label"], "sample_id")
-    w = draw_weights(c, replicates, seed).join(c.drop("n"), ["label", "i"])
-    rate = lambda l: F.try_divide(F.sum(F.when(F.col("label") == l, F.col("ok") * F.col("weight"))), F.sum(F.when(F.col("label") == l, F.col("rows") * F.col("weight"))))
-    stats = w.groupBy("rep").agg(rate(1).alias("recall"), rate(0).alias("specificity"), (F.sum(F.col("brier") * F.col("weight")) / F.sum(F.col("rows") * F.col("weight"))).alias("brier"))
-    stats = stats.withColumn("balanced_accuracy", (F.col("recall") + F.col("specificity")) / 2)
-    return intervals(stats, ["balanced_accuracy", "recall", "specificity", "brier"], confidence)
+def _weighted(names: list[str]):
+    """Kernel: sums of the clusters' columns, each as often as the cluster is drawn."""
+    return lambda table, counts, rng: {n: counts @ table.column(n).to_numpy().astype(float) for n in names}
+
+
+def _rates(sums: DataFrame, prefix: str = "", ok: str = "ok", brier: str = "brier") -> DataFrame:
+    """(rep, recall, specificity, brier, balanced_accuracy) from sums by label and replicate, the names prefixed."""
+    of = lambda l, c: F.sum(F.when(F.col("label") == l, F.col(c)))
+    rate = lambda l: F.try_divide(of(l, ok), of(l, "rows"))
+    stats = sums.groupBy("rep").agg(rate(1).alias(f"{prefix}recall"), rate(0).alias(f"{prefix}specificity"), (F.sum(brier) / F.sum("rows")).alias(f"{prefix}brier"))
+    return stats.withColumn(f"{prefix}balanced_accuracy", (F.col(f"{prefix}recall") + F.col(f"{prefix}specificity")) / 2)
+
+
+def clustered_bootstrap(df: DataFrame, replicates: int, seed: int, threshold: float, confidence: float = 0.95, draws: str = "tree") -> DataFrame:
+    """Intervals of balanced accuracy, recall, specificity and Brier score; samples are drawn within each class. draws: `tree`, or `slots`: a hash for each replicate and slot,
+    which are as many rows as clusters times replicates."""
+    c = cluster_sums(df, threshold)
+    names = ["rows", "ok", "brier"]
+    if draws == "slots":
+        c = numbered(c, ["label"], "sample_id")
+        w = draw_weights(c, replicates, seed).join(c.drop("n"), ["label", "i"])
+        sums = w.groupBy("rep", "label").agg(*[F.sum(F.col(n) * F.col("weight")).alias(n) for n in names])
+    else:
+        sums = replicate_sums(c, ["label"], "sample_id", _weighted(names), names, replicates, seed)
+    return intervals(_rates(sums), ["balanced_accuracy", "recall", "specificity", "brier"], confidence)
 
 
 def bootstrap_auc(df: DataFrame, replicates: int, seed: int, confidence: float = 0.95) -> DataFrame:
-    """Interval of the AUC: each replicate's draws weigh its samples' rows, and a weighted AUC goes by replicate."""
-    from .metrics import roc_auc
+    """Interval of the AUC: each replicate's draws weigh its samples' rows."""
+    w = replicate_counts(df.select("label", "sample_id").distinct(), ["label"], "sample_id", replicates, seed)
+    rows = df.select("label", "sample_id", "probability").join(w, ["label", "sample_id"])
+    return intervals(replicate_auc(rows, [], replicates), ["auc"], confidence)
 
-    c = numbered(df.select("label", "sample_id").distinct(), ["label"], "sample_id")
-    w = draw_weights(c, replicates, seed).join(c.drop("n"), ["label", "i"]).select("rep", "sample_id", "weight")
-    return intervals(roc_auc(df.select("sample_id", "label", "probability").join(w, "sample_id"), ["rep"], weight="weight"), ["auc"], confidence)
+
+def bootstrap_report(df: DataFrame, replicates: int, seed: int, threshold: float, confidence: float = 0.95) -> DataFrame:
+    """Intervals of balanced accuracy, recall, specificity, Brier score and AUC, of the same draws."""
+    return clustered_bootstrap(df, replicates, seed, threshold, confidence).unionByName(bootstrap_auc(df, replicates, seed, confidence))
 
 
 def paired_bootstrap(paired: DataFrame, replicates: int, seed: int, threshold: float, confidence: float = 0.95) -> DataFrame:
     """Intervals of right minus left; promote where the low end of balanced accuracy is over 0. Both sides share the draws."""
-    p = paired.select("sample_id", "label", "left", "right")
-    x, y = cluster_sums(p, threshold, "left"), cluster_sums(p, threshold, "right").select("label", "sample_id", F.col("ok").alias("ok2"), F.col("brier").alias("brier2"))
-    c = numbered(x.join(y, ["label", "sample_id"]), ["label"], "sample_id")
-    w = draw_weights(c, replicates, seed).join(c.drop("n"), ["label", "i"])
-    rate = lambda l: F.try_divide(F.sum(F.when(F.col("label") == l, (F.col("ok2") - F.col("ok")) * F.col("weight"))), F.sum(F.when(F.col("label") == l, F.col("rows") * F.col("weight"))))
-    stats = w.groupBy("rep").agg(rate(1).alias("delta_recall"), rate(0).alias("delta_specificity"), (F.sum((F.col("brier2") - F.col("brier")) * F.col("weight")) / F.sum(F.col("rows") * F.col("weight"))).alias("delta_brier"))
-    stats = stats.withColumn("delta_balanced_accuracy", (F.col("delta_recall") + F.col("delta_specificity")) / 2)
+    ok = lambda p: S.correct(F.col("label"), F.col(p), threshold).cast("long")
+    loss = lambda p: (F.col(p) - F.col("label")) ** 2
+    c = paired.groupBy("label", "sample_id").agg(F.count(F.lit(1)).alias("rows"), F.sum(ok("right") - ok("left")).alias("ok"), F.sum(loss("right") - loss("left")).alias("brier"))
+    names = ["rows", "ok", "brier"]
+    stats = _rates(replicate_sums(c, ["label"], "sample_id", _weighted(names), names, replicates, seed), "delta_")
     out = intervals(stats, ["delta_balanced_accuracy", "delta_recall", "delta_specificity", "delta_brier"], confidence)
     return out.withColumn("promote", (F.col("metric") == "delta_balanced_accuracy") & (F.col("low") > 0))
 
 
+def _drawn_rates(table, counts, rng):
+    """Kernel: the sum of the drawn groups' rates, each draw of a group with draws of its rows. The right ones among w draws of a group of n rows are one binomial draw of w n rows."""
+    rows, ok = (table.column(c).to_numpy() for c in ("rows", "ok"))
+    return {"rate": (rng.binomial(counts * rows, ok / rows) / rows).sum(axis=1), "groups": counts.sum(axis=1)}
+
+
 def hierarchical_bootstrap(df: DataFrame, replicates: int, seed: int, threshold: float, confidence: float = 0.95) -> DataFrame:
-    """Groups are drawn within each class, then rows within each drawn group. Of a group only its size and how many are right count: a drawn row below that is right."""
+    """Groups are drawn within each class, then rows within each drawn group. Of a group only its size and how many are right count."""
     g = df.groupBy("label", "group_id").agg(F.count(F.lit(1)).alias("rows"), F.sum(S.correct(F.col("label"), F.col("probability"), threshold).cast("long")).alias("ok"))
-    c = numbered(g, ["label"], "group_id")
-    slots = c.select("label", F.col("i").alias("slot"), "n").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    slots = slots.withColumn("i", F.floor(S.uniform(str(seed), F.col("rep"), F.col("label"), F.col("slot")) * F.col("n")).cast("int")).drop("n")
-    drawn = slots.join(c.select("label", "i", "rows", "ok"), ["label", "i"]).withColumn("k", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
-    hit = (F.floor(S.uniform(str(seed), F.lit("row"), F.col("rep"), F.col("label"), F.col("slot"), F.col("k")) * F.col("rows")) < F.col("ok")).cast("int")
-    per = drawn.groupBy("rep", "label", "slot").agg(F.avg(hit).alias("r")).groupBy("rep", "label").agg(F.avg("r").alias("r"))
+    per = replicate_sums(g, ["label"], "group_id", _drawn_rates, ["rate", "groups"], replicates, seed).withColumn("r", F.col("rate") / F.col("groups"))
     stats = per.groupBy("rep").agg(F.max(F.when(F.col("label") == 1, F.col("r"))).alias("macro_recall"), F.max(F.when(F.col("label") == 0, F.col("r"))).alias("macro_specificity"))
     stats = stats.withColumn("macro_balanced_accuracy", (F.col("macro_recall") + F.col("macro_specificity")) / 2)
     return intervals(stats, ["macro_recall", "macro_specificity", "macro_balanced_accuracy"], confidence)
 
 
 def group_auc_bootstrap(a: DataFrame, b: DataFrame, replicates: int, seed: int, confidence: float = 0.9) -> DataFrame:
-    """Interval of the AUC of a less that of b, mean over views, groups drawn within each class."""
-    from .metrics import roc_auc
-
-    g = numbered(a.select("label", "group_id").distinct(), ["label"], "group_id")
-    w = draw_weights(g, replicates, seed).join(g.drop("n"), ["label", "i"]).select("rep", "label", "group_id", "weight")
-    auc = lambda df, name: roc_auc(df.select("label", "group_id", "view", "probability").join(w, ["label", "group_id"]), ["rep", "view"], weight="weight").withColumnRenamed("auc", name)
-    stats = auc(a, "x").join(auc(b, "y"), ["rep", "view"]).groupBy("rep").agg(F.avg(F.col("x") - F.col("y")).alias("delta_auc"))
+    """Interval of the AUC of a less that of b, mean over views, groups drawn within each class; a replicate that drew one class only has none."""
+    w = replicate_counts(a.select("label", "group_id").distinct(), ["label"], "group_id", replicates, seed)
+    slim = lambda df, side: df.select("label", "group_id", "view", "probability", F.lit(side).alias("side"))
+    rows = slim(a, 1).unionByName(slim(b, -1)).join(w, ["label", "group_id"])
+    per = replicate_auc(rows, ["side", "view"], replicates)
+    stats = per.groupBy("rep", "view").agg(F.sum(F.col("auc") * F.col("side")).alias("d"), F.count("auc").alias("n")).where("n = 2").groupBy("rep").agg(F.avg("d").alias("delta_auc"))
     return intervals(stats, ["delta_auc"], confidence)
 
 

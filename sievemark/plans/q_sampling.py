@@ -115,7 +115,13 @@ def iv(name: str) -> str:
     sum(brier * weight) / sum(rows * weight) AS brier FROM w JOIN c USING (label, i) GROUP BY rep), st AS (SELECT *, (recall + specificity) / 2 AS balanced_accuracy FROM s0)
     {' UNION ALL '.join(map(iv, ['balanced_accuracy', 'recall', 'specificity', 'brier']))}""", *BASE))
 def _(spark, d):
-    return rounded(X.clustered_bootstrap(V.scored(spark, d), R, 11, T))
+    """With a hash for each slot, as SQL can draw too; the tree is x1_bootstrap_report's."""
+    return rounded(X.clustered_bootstrap(V.scored(spark, d), R, 11, T, draws="slots"))
+
+
+@query("x1_bootstrap_report")
+def _(spark, d):
+    return rounded(X.bootstrap_report(V.scored(spark, d), R, 11, T))
 
 
 @query("x1_bootstrap_auc")

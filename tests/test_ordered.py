@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from sievemark.operators import metrics, ranges, resample
+from sievemark.operators import metrics, ordered, resample
 
 GROUPS = ("a", "b", None)
 
@@ -68,7 +68,7 @@ def test_places(spark, by):
     keys = [f"img/é_{r.choice('01')}{r.randrange(10**k):0{k}d}" for k in (1, 4, 12) for _ in range(150)] + ["", "img", "zz" * 50]
     data = [(r.choice(GROUPS), k) for k in sorted(set(keys))] + [("a", None)]
     df = spark.createDataFrame(data, "view string, key string").repartition(3)
-    got = {(x["view"], x["key"]): (x["place"], x["n"]) for x in ranges.places(df, by, "key", "place", "n").collect()}
+    got = {(x["view"], x["key"]): (x["place"], x["n"]) for x in ordered.places(df, by, "key", "place", "n").collect()}
     for g in GROUPS if by else [0]:
         of = sorted((x for x in data if not by or x[0] == g), key=lambda x: (x[1] or "").encode() if x[1] is not None else b"")
         of.sort(key=lambda x: x[1] is not None)
@@ -77,7 +77,7 @@ def test_places(spark, by):
 
 def test_empty(spark):
     df = spark.createDataFrame([], "view string, key string, label int, probability double, line int")
-    assert not ranges.places(df, ["view"], "key", "i").collect() and not ranges.places(df, [], "key", "i").collect()
+    assert not ordered.places(df, ["view"], "key", "i").collect() and not ordered.places(df, [], "key", "i").collect()
     assert not metrics.average_precision(df, ["view"], ["line"]).collect()
 
 
