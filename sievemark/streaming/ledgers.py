@@ -20,9 +20,17 @@ def first_rows(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     return df.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).where("_k = 1").drop("_k")
 
 
-def done_jobs(df: DataFrame, job: str, error: str = "error") -> DataFrame:
-    """(job, done, attempts): a success closes a job, errors leave it open. A stream needs output mode update or complete."""
-    return df.groupBy(job).agg(F.bool_or(F.col(error).isNull()).alias("done"), F.count(F.lit(1)).alias("attempts"))
+def done_jobs(df: DataFrame, job: str, error: str = "error", time: str | None = None, delay: str = "1 day", window: str = "1 day") -> DataFrame:
+    """(job, done, attempts): a success closes a job, errors leave it open. On a stream give an event time: then it is (job, start, done, attempts) by window of that time, in update mode,
+    whose state goes with the watermark; all_windows() sums up what a keyed sink holds."""
+    out = (F.bool_or(F.col(error).isNull()).alias("done"), F.count(F.lit(1)).alias("attempts"))
+    if time:
+        return df.withWatermark(time, delay).groupBy(job, F.window(time, window)).agg(*out).select(job, F.col("window.start").alias("start"), "done", "attempts")
+    return df.groupBy(job).agg(*out)
+
+
+def all_windows(windows: DataFrame, job: str) -> DataFrame:
+    return windows.groupBy(job).agg(F.bool_or("done").alias("done"), F.sum("attempts").alias("attempts"))
 
 
 def budget_cut(df: DataFrame, account: str, order: str, cost: str, bound: float) -> DataFrame:
