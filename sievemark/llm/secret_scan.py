@@ -4,10 +4,12 @@ Candidates are the value runs of words (letters, digits and + / _ @ . - between
 a digit, all of at least LEAST characters, and shorter ones without a digit (passwords) where they are assigned by = or : or follow a word that announces a secret.
 Left out are short runs of letters that nothing assigns or announces, as all prose consists of them. Values with other signs in them (! # $) or with
 letters beyond ASCII are given as their runs; the password of an address (scheme://user:password@host) is a run of its own. Features: the value's length, shares of digits, capitals and distinct
-characters, changes between letters and digits, how much of it common words of the corpus cover (counted over all documents), the path, and
+characters, changes between letters and digits, how likely its pairs of letters are in the words of the corpus, how much of it are words of the corpus (those of KNOWN documents or more, of any
+script; both counted over all documents), the path, and
 the words around it. The forest learns from labelled findings, a bounded sample of them. No table holds any, so planted() makes them: into the words of documents it writes
 values whose truth is known because it wrote them, secrets and the look-alikes that fill code and logs (digests, identifiers, versions, addresses, paths, settings); the forest sees no kind,
-only features. Many pairs of kinds have the same form, such as 40 hexadecimal digits after `token` and after `commit`, so that only length, covering words, place and words nearby tell them apart.
+only features. With them it learns from untouched() candidates of the documents themselves, prose for the most part, as false ones: a secret among those that no pattern knows counts as false too,
+which costs as much recall as such secrets are common among candidates. Many pairs of kinds have the same form, such as 40 hexadecimal digits after `token` and after `commit`, so that only length, covering words, place and words nearby tell them apart.
 by_rule() is what patterns alone say, for comparison; no score comes from it.
 
 Defined results: null and empty texts have no candidates; null paths count as empty; without labelled findings of both kinds all scores are 0;
@@ -26,7 +28,9 @@ from pyspark.sql import functions as F
 
 from .common import documents, text_of, written
 
-LEAST, COMMON = 12, 300
+LEAST, KNOWN = 12, 2
+PAIRS, RARE = 4096, -9.0
+"""Pairs of letters that are kept, the commonest; the log chance that others count with."""
 SAMPLE = 20_000
 """Labelled findings of each label that training takes at most: those with the lowest hashes."""
 DOCUMENTS, EACH = 5_000, 6
@@ -37,13 +41,19 @@ ANNOUNCING = "token|secret|key|password|passwd|pwd|api|auth|bearer|credential|pr
 ANNOUNCED = rf"(?i)({ANNOUNCING})s?[\"'`]?[=:]?$"
 RUN = "[+/_@.-]*[A-Za-z0-9][A-Za-z0-9+/_@.-]*"
 EXAMPLES = "test|example|sample|mock|fixture|dummy|doc"
-FEATURES = ("length", "digits", "capitals", "distinct", "changes", "dots", "signs", "coverage", "path_length", "path_example", "announced", "assigned", "quoted", "example_near", "number_next")
+FEATURES = ("length", "digits", "capitals", "distinct", "changes", "dots", "signs", "coverage", "fluency", "path_length", "path_example", "announced", "assigned", "quoted", "example_near", "number_next")
 
 
-def common_words(docs: DataFrame, text_col: str = "text", n: int = COMMON) -> list[str]:
-    """The n commonest words of three to six letters; a bounded list."""
-    words = docs.select(F.explode(F.split(F.lower(text_of(text_col)), "[^a-z]+")).alias("w")).where("length(w) between 3 and 6")
-    return [r[0] for r in words.groupBy("w").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "w").limit(n).collect()]
+def vocabulary(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(words, pairs): (word, n) of every lower-case word of letters with the documents that hold it, and (pair, chance) of the PAIRS commonest pairs of letters: the log chance of the second
+    letter after the first, over the words as often as documents hold them."""
+    each = docs.select(F.explode(F.array_distinct(F.split(F.lower(text_of(text_col)), r"[^\p{L}]+"))).alias("word")).where("word <> ''")
+    words = written(each.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "words")
+    pair = F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.substring("word", i, 2)))
+    pairs = words.where("length(word) > 1").select(pair.alias("pair"), "n").groupBy("pair").agg(F.sum("n").alias("n"))
+    first = pairs.groupBy(F.substring("pair", 1, 1).alias("_c")).agg(F.sum("n").alias("_n"))
+    pairs = pairs.join(first, F.substring("pair", 1, 1) == F.col("_c")).orderBy(F.desc("n"), "pair").limit(PAIRS)
+    return words, written(pairs.select("pair", F.log(F.col("n") / F.col("_n")).alias("chance")), "pairs")
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
@@ -62,26 +72,32 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return runs.where(taken).drop("_plain", "_runs", "_between", "_assigned")
 
 
-def _coverage(value: Column, words: list[str]) -> Column:
-    if not words:
-        return F.lit(0.0)
-    left = F.regexp_replace(F.lower(value), "|".join(sorted(words, key=lambda w: (-len(w), w))), "")
-    return 1 - F.length(left) / F.length(value)
+def _language(found: DataFrame, words: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(value, coverage, fluency) of every distinct value: the share of it that known words make up, and the mean log chance of its pairs of letters, RARE if it has none."""
+    values = found.select("value").distinct()
+    run = F.explode(F.split(F.lower(F.regexp_replace("value", "(?<=[a-z])(?=[A-Z])", " ")), "[^a-z]+"))
+    runs = values.select("value", run.alias("word")).where("length(word) > 2")
+    covered = runs.join(words.where(F.col("n") >= KNOWN), "word").groupBy("value").agg(F.sum(F.length("word")).alias("_k"))
+    pair = F.explode(F.transform(F.sequence(F.lit(1), F.length("value") - 1), lambda i: F.lower(F.substring("value", i, 2))))
+    two = values.where("length(value) > 1").select("value", pair.alias("pair")).where("pair rlike '^[a-z]{2}$'")
+    fluent = two.join(F.broadcast(pairs), "pair", "left").groupBy("value").agg(F.avg(F.coalesce("chance", F.lit(RARE))).alias("fluency"))  # PAIRS rows
+    out = values.join(covered, "value", "left").join(fluent, "value", "left")
+    return out.select("value", (F.coalesce("_k", F.lit(0)) / F.length("value")).alias("coverage"), F.coalesce("fluency", F.lit(RARE)).alias("fluency"))
 
 
-def featured(found: DataFrame, words: list[str]) -> DataFrame:
+def featured(found: DataFrame, words: DataFrame, pairs: DataFrame) -> DataFrame:
     """found with the columns FEATURES."""
     v, n = F.col("value"), F.length("value")
     share = lambda pattern: F.length(F.regexp_replace(v, pattern, "")) / n
     around = F.lower(F.concat_ws(" ", "key", "before", "before2"))
     cols = {
         "length": n.cast("double"), "digits": share("[^0-9]"), "capitals": share("[^A-Z]"), "distinct": F.size(F.array_distinct(F.split(v, ""))) / n,
-        "changes": F.regexp_count(v, F.lit("(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])")) / n, "dots": share("[^.]"), "signs": share("[^@_+/-]"), "coverage": _coverage(v, words),
+        "changes": F.regexp_count(v, F.lit("(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])")) / n, "dots": share("[^.]"), "signs": share("[^@_+/-]"),
         "path_length": F.length("path").cast("double"), "path_example": F.lower("path").rlike(EXAMPLES).cast("double"), "announced": around.rlike(ANNOUNCING).cast("double"),
         "assigned": (F.col("before").rlike("[=:]$") | (F.col("key") != "")).cast("double"), "quoted": F.col("word").rlike("[\"'`]").cast("double"),
         "example_near": F.lower(F.concat_ws(" ", "word", "before", "before2", "after")).rlike(EXAMPLES).cast("double"), "number_next": F.col("after").rlike("^[0-9]").cast("double"),
     }
-    return found.withColumns(cols)
+    return found.join(_language(found, words, pairs), "value").withColumns(cols)
 
 
 def by_rule(found: DataFrame) -> DataFrame:
@@ -102,6 +118,11 @@ KINDS = [
 ]
 
 
+def untouched(found: DataFrame) -> DataFrame:
+    """Candidates of the documents that no pattern knows, with label 0."""
+    return by_rule(found).where("rule = 0").drop("rule").withColumn("label", F.lit(0.0))
+
+
 def _filled(template: Column, salt: Column, word: Column) -> Column:
     """A value of KINDS with its pieces put in, all from hashes of `salt` but the words."""
     for name in sorted({x for *_, v, _ in KINDS for x in re.findall("{([a-z]*[0-9]+)}", v)}):
@@ -116,7 +137,7 @@ def _filled(template: Column, salt: Column, word: Column) -> Column:
 
 
 def planted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
-    """Candidates with label, planted between words of a bounded sample of documents: each by its place in the text, so with the words and the path that surround it there."""
+    """Candidates with label and kind, planted between words of a bounded sample of documents: each by its place in the text, so with the words and the path that surround it there."""
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.coalesce(F.col(path_col).cast("string"), F.lit("")).alias("path"), text_of(text_col).alias("text")).where("id is not null and length(text) > 0")
     n = max(1, rows.count())
     rank = F.pmod(F.xxhash64(F.lit("plant"), "id"), F.lit(1 << 30)) / (1 << 30)
@@ -126,13 +147,13 @@ def planted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
     plain = F.regexp_replace(F.lower(near(F.col("at"))), "[^a-z]", "")
     word = F.when(F.length(plain) > 2, plain).otherwise(F.lit("river"))
     kinds = F.broadcast(docs.sparkSession.createDataFrame([(i, float(label), *k) for i, (label, *k) in enumerate(KINDS)], "kind int, label double, lead string, template string, trail string"))  # KINDS alone
-    some = some.select("salt", "path", word.alias("word"), *[near(F.col("at") + i).alias(f"w{i + 2}") for i in (-2, -1, 0, 1)], F.pmod(F.xxhash64(F.lit("kind"), "salt"), F.lit(len(KINDS))).cast("int").alias("kind"))
-    made = some.join(kinds, "kind").withColumn("planted", _filled(F.col("template"), F.col("salt"), F.col("word")))
+    some = some.select("salt", "path", word.alias("near_word"), *[near(F.col("at") + i).alias(f"w{i + 2}") for i in (-2, -1, 0, 1)], F.pmod(F.xxhash64(F.lit("kind"), "salt"), F.lit(len(KINDS))).cast("int").alias("kind"))
+    made = some.join(kinds, "kind").withColumn("planted", _filled(F.col("template"), F.col("salt"), F.col("near_word")))
     made = made.select(
-        F.concat(F.col("salt"), F.lit("#"), F.col("path")).alias("salt"), "path", F.concat_ws(" ", "w0", "w1", F.concat("lead", "planted", "trail"), "w2", "w3").alias("text"), "label", "planted",
+        F.concat(F.col("salt"), F.lit("#"), F.col("path")).alias("salt"), "path", F.concat_ws(" ", "w0", "w1", F.concat("lead", "planted", "trail"), "w2", "w3").alias("text"), "label", "planted", "kind",
     )
     found = candidates(made, "salt", "text", "path").withColumnRenamed("doc_id", "salt")
-    return found.join(made.select(F.col("salt").alias("_salt"), "label", "planted"), F.col("salt") == F.col("_salt")).where(F.regexp_replace("value", "^[+/_@.-]+|[.]+$", "") == F.col("planted")).withColumnRenamed("salt", "doc_id").drop("_salt", "planted")
+    return found.join(made.select(F.col("salt").alias("_salt"), "label", "planted", "kind"), F.col("salt") == F.col("_salt")).where(F.regexp_replace("value", "^[+/_@.-]+|[.]+$", "") == F.col("planted")).withColumnRenamed("salt", "doc_id").drop("_salt", "planted")
 
 
 def fit(findings: DataFrame, sample: int = SAMPLE) -> RandomForestClassificationModel | None:
@@ -159,9 +180,15 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_c
     """(doc_id, position, place, value_sha256, length, score, predicted) of every candidate: position of its word, place in the word.
 
     findings: labelled ones to learn from, with the columns of candidates() and label; else planted()'s."""
-    words = common_words(docs, text_col)
-    found = written(featured(candidates(docs, id_col, text_col, path_col), words), "candidates")
-    model = fit(featured(planted(docs, id_col, text_col, path_col) if findings is None else findings, words))
+    words, pairs = vocabulary(docs, text_col)
+    found = written(featured(candidates(docs, id_col, text_col, path_col), words, pairs), "candidates")
+    if findings is None:
+        made = featured(planted(docs, id_col, text_col, path_col), words, pairs)
+        names = [*FEATURES, "label", "doc_id", "position", "place", "value"]
+        findings = made.select(*names).unionByName(untouched(found).withColumn("doc_id", F.col("doc_id").cast("string")).select(*names))
+    else:
+        findings = featured(findings, words, pairs)
+    model = fit(findings)
     return score(found, model).select("doc_id", "position", "place", F.sha2("value", 256).alias("value_sha256"), F.col("length").cast("long").alias("length"), "score", "predicted")
 
 

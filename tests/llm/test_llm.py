@@ -395,17 +395,21 @@ def test_secrets_of_odd_rows(spark, odd):
 
 def test_features_by_hand(spark):
     found = secret_scan.candidates(spark.createDataFrame([(1, 'the river token = "ab12CD34_theriver.x" 77 end', "", "tests/a.py", 0)], SCHEMA))
-    r = secret_scan.featured(found, ["the", "river"]).where("length > 10").first()
+    words = spark.createDataFrame([("the", 9), ("river", 2), ("end", 1)], "word string, n long")
+    pairs = spark.createDataFrame([("ab", -1.0), ("th", -2.0), ("ri", -3.0)], "pair string, chance double")
+    r = secret_scan.featured(found, words, pairs).where("length > 10").first()
+    two = ["ab", "cd", "th", "he", "er", "ri", "iv", "ve", "er"]
+    assert r.fluency == pytest.approx(sum({"ab": -1, "th": -2, "ri": -3}.get(t, secret_scan.RARE) for t in two) / len(two))
     v = "ab12CD34_theriver.x"
     assert r.value == v and r.length == len(v)
-    assert [round(r[c], 6) for c in ("digits", "capitals", "distinct", "changes", "dots", "signs", "coverage")] == [round(x / len(v), 6) for x in (4, 2, len(set(v)), 3, 1, 1, 8)]
+    assert [round(r[c], 6) for c in ("digits", "capitals", "distinct", "changes", "dots", "signs", "coverage")] == [round(x / len(v), 6) for x in (4, 2, len(set(v)), 3, 1, 1, 0)]
     assert [r[c] for c in ("path_length", "path_example", "announced", "assigned", "quoted", "example_near", "number_next")] == [10, 1, 1, 1, 1, 0, 1]
 
 
 def test_forest_from_few_equal_findings(spark):
     """40 equal secrets and 50 equal addresses: any sample holds both labels; one label alone gives no forest."""
     rows = [(i, f"token={'a1b2' * 10}", "", "src/a.py", 0) for i in range(40)] + [(100 + i, "at 10.0.0.1 x", "", "src/a.py", 0) for i in range(50)]
-    found = secret_scan.featured(secret_scan.candidates(spark.createDataFrame(rows, SCHEMA)).where("value rlike '[0-9]'"), ["at"]).withColumn("label", (F.col("doc_id") < 100).cast("double"))
+    found = secret_scan.featured(secret_scan.candidates(spark.createDataFrame(rows, SCHEMA)).where("value rlike '[0-9]'"), *secret_scan.vocabulary(spark.createDataFrame(rows, SCHEMA))).withColumn("label", (F.col("doc_id") < 100).cast("double"))
     for n in (1, 2, 3, 5):
         model = secret_scan.fit(found, n)
         assert {(r.label, r.predicted) for r in secret_scan.score(found, model).select("label", "predicted").collect()} <= {(0.0, 0), (1.0, 1), (1.0, 0), (0.0, 1)}
@@ -413,11 +417,50 @@ def test_forest_from_few_equal_findings(spark):
     assert secret_scan.score(found, None).where("score > 0 or predicted > 0").count() == 0
 
 
-def test_forest_beats_the_rule_on_held_out_findings(spark):
+def test_vocabulary(spark):
+    rows = [(1, "Die die Fluss, Über ab", "", "", 0), (2, "die ab12ab Москва", "", "", 0), (3, None, "", "", 0)]
+    words, pairs = secret_scan.vocabulary(spark.createDataFrame(rows, SCHEMA))
+    n = {r.word: r.n for r in words.collect()}
+    assert n == {"die": 2, "fluss": 1, "über": 1, "ab": 2, "москва": 1}
+    chance = {r.pair: r.chance for r in pairs.collect()}
+    assert chance["ab"] == 0 and chance["ss"] == 0 and chance["be"] == 0 and chance["ie"] == 0 and chance["ск"] == 0
+
+
+@pytest.fixture(scope="module")
+def secrets(spark):
+    """Featured candidates of the given documents, and planted ones."""
     docs = spark.read.parquet(f"{DATA.replace('0.001', '0.01')}/documents.parquet")
-    found = common.written(secret_scan.featured(secret_scan.planted(docs), secret_scan.common_words(docs)), "planted")
+    language = secret_scan.vocabulary(docs)
+    found = common.written(secret_scan.featured(secret_scan.candidates(docs), *language), "found")
+    made = common.written(secret_scan.featured(secret_scan.planted(docs), *language), "planted")
+    return found, made
+
+
+def learn(found, made):
+    names = [*secret_scan.FEATURES, "label", "value"]
+    return secret_scan.fit(made.select(*names).unionByName(secret_scan.untouched(found).select(*names)))
+
+
+def test_forest_on_held_out_kinds(secrets):
+    """A third of the kinds is left out of training at a time; the rest of the documents' candidates teach what prose is."""
+    found, made = secrets
+    rows = []
+    for k in range(3):
+        part = F.col("kind") % 3 == k
+        model = learn(found, made.where(~part))
+        rows += secret_scan.by_rule(secret_scan.score(made.where(part), model)).select("kind", "label", "predicted", "rule").collect()
+    hit = sum(r.predicted and r.label for r in rows)
+    precision, recall = hit / max(1, sum(r.predicted for r in rows)), hit / sum(r.label for r in rows)
+    rule = sum(r.rule and r.label for r in rows) / sum(r.label for r in rows)
+    by_kind = {k: (sum(r.predicted for r in rows if r.kind == k), sum(1 for r in rows if r.kind == k)) for k in sorted({r.kind for r in rows})}
+    print("kinds never seen: precision, recall, the rule's recall:", precision, recall, rule, by_kind)
+    assert len(rows) > 2000 and precision > 0.6 and recall > 0.6
+
+
+def test_forest_beats_the_rule_on_held_out_findings(secrets):
+    found, made = secrets
     late = F.pmod(F.crc32(F.substring_index("doc_id", "/", 1)), F.lit(5)) == 0
-    rows = secret_scan.by_rule(secret_scan.score(found.where(late), secret_scan.fit(found.where(~late)))).select("label", "predicted", "rule").collect()
+    rows = secret_scan.by_rule(secret_scan.score(made.where(late), learn(found, made.where(~late)))).select("label", "predicted", "rule").collect()
 
     def figures(name):
         hit = sum(r[name] and r.label for r in rows)
@@ -425,10 +468,20 @@ def test_forest_beats_the_rule_on_held_out_findings(spark):
 
     forest, rule = figures("predicted"), figures("rule")
     print("precision and recall, forest and rule:", forest, rule, len(rows))
-    assert len(rows) > 500 and min(forest) > 0.9 and sum(forest) > sum(rule)
+    assert len(rows) > 500 and min(forest) > 0.85 and sum(forest) > sum(rule)
     assert any(r.predicted != r.rule and r.predicted == r.label for r in rows)
 
 
+def test_predictions_on_unplanted_text(secrets):
+    """Of what is called a secret in the given documents, next to nothing is without a digit and an announcing word."""
+    found, made = secrets
+    hits = secret_scan.by_rule(secret_scan.score(found, learn(found, made))).where("predicted = 1").collect()
+    plain = [r.value for r in hits if not re.search("[0-9]", r.value) and not r.announced]
+    print("predicted, by the rule too, plain:", len(hits), sum(r.rule for r in hits), plain[:9])
+    assert hits and len(plain) <= 0.05 * len(hits)
+    assert sum(r.rule for r in hits) >= 0.8 * found.transform(secret_scan.by_rule).where("rule = 1").count()
+
+
 def test_secrets_anywhere_in_a_word(spark):
     key, other = "AKIA" + "Q7" * 8, "ghp_" + "a1B2" * 9
     hidden = [f'{{"aws":"{key}","env":"prod"}}', f"aws={key}&region=us", f"https://x/cb?token={other}&state=1", f'{{"a":"{key}","b":"{other}"}}', "password: hunter", "postgres://me:s3cret@db.example.com/x", "x qwertzuiopasdf y", "plain short words"]
