@@ -57,7 +57,7 @@ def effective_short(width: Column, height: Column, view: Column) -> Column:
 
 def scale_bucket(target: Column, short: Column) -> Column:
     s = F.coalesce(target, F.lit(440)) / short
-    return F.when(s <= 0.5, "down>=2x").when(s <= 1, "down<2x").when(s <= 2, "up<=2x").otherwise("up>2x")
+    return F.when(s < 0.5, "down>2x").when(s <= 1, "down<2x").when(s <= 2, "up<=2x").otherwise("up>2x")
 
 
 FEATURES = ("log_width", "log_height", "log_aspect", "log_pixels", "log_bytes", "bytes_per_pixel", "is_square", "is_jpeg", "is_png", "is_webp", "has_license")
@@ -162,6 +162,11 @@ def group_name(dataset: Column, label: Column, source: Column) -> Column:
     return F.format_string("%s:%s:%s", dataset, F.when(label == 1, "fake").otherwise("real"), source)
 
 
+def source_name(name: Column, prefix: str = "HuggingFace:") -> Column:
+    """The name without the prefix that hosted models carry."""
+    return F.when(F.startswith(name, F.lit(prefix)), F.substr(name, F.lit(len(prefix) + 1))).otherwise(name)
+
+
 def prompt_hash(p: Column) -> Column:
     return F.sha2(F.trim(F.regexp_replace(p, r"\s+", " ")), 256)
 

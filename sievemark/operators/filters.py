@@ -26,8 +26,8 @@ def having_support(df: DataFrame, by: list[str], minimum: int) -> DataFrame:
 
 def assert_positive_cohort(df: DataFrame) -> None:
     """Fails unless all rows are positive test rows with distinct ids."""
-    bad = df.agg(F.count_if(F.col("label") != 1).alias("negative"), F.count_if(F.col("role") != "test").alias("other_role"), (F.count(F.lit(1)) - F.count_distinct("sample_id")).alias("repeated")).first()
-    if any(bad):
+    bad = df.agg(F.count_if(F.col("label") != 1).alias("negative"), F.count_if(F.col("role") != "test").alias("other_role"), (F.count(F.lit(1)) - F.count_distinct("sample_id")).alias("repeated"), F.count(F.lit(1)).alias("rows")).first()
+    if any(bad[c] for c in ("negative", "other_role", "repeated")) or not bad["rows"]:
         raise ValueError(f"not a positive test cohort: {bad.asDict()}")
 
 

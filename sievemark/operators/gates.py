@@ -7,8 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import scalars as S
 from . import calibration as C
-
+from . import filters as P
 from . import joins as J
 from . import metrics as M
 from . import resample as X
@@ -158,17 +159,35 @@ def teacher_gate(
     return gates(one(lead, ci, views, G.stable_count(validations, best)), [("lead_macro_score", ">=", margin), ("auc_low", ">", 0), ("least_view_auc_change", ">=", -view_loss), ("stable", ">=", stable)])
 
 
-def positive_cohort_report(scored: DataFrame, base: str, stress: list[str], threshold: float) -> dict[str, DataFrame]:
+DETAILS = {"model_slug": "", "prompt": "", "seed": ""}
+"""What a cohort report takes over from the attempts that made the samples, and what stands where there is none."""
+
+
+def positive_cohort_report(manifest: DataFrame, attempts: DataFrame, ledger: DataFrame, calibrator: DataFrame, base: str, stress: list[str], threshold: float) -> dict[str, DataFrame]:
+    """Tables of a cohort of positives under a frozen calibrator. Fails unless the manifest has positive test rows only, each once, and the ledger exactly one valid prediction for each of their views.
+
+    Details come from the last successful attempt of a sample's content; sources go without the prefix of hosted models."""
+    P.assert_positive_cohort(manifest)
+    keys = ["sample_id", "view"]
+    J.assert_same_keys(J.expected_keys(manifest, [base, *stress]).select(*keys), ledger.select(*keys), keys)
+    bad = ledger.agg(F.count_if(F.col("raw_logit").isNull() | F.col("error").isNotNull()).alias("failed"), (F.count(F.lit(1)) - F.count_distinct(*keys)).alias("repeated")).first()
+    if any(bad):
+        raise ValueError(f"not one valid prediction for each view: {bad.asDict()}")
+    rows = J.enrich(manifest.withColumn("source", S.source_name(F.col("source"))), attempts, "content_sha256", DETAILS, "seq")
+    scored = C.apply_calibrator(ledger.select(*keys, "raw_logit", "view_pos").join(rows, "sample_id"), calibrator, threshold)
     return {
+        "rows": scored.select(*keys, "source", *DETAILS, "raw_logit", "probability", (F.col("probability") >= threshold).alias("detected")),
         "views": G.positive_summary(scored, ["view"], threshold), "sources": G.positive_summary(scored, ["source", "view"], threshold), "detected": G.all_any_detected(scored, threshold, ["source"]),
         "transitions": G.transitions(scored, base, stress, threshold), "misses": W.misses(scored, base, threshold),
     }
 
 
 def final_summary(scored: DataFrame, other: DataFrame, threshold: float) -> DataFrame:
-    """One row: worst view, share of samples right on all views, and parity with the second ledger."""
+    """One row: worst view, metrics of each sample's worst variant, share of positives found on all views, and parity with the second ledger."""
     worst = M.view_metrics(scored, threshold).agg(F.min_by("view", F.struct("balanced_accuracy", "view")).alias("worst_view"), F.min("balanced_accuracy").alias("worst_balanced_accuracy"))
-    return one(worst, G.all_any_detected(scored.where("label = 1"), threshold, []).select("samples", "all_views", "any_view"), G.ledger_parity(scored, other, 1.0, 0.6, threshold).select("disagreement_rate"))
+    robust = M.view_metrics(G.worst_variant(scored).withColumn("view", F.lit("worst")), threshold)
+    robust = robust.select(*[F.col(c).alias(f"robust_{c}") for c in ("balanced_accuracy", "recall", "specificity", "auc")])
+    return one(worst, robust, G.all_any_detected(scored.where("label = 1"), threshold, []).select("samples", "all_views", "any_view"), G.ledger_parity(scored, other, 1.0, 0.6, threshold).select("disagreement_rate"))
 
 
 def audit_errors(audit: DataFrame) -> DataFrame:

@@ -9,22 +9,23 @@ from ..functions import scalars as S
 from . import joins as J
 from . import sampling as W
 from . import sets as U
+from .ordered import first_k
 from .slices import composition
 
 ERRORS = ("duplicate_sample_id", "group_crosses_roles", "exact_overlap", "near_overlap", "bad_content_hash", "bad_phash", "missing_file")
 
 
-def overlap_issues(manifest: DataFrame) -> DataFrame:
-    """(code, key, members): repeated ids, groups and contents in more than one role. Members are role:id, distinct and sorted."""
-    member = F.array_join(F.sort_array(F.collect_set(F.concat_ws(":", "role", "sample_id"))), ",").alias("members")
-    ids = manifest.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n"), member).where("n > 1").select(F.lit("duplicate_sample_id").alias("code"), F.col("sample_id").alias("key"), "members")
-    roles = F.count_distinct("role").alias("roles")
-    # A group may be very large: its roles are its members here.
-    names = F.array_join(F.sort_array(F.collect_set("role")), ",").alias("members")
-    groups = manifest.groupBy("group_id").agg(roles, names).where("roles > 1").select(F.lit("group_crosses_roles").alias("code"), F.col("group_id").alias("key"), "members")
-    exact = manifest.groupBy("content_sha256").agg(roles, F.min("sample_id").alias("first"), F.count(F.lit(1)).alias("n")).where("roles > 1")
-    exact = exact.select(F.lit("exact_overlap").alias("code"), F.col("content_sha256").alias("key"), F.concat_ws(",", F.col("first"), F.col("n").cast("string")).alias("members"))
-    return ids.unionByName(groups).unionByName(exact)
+def overlap_issues(manifest: DataFrame, listed: int = 20, order: str | None = None) -> DataFrame:
+    """(code, key, n, roles, members): ids of more than one row, groups and contents in more than one role. n rows have the key; roles are all of theirs, sorted; members are the first
+    `listed` sample ids by `order` (default: by id). A key that holds a third of the rows leaves each task as `listed` of them."""
+    def issues(code: str, key: str, found) -> DataFrame:
+        keys = manifest.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_set("role")).alias("roles")).where(found)  # a few roles
+        rows = manifest.join(keys.select(F.col(key).alias("_key")), F.col(key) == F.col("_key"), "left_semi")
+        lists = first_k(rows, [key], [order or "sample_id", "sample_id", "role"], listed, F.col("sample_id"), "_n", "members").drop("_n")
+        return keys.join(lists, key).select(F.lit(code).alias("code"), F.col(key).alias("key"), "n", F.array_join("roles", ",").alias("roles"), F.array_join("members", ",").alias("members"))
+
+    crossed = F.size("roles") > 1
+    return issues("duplicate_sample_id", "sample_id", F.col("n") > 1).unionByName(issues("group_crosses_roles", "group_id", crossed)).unionByName(issues("exact_overlap", "content_sha256", crossed))
 
 
 def hash_issues(manifest: DataFrame, listing: DataFrame | None = None) -> DataFrame:

@@ -45,6 +45,14 @@ def numbered(parts: DataFrame, by: list[str], keys: list[Column | str], out: str
     return running(parts, by, keys, {out: F.lit(1)}).withColumn(out, F.col(out) + start)
 
 
+def first_k(df: DataFrame, by: list[str], order: list[Column | str], k: int, item: Column, n: str = "n", out: str = "items") -> DataFrame:
+    """(*by, n, items): the group's rows in truth, and its first k items in the order given. Spark's group limit leaves at most k rows of a group in each task before the shuffle
+    (for k under spark.sql.optimizer.windowGroupLimitThreshold, 1,000), so a group of any size is counted and listed in bounded memory."""
+    top = df.select(*by, item.alias("_i"), F.row_number().over(Window.partitionBy(*by).orderBy(*order)).alias("_k")).where(F.col("_k") <= k)
+    lists = top.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", "_i"))), lambda x: x["_i"]).alias(out))
+    return attach(df.groupBy(*by).agg(F.count(F.lit(1)).alias(n)), lists, by)
+
+
 def places(df: DataFrame, by: list[str], key: str, out: str, size: str = "_size") -> DataFrame:
     """df with `out`, the place by key within the group from 0, and `size`, the group's rows. Null keys come first; the order of equal keys is open."""
     parts = in_parts(df, [*by, key], "places")

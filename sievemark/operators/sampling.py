@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from .joins import exclude_hashes
-from .ordered import attach, in_parts, numbered
+from .ordered import attach, first_k, in_parts, numbered
 
 
 def capped_sample(df: DataFrame, key: str, caps: dict[str, int], seed: int, locator: str, default: int = 0) -> DataFrame:
@@ -90,9 +90,10 @@ def pick_calibrator(scores: DataFrame) -> DataFrame:
     return scores.withColumn("_k", F.row_number().over(Window.orderBy(F.desc("macro_score"), "log_loss", simple))).where("_k = 1").drop("_k")
 
 
-def examples(df: DataFrame, keys: list[str], n: int) -> tuple[DataFrame, int]:
-    """The first n offenders by key, and how many there are in truth."""
-    return df.orderBy(*keys).limit(n), df.count()
+def examples(df: DataFrame, keys: list[str], n: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """(*by, total, examples): how many offenders there are in truth, and the keys of the first n; of each group of `by`, if given. No row if there are none."""
+    rows = df.withColumn("_all", F.lit(0))
+    return first_k(rows, [*by, "_all"], keys, n, F.struct(*keys), "total", "examples").drop("_all")
 
 
 def misses(df: DataFrame, view: str, threshold: float) -> DataFrame:

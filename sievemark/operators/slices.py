@@ -14,23 +14,32 @@ def slices(df: DataFrame, fields: list[str], threshold: float, minimum: int = 20
     pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields]))
     each = df.select("sample_id", "label", "probability", "line", "view_pos", pairs.alias("_fv")).select("*", "_fv.field", "_fv.value").drop("_fv")
     by = ["field", "value"]
-    counts = M.rates(M.confusion(each, by, threshold)).where((F.col("n") >= minimum) & (F.col("n_real") > 0) & (F.col("n_fake") > 0))
-    return counts.join(M.roc_auc(each, by), by).join(M.proper_scores(each, by), by).join(M.unique_images(each, by), by)
+    enough = M.confusion(each, by, threshold).where((F.col("n") >= minimum) & (F.col("n_real") > 0) & (F.col("n_fake") > 0)).select(*by)
+    return M.binary_metrics(each, by, threshold).join(enough, by)
+
+
+SHORT_EDGE = 440
+"""What models resize to where their ledger doesn't say."""
 
 
 def resolution_buckets(df: DataFrame, threshold: float) -> DataFrame:
-    """By view, resolution bucket, scale bucket and label; rows without dimensions are in bucket `unknown`."""
-    short = S.effective_short(F.col("width"), F.col("height"), F.col("view"))
-    rows = df.withColumns({
-        "bucket": S.resolution_bucket(F.col("width"), F.col("height")),
-        "scale": S.scale_bucket(F.lit(None).cast("double"), short),
-        "_short": short,
-        "_ok": S.correct(F.col("label"), F.col("probability"), threshold).cast("int"),
-    })
+    """By view, resolution bucket, scale bucket and label, of rows that have dimensions; missing_dimensions() counts the others. The target of the resize is each row's
+    model_resize_short_edge, where df has one; a bucket gives that of its first row by `line`."""
+    w, h = (F.col(c).try_cast("long") for c in ("width", "height"))
+    target = F.coalesce(F.col("model_resize_short_edge").try_cast("long"), F.lit(SHORT_EDGE)) if "model_resize_short_edge" in df.columns else F.lit(SHORT_EDGE)
+    rows = df.where(w.isNotNull() & h.isNotNull()).withColumns({
+        "bucket": S.resolution_bucket(w, h), "_short": F.least(w, h), "_target": target.cast("long"), "_ok": S.correct(F.col("label"), F.col("probability"), threshold).cast("int"),
+        "_effective": S.effective_short(w, h, F.col("view")),
+    }).withColumn("scale", S.scale_bucket(F.col("_target"), F.col("_effective")))
     return rows.groupBy("view", "bucket", "scale", "label").agg(
         F.count(F.lit(1)).alias("n"), F.count_distinct("sample_id").alias("unique_images"), F.avg("_ok").alias("rate"), F.avg("probability").alias("mean_p"),
-        F.avg("_short").alias("mean_short"), F.array_join(F.sort_array(F.collect_set("group_id")), ",").alias("groups"),
-    )
+        F.avg("_short").alias("mean_original_short"), F.avg("_effective").alias("mean_short"), F.min_by("_target", "line").alias("short_edge"), F.avg(F.col("_target") / F.col("_effective")).alias("mean_factor"),
+        F.array_join(F.sort_array(F.collect_set("group_id")), ",").alias("groups"),
+    ).withColumn("metric", F.when(F.col("label") == 1, "fake_recall").otherwise("real_specificity"))
+
+
+def missing_dimensions(df: DataFrame) -> DataFrame:
+    return df.agg(F.count_if(F.col("width").try_cast("long").isNull() | F.col("height").try_cast("long").isNull()).alias("missing_dimensions"))
 
 
 def group_view_rates(df: DataFrame, threshold: float, by: tuple[str, ...] = ("view", "group_id", "label")) -> DataFrame:

@@ -169,15 +169,41 @@ def _(spark, d):
     return rounded(Q.teacher_gate(tournament(spark, d), "a", {"a": a, "b": b}, curves(spark, d).withColumn("score", F.col("loss")), 50.0, 30, 5))
 
 
-@query("i13_positive_cohort", with_views(f"SELECT view, count(*) AS n, count(*) FILTER (probability >= {T}) AS detected, round(avg(probability), 6) AS mean_p, round(avg((probability >= {T})::INT), 6) AS recall FROM scored WHERE label = 1 GROUP BY view", *BASE))
+_COHORT = f"""co AS (SELECT s.* FROM scored s WHERE label = 1 AND sample_id IN (SELECT sample_id FROM scored GROUP BY 1 HAVING count(*) = 3))"""
+
+
+def cohort(spark, d):
+    """Positives with a valid prediction for each view, as a cohort of test rows, with the attempts that made them: some fail, some are made again."""
+    l = V.ledger(spark, d).where("error is null")
+    whole = l.groupBy("sample_id").count().where("count = 3").select("sample_id")
+    m = V.manifest(spark, d).where("label = 1").join(whole, "sample_id", "left_semi").withColumns({"role": F.lit("test"), "source": F.concat(F.lit("HuggingFace:"), "source")})
+    made = lambda seq, error: m.select("content_sha256", F.concat(F.lit(f"slug{seq}-"), "dataset").alias("model_slug"), F.concat(F.lit("p"), "line").alias("prompt"), F.col("line").cast("string").alias("seed"), (F.lit(seq) * 1_000_000_000 + F.col("line")).alias("seq"), error.alias("error"), "line")
+    first = made(1, F.when(F.col("line") % 4 == 0, "timeout")).where("line % 5 <> 0")
+    attempts = first.unionByName(made(2, F.lit(None).cast("string")).where("line % 3 = 0"))
+    calibrator = spark.range(1).select(F.lit(1.0).alias("slope"), F.lit(0.6).alias("intercept"), (S.logit(T) - 0.6).alias("boundary"))
+    return Q.positive_cohort_report(m, attempts, l.join(m.select("sample_id"), "sample_id", "left_semi"), calibrator, "clean", ["web", "hard"], T)
+
+
+@query("i13_positive_cohort", with_views(f", {_COHORT} SELECT view, count(*) AS n, count(*) FILTER (probability >= {T}) AS detected, round(avg(probability), 6) AS mean_p, round(avg((probability >= {T})::INT), 6) AS recall FROM co GROUP BY view", *BASE))
+def _(spark, d):
+    return rounded(cohort(spark, d)["views"].select("view", "n", "detected", "mean_p", "recall"))
+
+
+@query("i13_cohort_rows", with_views(f""", {_COHORT}, la AS (SELECT content_sha256, max(seq) AS seq, arg_max(line, seq) AS l, arg_max(dataset, seq) AS ds FROM (SELECT content_sha256, 1000000000 + line AS seq, line, dataset FROM co WHERE line % 5 <> 0 AND line % 4 <> 0 UNION ALL
+    SELECT content_sha256, 2000000000 + line, line, dataset FROM co WHERE line % 3 = 0) GROUP BY 1)
+    SELECT sample_id, view, source, CASE WHEN seq IS NULL THEN '' ELSE 'slug' || seq // 1000000000 || '-' || ds END AS model_slug, coalesce('p' || l, '') AS prompt, coalesce(CAST(l AS VARCHAR), '') AS seed, round(raw_logit, 6) AS raw_logit, round(probability, 6) AS probability,
+           probability >= {T} AS detected FROM co LEFT JOIN la USING (content_sha256)""", *BASE))
 def _(spark, d):
-    r = Q.positive_cohort_report(V.scored(spark, d).where("label = 1"), "clean", ["web", "hard"], T)
-    return rounded(r["views"].select("view", "n", "detected", "mean_p", "recall"))
+    """Every row with the details of the attempt that made it."""
+    return rounded(cohort(spark, d)["rows"])
 
 
 @query("i14_final_summary", with_views(f""", x AS {_vm('scored')}, j AS (SELECT avg(((1 / (1 + exp(-(a.raw_logit + 0.6))) >= {T}) <> (1 / (1 + exp(-(b.raw_logit + 0.6))) >= {T}))::INT) AS dr FROM scored a JOIN scored_b b USING (sample_id, view)),
-    s AS (SELECT sample_id, bool_and(probability >= {T}) AS a, bool_or(probability >= {T}) AS o FROM scored WHERE label = 1 GROUP BY 1)
-    SELECT (SELECT view FROM x ORDER BY ba, view LIMIT 1) AS worst_view, (SELECT round(min(ba), 6) FROM x) AS worst_balanced_accuracy, count(*) AS samples, round(avg(a::INT), 6) AS all_views, round(avg(o::INT), 6) AS any_view, (SELECT round(dr, 6) FROM j) AS disagreement_rate FROM s""", *BOTH))
+    s AS (SELECT sample_id, bool_and(probability >= {T}) AS a, bool_or(probability >= {T}) AS o FROM scored WHERE label = 1 GROUP BY 1),
+    wv AS (SELECT sample_id, 'worst' AS view, label, CASE label WHEN 1 THEN min(probability) ELSE max(probability) END AS probability FROM scored GROUP BY sample_id, label), y AS {_vm('wv')}
+    SELECT (SELECT view FROM x ORDER BY ba, view LIMIT 1) AS worst_view, (SELECT round(min(ba), 6) FROM x) AS worst_balanced_accuracy, (SELECT round(ba, 6) FROM y) AS robust_balanced_accuracy, (SELECT round(recall, 6) FROM y) AS robust_recall,
+           (SELECT round(spec, 6) FROM y) AS robust_specificity, (SELECT round(auc, 6) FROM y) AS robust_auc,
+           count(*) AS samples, round(avg(a::INT), 6) AS all_views, round(avg(o::INT), 6) AS any_view, (SELECT round(dr, 6) FROM j) AS disagreement_rate FROM s""", *BOTH))
 def _(spark, d):
     return rounded(Q.final_summary(V.scored(spark, d), V.scored(spark, d, "b", 0.8), T))
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import integrity as I
+from ..operators import sampling as W
 from . import views as V
 from .q_joins import _XOR
 from .q_metrics import BASE, rounded
@@ -47,14 +48,15 @@ def _(spark, d):
     return V.fingerprints(spark, d).select("id", "phash", S.hamming(h, F.lit("0" * 16)).alias("ones"), F.element_at(S.bands(h, 4), 1)["bits"].alias("first_band"), S.is_hex(h, 16).alias("ok"))
 
 
-@query("p19_names", """SELECT event_id, CASE WHEN event_type IN ('view') THEN 0 WHEN event_type IN ('click') THEN 1 END AS label, event_type || ':' || CASE WHEN value > 50 THEN 'fake' ELSE 'real' END || ':' || user_id AS group_name,
+@query("p19_names", """SELECT event_id, CASE WHEN event_type IN ('view') THEN 0 WHEN event_type IN ('click') THEN 1 END AS label, event_type || ':' || CASE WHEN value > 50 THEN 'fake' ELSE 'real' END || ':' || user_id AS group_name, CASE WHEN event_id % 2 = 0 THEN event_type ELSE 'x' || event_type END AS source_name,
     sha256(trim(regexp_replace(props, '\\s+', ' ', 'g'))) AS prompt_hash FROM events""")
 def _(spark, d):
     """P19-P21."""
     t = F.col("event_type")
     alias = S.label_alias(F.when(t == "view", "REAL").when(t == "click", "ai").otherwise("other"))
     g = S.group_name(t, (F.col("value") > 50).cast("int"), F.col("user_id").cast("string"))
-    return V.table(spark, d, "events").select("event_id", alias.alias("label"), g.alias("group_name"), S.prompt_hash(F.col("props")).alias("prompt_hash"))
+    name = S.source_name(F.concat(F.when(F.col("event_id") % 2 == 0, "HuggingFace:").otherwise("x"), t))
+    return V.table(spark, d, "events").select("event_id", alias.alias("label"), g.alias("group_name"), name.alias("source_name"), S.prompt_hash(F.col("props")).alias("prompt_hash"))
 
 
 @query("p22_slug", "SELECT page_id, coalesce(nullif(substr(regexp_replace(regexp_replace(url, '[^a-zA-Z0-9._-]+', '-', 'g'), '^[-.]+|[-.]+$', '', 'g'), 1, 120), ''), 'unknown') AS slug, CASE WHEN regexp_extract(url, '\\.([A-Za-z0-9]+)$', 1) <> '' THEN CASE lower(regexp_extract(url, '\\.([A-Za-z0-9]+)$', 1)) WHEN 'jpeg' THEN 'jpg' ELSE lower(regexp_extract(url, '\\.([A-Za-z0-9]+)$', 1)) END ELSE 'png' END AS extension FROM pages")
@@ -83,10 +85,23 @@ def _(spark, d):
     return e.select("vec_id", F.round(k.cast("double") / big, 5).alias("size"), F.round(S.linear_score(v, F.array_repeat(F.lit(0.5).cast("double"), 64), 1.0), 5).alias("score"))
 
 
-@query("g22_overlap_issues", with_views("""SELECT 'group_crosses_roles' AS code, g AS key, string_agg(DISTINCT role, ',' ORDER BY role) AS members FROM (SELECT source AS g, role FROM manifest) GROUP BY g HAVING count(DISTINCT role) > 1
-    UNION ALL SELECT 'exact_overlap', content_sha256, min(sample_id) || ',' || count(*) FROM manifest GROUP BY content_sha256 HAVING count(DISTINCT role) > 1""", "manifest"))
+_ISSUE = lambda code, key, having: f"""SELECT '{code}' AS code, {key} AS key, count(*) AS n, string_agg(DISTINCT role, ',' ORDER BY role) AS roles,
+    array_to_string(list_sort(list(sample_id))[1:20], ',') AS members FROM m GROUP BY {key} HAVING {having}"""
+_REPEATED = "m AS (SELECT * REPLACE (source AS group_id) FROM manifest UNION ALL SELECT * REPLACE (source AS group_id, 'test' AS role) FROM manifest WHERE line % 17 = 0)"
+
+
+@query("g22_overlap_issues", with_views(f", {_REPEATED} " + " UNION ALL ".join([_ISSUE("duplicate_sample_id", "sample_id", "count(*) > 1"), _ISSUE("group_crosses_roles", "group_id", "count(DISTINCT role) > 1"), _ISSUE("exact_overlap", "content_sha256", "count(DISTINCT role) > 1")]), "manifest"))
+def _(spark, d):
+    """Some rows come twice, the second time in another role."""
+    m = V.manifest(spark, d).withColumn("group_id", F.col("source"))
+    return I.overlap_issues(m.unionByName(m.where("line % 17 = 0").withColumn("role", F.lit("test"))))
+
+
+@query("w10_examples", with_views("SELECT view, total, array_to_string(list_transform(k[1:5], lambda x: x.sample_id || '/' || x.view), ',') AS examples FROM (SELECT view, count(*) AS total, list({'sample_id': sample_id, 'view': view} ORDER BY sample_id) AS k FROM ledger WHERE error IS NOT NULL GROUP BY view)", "manifest", "ledger"))
 def _(spark, d):
-    return I.overlap_issues(V.manifest(spark, d).withColumn("group_id", F.col("source")))
+    """Failed predictions of each view: their number, and the first five."""
+    found = W.examples(V.ledger(spark, d).where("error is not null"), ["sample_id", "view"], 5, ("view",))
+    return found.withColumn("examples", F.array_join(F.transform("examples", lambda x: F.concat_ws("/", x["sample_id"], x["view"])), ","))
 
 
 @query("g23_hash_issues", with_views("SELECT 'bad_content_hash' AS code, count(*) FILTER (id % 7 = 0) AS n FROM fingerprints UNION ALL SELECT 'bad_phash', count(*) FILTER (id % 5 = 0) FROM fingerprints UNION ALL SELECT 'missing_file', count(*) FILTER (id % 3 = 0) FROM fingerprints", "fingerprints"))

@@ -90,27 +90,46 @@ _F = "SELECT 'view' AS field, view AS value, * FROM scored UNION ALL SELECT 'dat
     "CASE WHEN least(width, height) < 128 THEN '<128' WHEN least(width, height) < 256 THEN '128-255' WHEN least(width, height) < 512 THEN '256-511' WHEN least(width, height) < 1024 THEN '512-1023' ELSE '>=1024' END, * FROM scored"
 
 
-@query("g1_slices", with_views(f""", f AS ({_F}), c AS (SELECT field, value, {CONFUSION}, avg((probability - label) ** 2) AS brier, count(DISTINCT sample_id) AS unique_images FROM f GROUP BY ALL)
-    SELECT field, value, n, unique_images, {r('(tp / (tp + fn) + tn / (tn + fp)) / 2', 'balanced_accuracy')}, round(brier, 6) AS brier, round(auc, 6) AS auc
-    FROM c JOIN ({auc_sql('f', 'field, value')}) USING (field, value) WHERE n >= 20 AND n_real > 0 AND n_fake > 0""", *BASE))
+_AP = """SELECT field, value, sum(label * hits / rk) / sum(label) AS average_precision FROM (SELECT field, value, label, sum(label) OVER w AS hits, row_number() OVER w AS rk FROM f
+        WINDOW w AS (PARTITION BY field, value ORDER BY probability DESC, line, view_pos ROWS UNBOUNDED PRECEDING)) GROUP BY ALL"""
+_ECE = "SELECT field, value, sum(n * abs(p - l)) / sum(n) AS ece FROM (SELECT field, value, least(floor(probability * 15), 14) AS b, count(*) AS n, avg(probability) AS p, avg(label) AS l FROM f GROUP BY ALL) GROUP BY ALL"
+_LOSS = "avg(-CASE WHEN label = 1 THEN ln(greatest(probability, 1e-12)) ELSE ln(1 - least(probability, 1 - 1e-12)) END)"
+
+
+@query("g1_slices", with_views(f""", f AS ({_F}), c AS (SELECT field, value, {CONFUSION}, avg((probability - label) ** 2) AS brier, {_LOSS} AS log_loss, count(DISTINCT sample_id) AS unique_images FROM f GROUP BY ALL)
+    SELECT field, value, tp::BIGINT AS tp, tn::BIGINT AS tn, fp::BIGINT AS fp, fn::BIGINT AS fn, n, n_real, n_fake, unique_images, {r('tp / (tp + fn)', 'recall')}, {r('tn / (tn + fp)', 'specificity')}, {r('tp / nullif(tp + fp, 0)', 'precision')}, {r('tn / nullif(tn + fn, 0)', 'npv')},
+           {r('2 * tp / nullif(2 * tp + fp + fn, 0)', 'f1')}, {r('(tp + tn) / n', 'accuracy')}, {r('(tp / (tp + fn) + tn / (tn + fp)) / 2', 'balanced_accuracy')},
+           {r('(tp::DOUBLE * tn - fp::DOUBLE * fn) / nullif(sqrt((tp + fp)::DOUBLE * (tp + fn) * (tn + fp) * (tn + fn)), 0)', 'mcc')},
+           round(brier, 6) AS brier, round(log_loss, 6) AS log_loss, round(auc, 6) AS auc, round(average_precision, 6) AS average_precision, round(ece, 6) AS ece
+    FROM c JOIN ({auc_sql('f', 'field, value')}) USING (field, value) JOIN ({_AP}) USING (field, value) JOIN ({_ECE}) USING (field, value) WHERE n >= 20 AND n_real > 0 AND n_fake > 0""", *BASE))
 def _(spark, d):
-    """G1 with F4."""
+    """G1 with F4: every metric of every slice."""
     s = V.scored(spark, d).withColumn("bucket", S.resolution_bucket(F.col("width"), F.col("height")))
-    return rounded(G.slices(s, ["view", "dataset", "bucket"], T).select("field", "value", "n", "unique_images", "balanced_accuracy", "brier", "auc"))
+    return rounded(G.slices(s, ["view", "dataset", "bucket"], T))
 
 
 _EFF = "CASE WHEN lim IS NOT NULL AND greatest(width, height) > lim THEN greatest(1, round_even(least(width, height)::DOUBLE * lim / greatest(width, height), 0)::BIGINT) ELSE least(width, height) END"
 _OK = f"CASE WHEN label = 1 THEN probability >= {T} ELSE probability < {T} END::INT"
 
 
-@query("g2_resolution_buckets", with_views(f""", e AS (SELECT *, {_EFF} AS short, {_OK} AS ok FROM (SELECT *, CASE view WHEN 'web' THEN 768 WHEN 'hard' THEN 512 END AS lim FROM scored))
+@query("g2_resolution_buckets", with_views(f""", e AS (SELECT *, {_EFF} AS short, {_OK} AS ok FROM (SELECT *, CASE view WHEN 'web' THEN 768 WHEN 'hard' THEN 512 END AS lim, coalesce(CASE line % 3 WHEN 0 THEN 256 WHEN 1 THEN 512 END, 440) AS edge FROM scored WHERE line % 11 <> 0))
     SELECT view, CASE WHEN least(width, height) < 128 THEN '<128' WHEN least(width, height) < 256 THEN '128-255' WHEN least(width, height) < 512 THEN '256-511' WHEN least(width, height) < 1024 THEN '512-1023' ELSE '>=1024' END AS bucket,
-           CASE WHEN 440 / short <= 0.5 THEN 'down>=2x' WHEN 440 / short <= 1 THEN 'down<2x' WHEN 440 / short <= 2 THEN 'up<=2x' ELSE 'up>2x' END AS scale, label,
-           count(*) AS n, count(DISTINCT sample_id) AS unique_images, round(avg(ok), 6) AS rate, round(avg(probability), 6) AS mean_p, round(avg(short), 6) AS mean_short, string_agg(DISTINCT group_id, ',' ORDER BY group_id) AS groups
+           CASE WHEN edge / short < 0.5 THEN 'down>2x' WHEN edge / short <= 1 THEN 'down<2x' WHEN edge / short <= 2 THEN 'up<=2x' ELSE 'up>2x' END AS scale, label,
+           count(*) AS n, count(DISTINCT sample_id) AS unique_images, round(avg(ok), 6) AS rate, round(avg(probability), 6) AS mean_p, round(avg(least(width, height)), 6) AS mean_original_short, round(avg(short), 6) AS mean_short, arg_min(edge, line)::BIGINT AS short_edge, round(avg(edge / short), 6) AS mean_factor, CASE label WHEN 1 THEN 'fake_recall' ELSE 'real_specificity' END AS metric, string_agg(DISTINCT group_id, ',' ORDER BY group_id) AS groups
     FROM e GROUP BY ALL""", *BASE))
 def _(spark, d):
-    """G2 with P6-P8."""
-    return rounded(G.resolution_buckets(V.scored(spark, d), T))
+    """G2 with P6-P8: models of several sizes, one of them unknown, and rows without dimensions, which are left out and counted."""
+    edge = F.when(F.col("line") % 3 == 0, 256).when(F.col("line") % 3 == 1, 512)
+    return rounded(G.resolution_buckets(sized(spark, d).withColumn("model_resize_short_edge", edge), T))
+
+
+def sized(spark, d):
+    return V.scored(spark, d).withColumn("width", F.when(F.col("line") % 11 != 0, F.col("width")))
+
+
+@query("g2_missing_dimensions", with_views("SELECT count(*) FILTER (line % 11 = 0) AS missing_dimensions FROM scored", *BASE))
+def _(spark, d):
+    return G.missing_dimensions(sized(spark, d))
 
 
 @query("g3_group_view_rates", with_views(f"SELECT view, group_id, label, count(*) AS n, round(avg({_OK}), 6) AS rate FROM scored GROUP BY ALL", *BASE))

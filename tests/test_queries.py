@@ -45,4 +45,4 @@ def test_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLE_SQL)))
 def test_runs(spark, name):
     rows = registry.QUERIES[name](spark, DATA).collect()
-    assert rows and all(c for c in rows[0].asDict())
+    assert rows and all(any(r[c] is not None for r in rows) for c in rows[0].asDict())
