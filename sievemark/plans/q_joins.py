@@ -8,6 +8,8 @@ from ..functions import scalars as S
 from ..operators import filters as P
 from ..operators import joins as J
 from ..operators import sets as U
+from ..operators.hash_index import HashIndex
+from ..sources.tables import folder
 from . import views as V
 from .q_metrics import BASE, BOTH, rounded
 from .registry import query
@@ -112,13 +114,28 @@ def _(spark, d):
     return J.near_pairs(V.fingerprints(spark, d), 16)
 
 
-@query("j8_decontaminate", with_views(f""", df AS (SELECT * FROM fingerprints WHERE role = 'train'), pr AS (SELECT * FROM fingerprints WHERE role <> 'train')
-    SELECT x.sample_id, min(CASE WHEN x.content_sha256 = y.content_sha256 THEN 'exact' ELSE 'near' END) AS reason FROM df x JOIN pr y ON x.content_sha256 = y.content_sha256 OR {_XOR} <= 4 GROUP BY 1""", "fingerprints"))
+_J8 = with_views(f""", df AS (SELECT * FROM fingerprints WHERE role = 'train'), pr AS (SELECT * FROM fingerprints WHERE role <> 'train')
+    SELECT x.sample_id, min(CASE WHEN x.content_sha256 = y.content_sha256 THEN 'exact' ELSE 'near' END) AS reason FROM df x JOIN pr y ON x.content_sha256 = y.content_sha256 OR {_XOR} <= 4 GROUP BY 1""", "fingerprints")
+
+
+@query("j8_decontaminate", _J8)
 def _(spark, d):
     f = V.fingerprints(spark, d)
     return J.decontaminate(P.by_role(f, ["train"]), P.protected_rows(f, False))
 
 
+@query("j8_kept_index", _J8)
+def _(spark, d):
+    """The same through an index that got the protected rows in two parts."""
+    f = V.fingerprints(spark, d)
+    protected = P.protected_rows(f, False)
+    path = folder(spark, "index")
+    index = HashIndex(spark, path.rsplit("/", 1)[-1].replace("-", "_"), path, buckets=16)
+    for role in ("calibration", "test"):
+        index.add(protected.where(F.col("role") == role))
+    return index.decontaminate(P.by_role(f, ["train"]))
+
+
 @query("j9_exclude_hashes", with_views("SELECT sample_id FROM manifest WHERE role = 'train' AND content_sha256 NOT IN (SELECT content_sha256 FROM manifest WHERE role = 'test')", "manifest"))
 def _(spark, d):
     m = V.manifest(spark, d)

@@ -2,28 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import json
 
 from pyspark.sql import functions as F
 
 from ..sources import manifests as R
+from ..sources.tables import folder
 from . import views as V
 from .q_metrics import BASE, rounded
 from .registry import query
 from .views import with_views
 
 
-def folder(spark, name: str) -> str:
-    """A new path in the folder that the driver and all executors share; only a local session without one gets a temporary folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @query("s1_manifest_roundtrip", with_views("SELECT sample_id, path, label, dataset, source, group_id, role, content_sha256, substr(content_sha256, 1, 16) AS phash, width::INT AS width FROM manifest", "manifest"))
 def _(spark, d):
     """Written as CSV and read back."""
@@ -56,7 +46,9 @@ def _(spark, d):
 @query("s8_registry", "SELECT sample_id, case_id, family, position FROM (SELECT CAST(doc_id AS VARCHAR) AS sample_id FROM documents), (VALUES ('clean', 'none', 0), ('jpeg_q75', 'jpeg', 1)) t(case_id, family, position)")
 def _(spark, d):
     cases = {"clean": {"family": "none"}, "jpeg_q75": {"family": "jpeg", "severity": "mild", "operations": [{"op": "jpeg", "quality": 75}]}, "other": {"family": "x"}}
-    reg = R.load_registry(spark, cases, ["clean", "jpeg_q75"])
+    doc = json.dumps({"cases": cases, "profiles": {"small": ["clean", "jpeg_q75"], "whole": list(cases)}}, indent=1)
+    spark.createDataFrame([(doc,)], "value string").coalesce(1).write.text(p := folder(spark, "registry"))
+    reg = R.read_registry(spark, p, "small")
     docs = V.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("sample_id"))
     return docs.crossJoin(F.broadcast(reg)).select("sample_id", "case_id", "family", "position")  # two cases
 
@@ -74,7 +66,7 @@ def _(spark, d):
     m = V.table(spark, d, "documents").join(V.table(spark, d, "labels"), "doc_id").select(F.col("lang").alias("a"), F.when(F.col("quality") == 1, "ai").otherwise("real").alias("b"), F.col("text").alias("value"))
     m.write.partitionBy("a", "b").text(p := folder(spark, "files"))
     parts = lambda x: (F.substring_index(F.element_at(x, 1), "=", -1), F.substring_index(F.element_at(x, 2), "=", -1))
-    return R.manifest_from_files(spark, p, "docs", "train", parts, "*.txt").groupBy("source", "label", "group_id").agg(F.count(F.lit(1)).alias("files")).where("files > 0").drop("files")
+    return R.manifest_from_files(spark, p, "docs", "train", parts, ("txt",)).groupBy("source", "label", "group_id").agg(F.count(F.lit(1)).alias("files")).where("files > 0").drop("files")
 
 
 @query("s12_inventory", with_views("SELECT sample_id, content_sha256 FROM manifest", "manifest"))
@@ -95,10 +87,14 @@ def _(spark, d):
     return R.unpivot_slots(w, ["l_orderkey", "l_linenumber"], ["image", "score"])
 
 
-@query("s15_shard_report", "SELECT count(*) AS rows FROM documents")
+@query("s15_shard_report", "SELECT count(*) AS rows, true AS groups_bounded, true AS files_bounded, true AS as_listed FROM documents")
 def _(spark, d):
-    R.write_corpus(V.table(spark, d, "documents"), p := folder(spark, "corpus"))
-    return R.shard_report(spark, p).agg(F.sum("rows").alias("rows"))
+    """Rows by the footers, bounds of files and row groups, and bytes and digests as Spark's own readers see the files."""
+    R.write_corpus(V.table(spark, d, "documents"), p := folder(spark, "corpus"), 300, 100)
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(p).select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("_bytes"), F.sha2("content", 256).alias("_sha"))
+    r = R.shard_report(spark, p).join(listed, "file", "full")
+    same = (F.col("bytes") == F.col("_bytes")) & (F.col("sha256") == F.col("_sha"))
+    return r.agg(F.sum("rows").alias("rows"), F.bool_and(F.col("largest_group") <= 100).alias("groups_bounded"), F.bool_and(F.col("rows") <= 300).alias("files_bounded"), F.bool_and(F.coalesce(same, F.lit(False))).alias("as_listed"))
 
 
 @query("s16_attempts", "SELECT event_id FROM events WHERE value >= 10")

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import folder
 from ..streaming import ledgers as L
 from ..streaming.keyed import KeyedSink
 from ..streaming.stateful import budget_stream, coverage_stream, rocks
 from . import views as V
 from .q_metrics import rounded
-from .q_sources import folder
 from .registry import query
 
 

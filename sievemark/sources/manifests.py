@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -127,12 +130,31 @@ def fetch_payload(selected: DataFrame, corpus: DataFrame, key: str = "content_sh
     return corpus.join(selected.select(key).distinct(), key, "left_semi")
 
 
-def manifest_from_files(spark: SparkSession, root: str, dataset: str, role: str, layout: Callable | None = None, suffixes: str = "*.{jpg,jpeg,png,webp}") -> DataFrame:
-    """A manifest of the files under root. The default layout is root/<source>/<label name>/file; layout maps the path parts to (source, label name). Other paths fail."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", suffixes).load(root)
+# The suffixes of images.
+IMAGES = ("jpg", "jpeg", "png", "webp", "bmp", "tif", "tiff", "avif")
+LAYOUTS: dict[str, tuple[int, int]] = {"generator/label": (1, 2), "label/generator": (2, 1)}
+
+
+def any_case(suffixes: tuple[str, ...]) -> str:
+    """A glob of files with one of the suffixes, in capitals or not."""
+    each = ("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in s) for s in suffixes)
+    return "*.{" + ",".join(each) + "}"
+
+
+def manifest_from_files(spark: SparkSession, root: str, dataset: str, role: str, layout: str | Callable = "generator/label", suffixes: tuple[str, ...] = IMAGES) -> DataFrame:
+    """A manifest of the files under root, two folders or more below it. layout: one of LAYOUTS, by the first two folders, or a function from the path's parts to (source, label name).
+    Other paths fail, and so does a root without such files."""
+    if isinstance(layout, str):
+        if layout not in LAYOUTS:
+            raise ValueError(f"layout must be one of {sorted(LAYOUTS)}")
+        at = LAYOUTS[layout]
+        layout = lambda parts: tuple(F.try_element_at(parts, F.lit(i)) for i in at)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", any_case(suffixes)).load(root)
+    if files.select("path").isEmpty():
+        raise ValueError(f"no supported files beneath {root}")
     rel = F.substring_index("path", "/" + root.rstrip("/").rsplit("/", 1)[-1] + "/", -1)
     parts = F.split(rel, "/")
-    source, name = layout(parts) if layout else (F.try_element_at(parts, F.lit(1)), F.try_element_at(parts, F.lit(2)))
+    source, name = layout(parts)
     label = S.label_alias(name)
     ok = F.when((F.size(parts) >= 3) & label.isNotNull(), label).otherwise(F.raise_error(F.concat(F.lit("unknown layout: "), "path")).cast("int"))
     digest = F.sha2("content", 256)
@@ -161,15 +183,26 @@ def unpivot_slots(df: DataFrame, keep: list[str], fields: list[str], n: int = 2)
     return df.select(*keep, F.explode(slots).alias("s")).select(*keep, "s.*")
 
 
-def write_corpus(df: DataFrame, path: str, rows_a_file: int = 1_000_000) -> None:
-    df.write.option("compression", "zstd").option("maxRecordsPerFile", rows_a_file).parquet(path)
+def write_corpus(df: DataFrame, path: str, rows_a_file: int = 1_000_000, rows_a_group: int = 100_000) -> None:
+    df.write.option("compression", "zstd").option("maxRecordsPerFile", rows_a_file).option("parquet.block.row.count.limit", rows_a_group).parquet(path)
 
 
 def shard_report(spark: SparkSession, path: str) -> DataFrame:
-    """(file, rows, bytes, sha256) of each shard."""
-    rows = spark.read.parquet(path).groupBy(F.col("_metadata.file_name").alias("file")).agg(F.count(F.lit(1)).alias("rows"))
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path)
-    return rows.join(files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256")), "file")
+    """(file, rows, row_groups, largest_group, bytes, sha256) of each shard: rows come from the footers, so no data is decoded, and each file is read once. A file must fit a task, as for any digest of it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for file, content in zip(batch.column("file").to_pylist(), batch.column("content")):
+                content = content.as_buffer()
+                meta = pq.read_metadata(pa.BufferReader(content))
+                groups = [meta.row_group(i).num_rows for i in range(meta.num_row_groups)]
+                out.append((file, meta.num_rows, len(groups), max(groups, default=0), content.size, hashlib.sha256(content).hexdigest()))
+            cols = list(zip(*out)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), *[pa.int64()] * 4, pa.string()))], names=["file", "rows", "row_groups", "largest_group", "bytes", "sha256"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).load(path)
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content").mapInArrow(run, "file string, rows long, row_groups long, largest_group long, bytes long, sha256 string")
 
 
 def read_attempts(spark: SparkSession, path: str, schema: str) -> DataFrame:
