@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import scalars as S
+from .quoted import read_quoted
 
 REQUIRED = ("sample_id", "path", "label", "dataset", "source", "group_id", "role", "content_sha256", "phash")
 ROLES = ("train", "calibration", "test")
@@ -26,21 +27,25 @@ def stripped(c: str):
 
 
 def fail_if_any(bad: DataFrame, what: str, keys: list[str]) -> None:
-    """Raises with the count and up to five examples."""
-    n = bad.count()
+    """Raises with the count and up to five examples; both come from one run of the input."""
+    part = F.pmod(F.hash(*keys), F.lit(5)).alias("_p")  # five examples at most, whatever there is
+    found = bad.select(*keys, part).groupBy("_p").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*keys)).alias("_first")).collect()
+    n = sum(r["n"] for r in found)
     if n:
-        raise ValueError(f"{n} {what}: {[tuple(r) for r in bad.select(*keys).limit(5).collect()]}")
+        raise ValueError(f"{n} {what}: {sorted((tuple(r['_first']) for r in found), key=str)[:5]}")
 
 
 def read_manifest(spark: SparkSession, path: str, strict: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(rows, rejects) of a CSV manifest with header. Extra columns stay as text; relative paths are taken from the manifest's folder.
+    """(rows, rejects) of a CSV manifest with header, whose fields may have line feeds in quotes; large files are read by several tasks. Extra columns stay as text; relative paths are taken
+    from the manifest's folder.
 
-    Rows with a label other than 0 and 1 or an unknown role are rejects; strict raises where there are any."""
-    raw = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path)
+    Rows with a label other than 0 and 1 or an unknown role are rejects, with their _file and _line; strict raises where there are any."""
+    raw = read_quoted(spark, path)
     lacking = [c for c in REQUIRED if c not in raw.columns]
     if lacking:
         raise ValueError(f"columns missing: {lacking}")
-    rows = raw.select(*[stripped(c).alias(c) for c in raw.columns]).withColumn("label", F.col("label").try_cast("int"))
+    own = ("_file", "_line")
+    rows = raw.select(*[stripped(c).alias(c) for c in raw.columns if c not in own], *own).withColumn("label", F.col("label").try_cast("int"))
     for c in ("width", "height"):
         if c in raw.columns:
             rows = rows.withColumn(c, F.col(c).try_cast("int"))
@@ -50,8 +55,8 @@ def read_manifest(spark: SparkSession, path: str, strict: bool = True) -> tuple[
     rows = rows.withColumn("_problem", problem)
     rejects = rows.where("_problem is not null")
     if strict:
-        fail_if_any(rejects, "bad rows", ["sample_id", "_problem"])
-    return rows.where("_problem is null").drop("_problem"), rejects
+        fail_if_any(rejects, "bad rows", ["sample_id", "_problem", "_line"])
+    return rows.where("_problem is null").drop("_problem", *own), rejects
 
 
 def write_manifest(df: DataFrame, path: str, fmt: str = "csv") -> None:
