@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from . import metrics as M
-from .sampling import group_folds
+from .sampling import group_folds, logo_folds
 
 
 def _class_weights(df: DataFrame) -> DataFrame:
@@ -25,7 +25,7 @@ def _class_weights(df: DataFrame) -> DataFrame:
 def leakage_probe(df: DataFrame, features: list[str], folds: int, seed: int, most: float = 0.6) -> DataFrame:
     """One row: how well metadata alone tells the classes apart, out of fold, and whether that passes (AUC <= most, folds by group).
 
-    Features are standardised on each fold's training rows (deviations under 1e-8 count as 1); the loss has ridge 1/2 per coefficient.
+    Features are standardised on each fold's training rows (deviations under 1e-8 count as 1); the sum of the weighted losses has a ridge of 0.0005 for each squared coefficient.
     """
     rows = group_folds(df, folds, seed)
     scored = None
@@ -40,16 +40,20 @@ def leakage_probe(df: DataFrame, features: list[str], folds: int, seed: int, mos
     return out.withColumn("passed", (F.col("auc") <= most) & F.col("grouped"))
 
 
-def linear_probe(df: DataFrame, features: str, folds: int, ridge: float = 1e-2) -> DataFrame:
-    """(sample_id, label, raw_logit, probe_fit): calibration rows are scored by fits that did not see them (`oof`), test rows by a fit on all calibration rows (`final`)."""
-    rows = df.withColumn("x", array_to_vector(S.l2_normalize(F.col(features)))).withColumn("fold", S.hash_fold(folds, F.col("group_id")))
-    cal = rows.where("role = 'calibration'")
-    fit = lambda d: LogisticRegression(featuresCol="x", labelCol="label", weightCol="weight", regParam=ridge, standardization=False, maxIter=100).fit(_class_weights(d))
-    score = lambda m, d, name: m.transform(d).select("sample_id", "label", vector_to_array("rawPrediction")[1].alias("raw_logit"), F.lit(name).alias("probe_fit"))
-    parts = [score(fit(cal.where(F.col("fold") != k)), cal.where(F.col("fold") == k), "oof") for k in range(folds)]
-    out = score(fit(cal), rows.where("role = 'test'"), "final")
-    for p in parts:
-        out = out.unionByName(p)
+def linear_probe(df: DataFrame, features: str, ridge: float = 1e-3) -> DataFrame:
+    """(sample_id, view, label, raw_logit, probe_fit): calibration rows are scored by fits that left out their positive group, or their share of the negatives (`out_of_fold`), test rows by a fit on all
+    calibration rows (`all_calibration`). Features are scaled to length 1; the loss is the mean over rows, classes weighed equally, with ridge / 2 for each squared coefficient. A fold is a model and
+    a job; needs three positive groups."""
+    rows = df.withColumn("x", array_to_vector(S.l2_normalize(F.col(features))))
+    cal = logo_folds(rows.where("role = 'calibration'")).persist()  # each fit reads it many times
+    folds = [r[0] for r in cal.where("label = 1").select("fold").distinct().orderBy("fold").collect()]  # a row per positive group
+    if len(folds) < 3:
+        raise ValueError(f"three positive groups are needed, there are {len(folds)}")
+    fit = lambda d: LogisticRegression(featuresCol="x", labelCol="label", weightCol="weight", regParam=ridge, standardization=False, maxIter=200, tol=1e-9).fit(_class_weights(d))
+    score = lambda m, d, name: m.transform(d).select("sample_id", "view", "label", vector_to_array("rawPrediction")[1].alias("raw_logit"), F.lit(name).alias("probe_fit"))
+    out = score(fit(cal), rows.where("role = 'test'"), "all_calibration")
+    for k in folds:
+        out = out.unionByName(score(fit(cal.where(F.col("fold") != k)), cal.where(F.col("fold") == k), "out_of_fold"))
     return out
 
 

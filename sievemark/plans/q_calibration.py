@@ -61,7 +61,7 @@ def probe_rows(spark, d):
 
 @query("m5_linear_probe")
 def _(spark, d):
-    return rounded(L.linear_probe(probe_rows(spark, d).withColumn("group_id", F.col("sample_id")), "features", 3), 4)
+    return rounded(L.linear_probe(probe_rows(spark, d), "features"), 4)
 
 
 @query("m6_feature_coverage", "SELECT CAST(vec_id AS VARCHAR) AS sample_id, v AS view FROM embeddings, (VALUES ('clean'), ('web')) t(v) WHERE v = 'web' OR vec_id % 9 = 0")
