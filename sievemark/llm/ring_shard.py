@@ -20,12 +20,11 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, expanded, running_sum, text_of, written
+from ..operators.ordered import in_parts, running
+from .common import documents, expanded, text_of, written
 
 SHARDS, VNODES = 40, 128
 RING_BITS, CELL_BITS = 62, 12
-PARTS = 256
-"""Parts into which the rows of one text are dealt by id, so that a text of very many copies is ranked by many tasks."""
 
 
 def ring(shards: int, vnodes: int = VNODES) -> list[tuple[int, int]]:
@@ -109,9 +108,10 @@ def assign(docs: DataFrame, shards: int = SHARDS, vnodes: int = VNODES, id_col:
     # The walk fills at least one shard or ends one arc with each entry: at most shards + arcs entries.
     to = F.broadcast(spark.createDataFrame(moved, "arc int, first long, last long, shard int, slot0 long"))
     homes = F.broadcast(spark.createDataFrame(home, "arc int, home int"))
-    hexed = lambda c, n: F.lpad(F.hex(c), n, "0")
-    ranked = rows.withColumn("part", F.concat(hexed(F.col("place"), 16), hexed(F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)), 2)))
-    ranked = running_sum(ranked, ["arc"], "part", ["size", "text_crc32", "doc_id"], "copies", "before")
+    # Equal texts stand together, and in hash order among themselves, so that a text that a third of the rows share spans as many parts as it fills.
+    order = ["place", "_h", "size", "text_crc32", "doc_id"]
+    parts = in_parts(rows.withColumn("_h", F.xxhash64("doc_id")), ["arc", *order], "ring-order")
+    ranked = running(parts, ["arc"], order, {"before": F.col("copies")})
     each = expanded(ranked, "before", "copies", "rank")
     return (
         each.join(to, "arc")
