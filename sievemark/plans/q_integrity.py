@@ -24,10 +24,16 @@ def _(spark, d):
     return rounded(V.scored(spark, d).select("sample_id", "view", S.sigmoid(x).alias("p"), S.calibrate(x, 2.0, -0.5).alias("calibrated"), S.logit(T).alias("boundary"), S.correct(l, p, T).alias("correct"), S.log_loss_row(l, p).alias("loss")))
 
 
-@query("p9_metadata_features", "SELECT p_partkey, round(ln(greatest(p_size, 1)::DOUBLE), 6) AS log_width, round(ln(greatest(length(p_name), 1)::DOUBLE), 6) AS log_height, round(ln(greatest(p_size, 1)::DOUBLE / greatest(length(p_name), 1)), 6) AS log_aspect, round(ln(1 + p_retailprice), 6) AS log_bytes FROM part")
+_PART = "SELECT p_partkey, greatest(p_size, 1)::DOUBLE AS w, greatest(length(p_name), 1)::DOUBLE AS h, p_retailprice AS n, CASE p_partkey % 5 WHEN 0 THEN 'image/JPEG' WHEN 1 THEN 'image/png' WHEN 2 THEN 'image/webp' WHEN 3 THEN '' END AS mime, CASE p_partkey % 3 WHEN 0 THEN 'cc' WHEN 1 THEN '' END AS lic FROM part"
+
+
+@query("p9_metadata_features", f"""SELECT p_partkey, round(ln(w), 6) AS log_width, round(ln(h), 6) AS log_height, round(ln(w / h), 6) AS log_aspect, round(ln(w * h), 6) AS log_pixels, round(ln(1 + n), 6) AS log_bytes, round(n / (w * h), 6) AS bytes_per_pixel,
+    (w = h)::DOUBLE AS is_square, coalesce(lower(mime) LIKE '%jpeg%', false)::DOUBLE AS is_jpeg, coalesce(mime LIKE '%png%', false)::DOUBLE AS is_png, coalesce(mime LIKE '%webp%', false)::DOUBLE AS is_webp, coalesce(lic <> '', false)::DOUBLE AS has_license FROM ({_PART})""")
 def _(spark, d):
-    f = S.metadata_features(F.col("p_size"), F.length("p_name"), F.col("p_retailprice"), F.lit(None).cast("string"), F.lit(None).cast("string"))
-    return rounded(V.table(spark, d, "part").select("p_partkey", *f).select("p_partkey", "log_width", "log_height", "log_aspect", "log_bytes"))
+    k = F.col("p_partkey")
+    mime = F.when(k % 5 == 0, "image/JPEG").when(k % 5 == 1, "image/png").when(k % 5 == 2, "image/webp").when(k % 5 == 3, "")
+    f = S.metadata_features(F.col("p_size"), F.length("p_name"), F.col("p_retailprice"), mime, F.when(k % 3 == 0, "cc").when(k % 3 == 1, ""))
+    return rounded(V.table(spark, d, "part").select("p_partkey", *f))
 
 
 @query("p10_hashes", f"""SELECT doc_id, {prio('lang', 'source', 'doc_id', length=24)} AS content_id, {prio("'1'", "'ns'", 'doc_id')} AS priority, (('0x' || {prio('doc_id::VARCHAR')})::UBIGINT % 7)::INT AS fold,
@@ -142,6 +148,14 @@ def _(spark, d):
     return I.assemble_training([m.where("role = 'train'"), m.where("role = 'calibration'")], m.where("role = 'test'"))[1]
 
 
+@query("i3_assembled_rows", with_views("""SELECT sample_id, role, content_sha256 FROM (SELECT *, row_number() OVER (PARTITION BY content_sha256 ORDER BY role, sample_id) AS k FROM manifest
+    WHERE role <> 'test' AND content_sha256 NOT IN (SELECT content_sha256 FROM manifest WHERE role = 'test')) WHERE k = 1""", "manifest"))
+def _(spark, d):
+    """The rows themselves; the counts are i3_assemble_training's."""
+    m = V.manifest(spark, d)
+    return I.assemble_training([m.where("role = 'train'"), m.where("role = 'calibration'")], m.where("role = 'test'"))[0].select("sample_id", "role", "content_sha256")
+
+
 @query("i4_prepare_corpus", with_views(f""", s AS (SELECT *, ('0x' || substr(sha256(sample_id), 1, 8))::BIGINT % 10 = 0 AS held FROM fingerprints WHERE role = 'train'), pr AS (SELECT * FROM fingerprints WHERE role <> 'train'),
     bad AS (SELECT DISTINCT x.sample_id FROM s x JOIN pr y ON {_XOR} <= 4 WHERE NOT held), rk AS (SELECT sample_id, row_number() OVER (PARTITION BY label ORDER BY {prio("'3'", 'label', 'sample_id')}, sample_id DESC) AS k FROM s WHERE NOT held AND sample_id NOT IN (SELECT sample_id FROM bad))
     SELECT s.sample_id, CASE WHEN held THEN 'holdout' WHEN bad.sample_id IS NOT NULL THEN 'near' WHEN k <= 50 THEN 'kept' ELSE 'capped' END AS decision FROM s LEFT JOIN bad USING (sample_id) LEFT JOIN rk USING (sample_id)""", "fingerprints"))

@@ -113,6 +113,20 @@ def _(spark, d):
     return spark.read.schema("content_sha256 string, repo string, locator long").json(p)
 
 
-@query("s18_fingerprint")
+@query("s18_fingerprint", "SELECT count(*) AS rows, true AS same_in_any_order, true AS other_without_a_row FROM documents")
 def _(spark, d):
-    return R.fingerprint(V.table(spark, d, "documents"))
+    """The digest holds over any order and partitioning, and changes with the rows."""
+    t = V.table(spark, d, "documents")
+    own, mixed, less = (R.fingerprint(x) for x in (t, t.repartition(7, "lang").sortWithinPartitions("text"), t.where(F.col("doc_id") != 0)))
+    names = lambda f, k: f.select(F.col("digest").alias(k))
+    return own.crossJoin(names(mixed, "_m")).crossJoin(names(less, "_l")).select("rows", (F.col("digest") == F.col("_m")).alias("same_in_any_order"), (F.col("digest") != F.col("_l")).alias("other_without_a_row"))  # one row each
+
+
+@query("s18_file_fingerprints", "SELECT count(DISTINCT lang) AS files, count(DISTINCT lang) AS contents, true AS as_computed FROM documents WHERE lang IS NOT NULL")
+def _(spark, d):
+    """A file for each language, whose bytes are known: the digests are those of the bytes."""
+    t = V.table(spark, d, "documents").where("lang is not null").groupBy("lang").agg(F.concat_ws(",", F.sort_array(F.collect_set(F.col("doc_id").cast("string")))).alias("value"))
+    t.repartition("lang").write.partitionBy("lang").text(p := folder(spark, "files"))
+    got = R.file_fingerprints(spark, p, "*.txt")
+    return got.join(t.select(F.sha2(F.concat("value", F.lit("\n")), 256).alias("sha256"), F.lit(True).alias("known")), "sha256", "left").agg(
+        F.count(F.lit(1)).alias("files"), F.count_distinct("sha256").alias("contents"), F.bool_and(F.coalesce("known", F.lit(False))).alias("as_computed"))

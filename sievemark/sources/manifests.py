@@ -223,5 +223,6 @@ def fingerprint(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")).cast("string").alias("digest"))
 
 
-def file_fingerprints(spark: SparkSession, paths: list[str]) -> DataFrame:
-    return spark.read.format("binaryFile").load(paths).select("path", F.sha2("content", 256).alias("sha256"))
+def file_fingerprints(spark: SparkSession, paths: str | list[str], names: str = "*") -> DataFrame:
+    """(path, sha256) of the files at paths, and below them where they are folders."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", names).load(paths).select("path", F.sha2("content", 256).alias("sha256"))
