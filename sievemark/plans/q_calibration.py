@@ -90,11 +90,12 @@ def _(spark, d):
 
 @query("i6_evaluation_gates")
 def _(spark, d):
-    """Predictions that failed count as a logit of 0, as a report needs all of them."""
+    """Over the samples whose predictions are all there, as a report demands."""
     m = V.manifest(spark, d).withColumn("role", F.when(F.conv(F.substring("content_sha256", 1, 4), 16, 10).cast("int") % 2 == 0, "calibration").otherwise("test"))
     audit = I.audit_manifest(m.withColumn("phash", F.substring("content_sha256", 1, 16)), 4)
-    whole = V.ledger(spark, d).withColumns({"raw_logit": F.coalesce("raw_logit", F.lit(0.0)), "error": F.lit(None).cast("string")})
-    return rounded(Q.evaluation_report(m, whole, audit, VIEWS, T, 50, 3)["gates"], 5)
+    valid = V.ledger(spark, d).where("error is null")
+    whole = valid.groupBy("sample_id").count().where(F.col("count") == len(VIEWS)).select("sample_id")
+    return rounded(Q.evaluation_report(m.join(whole, "sample_id", "left_semi"), valid, audit, VIEWS, T, 50, 3)["gates"], 5)
 
 
 _C2 = _CASES.replace("FROM scored)", "FROM rescored)")
