@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-# Elements of HTML by their part in a page, and words that name such parts in classes, ids and roles.
+# Elements of HTML by their part in a page, and words, and beginnings of words, that name such parts in classes, ids and roles.
 RAW = ("script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes", "noscript")
 VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr")
 CONTAINERS = ("html", "body", "main", "article", "section", "div", "td", "center", "fieldset", "details")
@@ -37,13 +37,15 @@ HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 DROPPED = ("head", "nav", "footer", "aside", "form", "menu", "dialog", "search", "template", "svg", "canvas", "object", "video", "audio", "select", "button", "datalist", *RAW)
 ROLES = ("navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alertdialog", "alert", "menu", "menubar")
 WORDS = (
-    "ad", "ads", "adv", "advert", "advertisement", "adsense", "sponsor", "sponsored", "promo", "promotion", "banner",
-    "nav", "navbar", "navigation", "menu", "menubar", "breadcrumb", "breadcrumbs", "pagination", "pager", "topbar", "masthead",
-    "footer", "sidebar", "widget", "widgets", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "notification", "alert",
-    "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "login", "form", "search", "searchbox",
+    "ad", "ads", "adv", "adsense", "promo", "promotion",
+    "nav", "navbar", "navigation", "menu", "menubar", "pagination", "pager", "topbar", "masthead",
+    "widget", "widgets", "consent", "gdpr", "notice", "notices", "notification", "alert",
+    "popup", "modal", "overlay", "subscribe", "subscription", "signup", "login", "form", "search", "searchbox",
     "share", "sharing", "social",
 )
-READERS = ("comment", "comments", "disqus", "reply", "replies", "respond", "discussion")
+READERS = ("disqus", "reply", "replies", "respond", "responses", "discussion")
+BEGINNINGS = ("advert", "banner", "breadcrumb", "cookie", "footer", "newsletter", "sidebar", "sponsor")
+READERS_BEGINNING = ("comment",)
 FOREIGN = 4
 """How many times the text of its host's container another container needs for a page to leave its host's path."""
 NEAR = 2
@@ -91,10 +93,11 @@ class Page:
         if attributes and "=" in attributes and tag not in ("html", "body"):
             names = {n.lower(): a or b or c for n, a, b, c in reversed(_NAMES.findall(attributes))}
             words = {w for n in ("class", "id") if n in names for w in _SPLIT.split(_CAMEL.sub("-", names[n]).lower())}
-            if not words.isdisjoint(_READERS):
+            if not words.isdisjoint(_READERS) or any(w.startswith(READERS_BEGINNING) for w in words):
                 flag = ELEMENT
             elif not flag:
-                flag = NAMED * (not words.isdisjoint(_WORDS) or names.get("role", "").strip().lower() in _ROLES or "header" in words and self._is_page_header())
+                named = not words.isdisjoint(_WORDS) or any(w.startswith(BEGINNINGS) for w in words) or names.get("role", "").strip().lower() in _ROLES
+                flag = NAMED * (named or "header" in words and self._is_page_header())
             if tag == "header" and self._is_page_header():
                 flag = ELEMENT
             if "class" in names:

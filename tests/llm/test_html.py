@@ -26,6 +26,7 @@ def alone(source):
         ("<body><header><h1>Site</h1></header><main><header><h1>T</h1></header><p>x<ul><li>a<li>b</ul></main><form>Name <p>much longer text in a form</form>", "T x a b"),
         ("<div id=sidebar>one two three</div><div class='post-12 entry'><p>text of it</p><div class=ad>buy</div></div><div class=cookieNotice>we use</div>", "text of it"),
         ("<article><p>said</p></article><section class=comments><article class=comment><p>a reader's much longer remark on it</p></article></section>", "said"),
+        ("<div id=main><p>said of it</p><ol class=commentlist><li>a reader's longer remark</ol><div class='footerLinks'>x</div><p class=commented-on>no</p></div>", "said of it"),
         ("<body class='no-sidebar sidebar'><article>main</article></body>", "main"),
         ("<div class='page ads'><p>all of the text is here</p></div><div>x</div>", "all of the text is here"),
         ("x &lt;b&gt; &nbsp;&#65; &#x42 &amp y &am", "x <b> A B & y &am"), ("a<b>x</b> <!-- nev", "ax"), ("x < y and 3 > 2", "x < y and 3 > 2"), ("<!---->z<!-->y<!-- a --!>w<![CDATA[q]]><?p?>v", "zywv"),
