@@ -181,9 +181,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_c
 
     findings: labelled ones to learn from, with the columns of candidates() and label; else planted()'s."""
     words, pairs = vocabulary(docs, text_col)
-    found = written(featured(candidates(docs, id_col, text_col, path_col), words, pairs), "candidates")
+    # What a value says of itself is joined to its candidates, so these are written before.
+    found = written(featured(written(candidates(docs, id_col, text_col, path_col), "candidates"), words, pairs), "featured")
     if findings is None:
-        made = featured(planted(docs, id_col, text_col, path_col), words, pairs)
+        made = featured(written(planted(docs, id_col, text_col, path_col), "planted"), words, pairs)
         names = [*FEATURES, "label", "doc_id", "position", "place", "value"]
         findings = made.select(*names).unionByName(untouched(found).withColumn("doc_id", F.col("doc_id").cast("string")).select(*names))
     else:
