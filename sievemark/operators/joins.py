@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..sources.tables import written
 from .ordered import places
 
+KEYED, BLOCK = 5, 16_384
+"""Bits apart up to which near hashes are found by keys; hashes of a block where they are compared one by one."""
+
 
 def expected_keys(manifest: DataFrame, views: list[str]) -> DataFrame:
     """Every sample with every declared view: the views are a list in the plan, each row is exploded."""
@@ -66,18 +74,54 @@ def banded(df: DataFrame, distance: int, id_col: str = "sample_id") -> DataFrame
     return ok.select(F.col(id_col).alias("id"), "phash", "role", "content_sha256", F.inline(S.near_keys(F.col("phash"), distance)))
 
 
+def _close(distance: int):
+    """Of rows (i, j, l, r), two blocks of hashes each: the pairs at most `distance` bits apart, each once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, left, right in zip(*(batch.column(c) for c in ("i", "j", "l", "r"))):
+                l, r = left.values.to_numpy(), right.values.to_numpy()
+                for f in range(0, len(l), step := max(1, (1 << 18) // len(r))):
+                    apart = np.bitwise_count(l[f : f + step, None].view(np.uint64) ^ r.view(np.uint64))
+                    x, y = np.nonzero(apart <= distance)
+                    if i == j:
+                        x, y = x[x + f < y], y[x + f < y]
+                    if len(x):
+                        yield pa.RecordBatch.from_arrays([pa.array(l[x + f]), pa.array(r[y]), pa.array(apart[x, y].astype(np.int32))], names=["p", "q", "distance"])
+
+    return run
+
+
+def near_hashes(hashes: DataFrame, distance: int, block: int = BLOCK) -> DataFrame:
+    """(p, q, distance): each pair of the distinct `bits` of hashes at most `distance` apart, once; every pair is compared, two blocks of hashes in a task."""
+    n = max(1, -(-hashes.count() // block))
+    blocks = hashes.groupBy(F.pmod(F.xxhash64("bits"), F.lit(n)).cast("int").alias("i")).agg(F.collect_list("bits").alias("l"))  # `block` hashes, more or less
+    left = blocks.select("i", "l", F.explode(F.sequence("i", F.lit(n - 1))).alias("j"))
+    pairs = left.join(blocks.select(F.col("i").alias("j"), F.col("l").alias("r")), "j").repartition(min(n * (n + 1) // 2, 2000), "i", "j")
+    return pairs.select("i", "j", "l", "r").mapInArrow(_close(distance), "p long, q long, distance int")
+
+
 def near_pairs(df: DataFrame, distance: int, cross: str | None = "role") -> DataFrame:
     """(a, b, distance): each pair of rows of different contents, and roles if `cross`, at most `distance` bits apart, once.
 
-    The keys are exact: two hashes that differ in `distance` bits share one (`near_keys`). Equal hashes are collapsed to one row per
-    (phash, role, content) with the smallest id, so that copies don't multiply.
+    Equal hashes are collapsed to one row per (phash, role, content) with the smallest id, so that copies don't multiply. Up to KEYED bits apart, rows meet by exact keys: two hashes that differ in
+    `distance` bits share one (`near_keys`). Beyond, keys are so narrow that most pairs share one; there all pairs of distinct hashes are compared, in blocks.
     """
     rows = df.groupBy("phash", "role", "content_sha256").agg(F.min("sample_id").alias("sample_id"))
+    apart = lambda l, r: (F.col(f"{l}.id") < F.col(f"{r}.id")) & (F.col(f"{l}.content_sha256") != F.col(f"{r}.content_sha256")) & (F.col(f"{l}.{cross}") != F.col(f"{r}.{cross}") if cross else F.lit(True))
+    if distance > KEYED:
+        ok = rows.where(S.is_hex(F.col("phash"), 16))
+        x = written(ok.select(F.col("sample_id").alias("id"), "role", "content_sha256", S.bits_of(F.col("phash")).alias("bits")), "hashes")
+        hashes = x.select("bits").distinct()
+        found = near_hashes(hashes, distance)
+        same = hashes.select(F.col("bits").alias("p"), F.col("bits").alias("q"), F.lit(0).alias("distance"))
+        ends = F.array(F.struct("p", "q", "distance"), F.struct(F.col("q").alias("p"), F.col("p").alias("q"), "distance"))
+        met = found.select(F.inline(ends)).unionByName(same)
+        met = x.alias("l").join(met, F.col("l.bits") == F.col("p")).join(x.alias("r"), F.col("r.bits") == F.col("q")).where(apart("l", "r"))
+        return met.select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), "distance")
     x = banded(rows, distance)
     left, right = x.alias("l"), x.alias("r")
-    on = (F.col("l.band") == F.col("r.band")) & (F.col("l.bits") == F.col("r.bits")) & (F.col("l.id") < F.col("r.id")) & (F.col("l.content_sha256") != F.col("r.content_sha256"))
-    if cross:
-        on &= F.col(f"l.{cross}") != F.col(f"r.{cross}")
+    on = (F.col("l.band") == F.col("r.band")) & (F.col("l.bits") == F.col("r.bits")) & apart("l", "r")
     h = S.hamming(F.col("l.phash"), F.col("r.phash"))
     return left.join(right, on).where(h <= distance).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), h.alias("distance")).distinct()
 

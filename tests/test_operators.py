@@ -99,6 +99,28 @@ def test_near_pairs_against_brute_force(spark):
     assert {(r.a, r.b) for r in joins.near_pairs(df, 4).collect()} == want and want
 
 
+def test_wide_pairs_against_brute_force(spark):
+    """Beyond KEYED bits: copies, upper case and bad hashes among them, in several blocks, with and without roles."""
+    rng = np.random.default_rng(2)
+    base = [int(h) for h in rng.integers(0, 1 << 63, 30, dtype=np.uint64)]
+    hashes = [h ^ sum({1 << int(b) for b in rng.integers(0, 64, 12)}) for h in base * 8] + base[:5] * 2
+    data = [(f"s{i:03}", f"{h:016x}" if i % 5 else f"{h:016X}", ("train", "test", "calibration")[i % 3], f"c{i % 200}") for i, h in enumerate(hashes)] + [("bad", "zz", "train", "x"), ("none", None, "test", "y")]
+    df = rows(spark, data, "sample_id string, phash string, role string, content_sha256 string")
+    one = {}
+    for s, h, role, c in data[:-2]:
+        one[h, role, c] = min(s, one.get((h, role, c), s))
+    items = [(s, int(h, 16), role, c) for (h, role, c), s in one.items()]
+    for cross in ("role", None):
+        want = sorted((a[0], b[0], d) for a in items for b in items if a[0] < b[0] and a[3] != b[3] and (not cross or a[2] != b[2]) and (d := (a[1] ^ b[1]).bit_count()) <= 16)
+        assert sorted(tuple(r) for r in joins.near_pairs(df, 16, cross).collect()) == want and want
+    bits = df.where("phash rlike '^[0-9a-fA-F]{16}$'").select(F.expr("cast(conv(phash, 16, -10) as bigint)").alias("bits")).distinct()
+    pairs = lambda block: sorted((min(r.p, r.q), max(r.p, r.q), r.distance) for r in joins.near_hashes(bits, 16, block).collect())
+    assert pairs(20) == pairs(1000) and len(set(pairs(20))) == len(pairs(20))
+    assert joins.near_pairs(df.limit(0), 16).count() == 0
+    plan = joins.near_pairs(df, 16)._jdf.queryExecution().optimizedPlan().toString()
+    assert "band#" not in plan
+
+
 def test_bad_hashes_are_counted_not_joined(spark):
     df = rows(spark, [("a", "zz", "train", "x", "g"), ("b", None, "test", "y", "h")], "sample_id string, phash string, role string, content_sha256 string, group_id string")
     assert joins.near_pairs(df, 4).count() == 0
