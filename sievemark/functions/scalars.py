@@ -141,11 +141,16 @@ def near_keys(h: Column, distance: int) -> Column:
     return F.array(*keys)
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once: within a lambda an expression runs again for each element, and where it is named again, again."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def median_bits(v: Column) -> Column:
     """16 hex digits: which of 64 coefficients reach the median of the last 63."""
-    mid = F.element_at(F.array_sort(F.slice(v, 2, 63)), 32)
-    text = F.array_join(F.transform(v, lambda x: F.when(x >= mid, "1").otherwise("0")), "")
-    return F.lower(F.concat(F.lpad(F.conv(F.substring(text, 1, 32), 2, 16), 8, "0"), F.lpad(F.conv(F.substring(text, 33, 32), 2, 16), 8, "0")))
+    text = bound(F.element_at(F.array_sort(F.slice(v, 2, 63)), 32), lambda mid: F.array_join(F.transform(v, lambda x: F.when(x >= mid, "1").otherwise("0")), ""))
+    half = lambda t, at: F.lpad(F.conv(F.substring(t, at, 32), 2, 16), 8, "0")
+    return bound(text, lambda t: F.lower(F.concat(half(t, 1), half(t, 33))))
 
 
 def is_hex(c: Column, n: int) -> Column:

@@ -121,6 +121,17 @@ def test_wide_pairs_against_brute_force(spark):
     assert "band#" not in plan
 
 
+def test_median_is_found_once_a_row(spark):
+    v = np.random.default_rng(3).normal(size=(20, 64)).round(1)
+    df = rows(spark, [(x.tolist(),) for x in v], "v array<double>").select(S.median_bits(F.col("v")).alias("h"))
+    assert [r.h for r in df.collect()] == [f"{int(''.join('01'[int(y >= sorted(x[1:])[31])] for y in x), 2):016x}" for x in v]
+    # Not within the lambda over the elements, nor for each half of the digits: sorting is most of the work.
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_sort(") == 1 and plan.index("array_sort(") < plan.index("lambda")
+    none = rows(spark, [(None,), ([1.0] * 40 + [None] * 24,)], "v array<double>").select(S.median_bits(F.col("v")).alias("h"))
+    assert [r.h for r in none.collect()] == [None, "ffffffffff000000"]
+
+
 def test_bad_hashes_are_counted_not_joined(spark):
     df = rows(spark, [("a", "zz", "train", "x", "g"), ("b", None, "test", "y", "h")], "sample_id string, phash string, role string, content_sha256 string, group_id string")
     assert joins.near_pairs(df, 4).count() == 0
