@@ -81,9 +81,13 @@ def _close(distance: int):
         for batch in batches:
             for i, j, left, right in zip(*(batch.column(c) for c in ("i", "j", "l", "r"))):
                 l, r = left.values.to_numpy(), right.values.to_numpy()
-                for f in range(0, len(l), step := max(1, (1 << 18) // len(r))):
-                    apart = np.bitwise_count(l[f : f + step, None].view(np.uint64) ^ r.view(np.uint64))
-                    x, y = np.nonzero(apart <= distance)
+                step = max(1, (1 << 18) // len(r))
+                bits, apart = np.empty((step, len(r)), np.uint64), np.empty((step, len(r)), np.uint8)
+                for f in range(0, len(l), step):
+                    k = len(l[f : f + step])
+                    np.bitwise_xor(l[f : f + k, None].view(np.uint64), r.view(np.uint64), out=bits[:k])
+                    np.bitwise_count(bits[:k], out=apart[:k])
+                    x, y = np.divmod(np.flatnonzero(apart[:k] <= distance), len(r))
                     if i == j:
                         x, y = x[x + f < y], y[x + f < y]
                     if len(x):
