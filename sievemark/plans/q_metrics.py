@@ -287,13 +287,14 @@ def _(spark, d):
     return rounded(G.standardized_difference(f, ["log_width", "log_height", "log_bytes", "bytes_per_pixel"]))
 
 
-_CURVES = "curves AS (SELECT user_id AS run_id, row_number() OVER (PARTITION BY user_id ORDER BY day) AS step, loss, g AS gradient_norm FROM (SELECT user_id, CAST(ts AS DATE) AS day, avg(value) AS loss, max(value) AS g FROM events GROUP BY ALL))"
+_CURVES = "curves AS (SELECT user_id AS run_id, row_number() OVER (PARTITION BY user_id ORDER BY day) AS step, loss, g AS gradient_norm FROM (SELECT user_id, CAST(ts AS DATE) AS day, round(avg(value), 9) AS loss, max(value) AS g FROM events GROUP BY ALL))"
 
 
 def curves(spark, d):
+    """A run's mean value of each day, to nine decimals: a mean's last bits hang on the order of its sum, and bounds may lie on a mean."""
     from pyspark.sql import Window
 
-    e = V.table(spark, d, "events").groupBy(F.col("user_id").alias("run_id"), F.to_date("ts").alias("day")).agg(F.avg("value").alias("loss"), F.max("value").alias("gradient_norm"))
+    e = V.table(spark, d, "events").groupBy(F.col("user_id").alias("run_id"), F.to_date("ts").alias("day")).agg(F.round(F.avg("value"), 9).alias("loss"), F.max("value").alias("gradient_norm"))
     return e.withColumn("step", F.row_number().over(Window.partitionBy("run_id").orderBy("day")))
 
 

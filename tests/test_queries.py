@@ -46,3 +46,20 @@ def test_sql(spark, duck, name):
 def test_runs(spark, name):
     rows = registry.QUERIES[name](spark, DATA).collect()
     assert rows and all(any(r[c] is not None for r in rows) for c in rows[0].asDict())
+
+
+def test_curve_means_on_a_bound(spark, tmp_path):
+    """Means that are 50.005, the bound, whatever order their values are added in."""
+    from datetime import datetime
+    from itertools import permutations
+
+    cents = [(5000, 5001, 5000, 5001), (1234, 8767, 3, 9998), (10, 20, 30, 19942), (7, 4093, 6001, 9901)]
+    orders = [[c / 100 for c in p] for row in cents for p in sorted(set(permutations(row)))]
+    assert len({sum(o) / 4 >= 50.005 for o in orders}) == 2 and all(sum(row) == 20002 for row in cents)
+    data = [(u * 4 + i, datetime(2024, 1, 1, i), u, "view", v) for u, o in enumerate(orders) for i, v in enumerate(o)]
+    df = spark.createDataFrame(data, "event_id long, ts timestamp, user_id long, event_type string, value double")
+    df.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert registry.QUERIES["g26_stable_count"](spark, str(tmp_path)).first().stable == len(orders)
+    assert c.sql(registry.ORACLE_SQL["g26_stable_count"]).fetchall() == [(len(orders),)]
