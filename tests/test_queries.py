@@ -63,3 +63,9 @@ def test_curve_means_on_a_bound(spark, tmp_path):
     c.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
     assert registry.QUERIES["g26_stable_count"](spark, str(tmp_path)).first().stable == len(orders)
     assert c.sql(registry.ORACLE_SQL["g26_stable_count"]).fetchall() == [(len(orders),)]
+
+
+def test_fingerprint_deals_rows_evenly(spark):
+    """Not by language: there are four, and a task would get all texts of one."""
+    plan = registry.QUERIES["s18_fingerprint"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(doc_id" in plan and "hashpartitioning(lang" not in plan
