@@ -105,5 +105,5 @@ def _(spark, d):
     schema = V.table(spark, d, "customer").schema
     declared = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/customer.parquet*").select(F.col("c_custkey").alias("user_id"), F.lit("2000-01-01").cast("timestamp").alias("ts"))
     states = stream(spark, d).select("user_id", "ts", F.col("event_type").alias("state"), F.col("event_id").alias("seq"))
-    closing = states.withColumns({"ts": F.col("ts") + F.expr("interval 30 days"), "user_id": F.lit(-1).cast("long"), "state": F.lit("end")})  # time goes on after the last event
+    closing = states.withColumns({"ts": F.col("ts") + F.expr("interval 30 days"), "user_id": -1 - F.col("seq") % 1000, "state": F.lit("end")})  # time goes on after the last event, for a thousand keys that no one declared
     return finished(coverage_stream(declared, states.unionByName(closing), "user_id", ["purchase", "click"], "ts", "1 hour", "1 day"))

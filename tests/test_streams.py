@@ -136,3 +136,28 @@ def test_coverage_once_time_is_over(spark, feed, tmp_path):
     twin = L.state_coverage(feed.all().where("declared").select("user_id"), feed.all().where("not declared").select("user_id", "state", "seq"), ["user_id"], ["done"])
     assert got == sorted(tuple(r) for r in twin.collect())
     assert step([(101, at(80), False, "done", 1)]) == got
+
+
+def test_coverage_of_shared_buckets(spark, feed):
+    """Keys that share a bucket end each at its own time, over several runs; null is a key, and a null state no terminal one."""
+    rocks(spark)
+    r = random.Random(7)
+    at = lambda h: DAY + dt.timedelta(hours=h)
+    feed.schema = "user_id long, ts timestamp, declared boolean, state string, seq long"
+
+    def step(rows):
+        feed.put(rows)
+        s = feed.stream()
+        feed.run(coverage_stream(s.where("declared").select("user_id", "ts"), s.where("not declared").select("user_id", "ts", "state", "seq"), "user_id", ["done"], "ts", "1 hour", "10 hours", buckets=3))
+        return sorted((tuple(r) for r in feed.out().collect()), key=str)
+
+    keys = [None, (1 << 60) + 1, *range(40)]
+    rows = [(u, at(0), True, None, None) for u in keys]
+    more = [(r.choice(keys[:30]), at(r.randrange(1, 4) + k // 30 * 3), False, r.choice(["open", "done", None]), (1 << 55) + k) for k in range(60)]
+    assert step(rows + more[:30]) == [] and step(more[30:]) == []
+    assert step([(39, at(9), False, "done", 1), (39, at(9), False, "open", 1)]) == []
+    assert step([(100, at(9), False, "open", 1)]) == []
+    got = step([(100, at(40), False, "open", 2)])
+    last = {u: state for u, _, _, state, _ in sorted(more, key=lambda x: x[4])} | {39: "done"}
+    want = [(u, "missing" if u not in last else "not terminal") for u in keys if u not in last or last[u] != "done"]
+    assert got == sorted(want, key=str) and len(want) > 15
