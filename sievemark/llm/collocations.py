@@ -27,7 +27,7 @@ from .common import documents, text_of, written
 
 LEAST, COVERED, TOP = 10, 50, 2000
 """Occurrences of a candidate; per cent of them within a longer candidate that drop it; rows kept of each language."""
-TOKENS = 2_000_000
+TOKENS = 1_000_000
 """Words that a task counts at once; a longer text is one count."""
 BUCKET = 8 << 20
 DENSE = 1 << 21
