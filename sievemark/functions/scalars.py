@@ -126,13 +126,13 @@ def bands(h: Column, distance: int) -> Column:
     return F.array(*out)
 
 
-def near_keys(h: Column, distance: int) -> Column:
-    """(band, bits) of which hashes at most `distance` bits apart share one: each choice of `agree` of distance + agree blocks of the 64 bits.
+def near_keys(bits: Column, distance: int) -> Column:
+    """(band, bits) of which hashes at most `distance` bits apart share one: each choice of `agree` of distance + agree blocks of the 64 bits. bits is named in every key, so it should be a column.
 
     Up to 4 bits apart 3 of 7 blocks agree: 35 keys of 27 bits or more, so that few rows meet by chance; beyond, blocks would be too narrow and one of distance + 1 does.
     """
     agree = 3 if distance <= 4 else 1
-    n, bits = distance + agree, bits_of(h)
+    n = distance + agree
     widths = [64 // n + (i < 64 % n) for i in range(n)]
     keys = []
     for i, choice in enumerate(combinations(range(n), agree)):

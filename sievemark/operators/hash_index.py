@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from .joins import keyed
 
 
 class HashIndex:
@@ -22,7 +23,7 @@ class HashIndex:
 
     def _keys(self, df: DataFrame, name: str) -> DataFrame:
         ok = df.where(S.is_hex(F.col("phash"), 16)).select(F.lower("phash").alias(name)).distinct()
-        return ok.select(F.inline(S.near_keys(F.col(name), self.distance)), name)
+        return keyed(ok, name, self.distance).select("band", "bits", name)
 
     def add(self, protected: DataFrame) -> None:
         """Appends protected rows (phash, content_sha256). What is there already does no harm, but takes room."""

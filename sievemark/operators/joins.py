@@ -68,10 +68,18 @@ def paired_views(df: DataFrame, base: str, stress: list[str]) -> DataFrame:
     return df.where(F.col("view").isin(stress)).select("sample_id", "view", F.col("probability").alias("stress_p")).join(b, "sample_id")
 
 
+def keyed(rows: DataFrame, name: str, distance: int) -> DataFrame:
+    """rows with (band, bits) of every key of their hash `name`. Rows are short next to their keys, and adaptive execution would put them into few tasks, by their size before; so they are dealt to
+    as many tasks as a shuffle has; by more than the columns, as Spark leaves out a shuffle by what rows lie by already."""
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.withColumn("_bits", S.bits_of(F.col(name))).repartition(tasks, "_bits", *rows.columns)
+    return dealt.select(*rows.columns, F.inline(S.near_keys(F.col("_bits"), distance)))
+
+
 def banded(df: DataFrame, distance: int, id_col: str = "sample_id") -> DataFrame:
     """(id, phash, role, content_sha256, band, bits) of well-formed hashes: rows that share (band, bits) are candidates."""
     ok = df.where(S.is_hex(F.col("phash"), 16))
-    return ok.select(F.col(id_col).alias("id"), "phash", "role", "content_sha256", F.inline(S.near_keys(F.col("phash"), distance)))
+    return keyed(ok.select(F.col(id_col).alias("id"), "phash", "role", "content_sha256"), "phash", distance)
 
 
 def _close(distance: int):
@@ -133,7 +141,7 @@ def near_pairs(df: DataFrame, distance: int, cross: str | None = "role") -> Data
 def decontaminate(df: DataFrame, protected: DataFrame, distance: int = 4) -> DataFrame:
     """(sample_id, reason): rows of df too near to a protected row; `exact` content goes before `near`."""
     exact = df.join(protected.select("content_sha256").distinct(), "content_sha256", "left_semi").select("sample_id", F.lit("exact").alias("reason"))
-    keys = lambda x, name: x.where(S.is_hex(F.col("phash"), 16)).select(F.col("phash").alias(name)).distinct().select(name, F.inline(S.near_keys(F.col(name), distance)))
+    keys = lambda x, name: keyed(x.where(S.is_hex(F.col("phash"), 16)).select(F.col("phash").alias(name)).distinct(), name, distance)
     met = keys(df, "phash").join(keys(protected, "p"), ["band", "bits"]).where(S.hamming(F.col("phash"), F.col("p")) <= distance).select("phash").distinct()
     near = df.join(met, "phash", "left_semi").select("sample_id", F.lit("near").alias("reason"))
     return exact.unionByName(near).groupBy("sample_id").agg(F.min("reason").alias("reason"))

@@ -9,7 +9,7 @@ from ..operators import filters as P
 from ..operators import joins as J
 from ..operators import sets as U
 from ..operators.hash_index import HashIndex
-from ..sources.tables import folder
+from ..sources.tables import folder, written
 from . import views as V
 from .q_metrics import BASE, BOTH, rounded
 from .registry import query
@@ -126,11 +126,11 @@ def _(spark, d):
 
 @query("j8_kept_index", _J8)
 def _(spark, d):
-    """The same through an index that got the protected rows in two parts."""
-    f = V.fingerprints(spark, d)
-    protected = P.protected_rows(f, False)
+    """The same through an index that got the protected rows in two parts. Hashes are found once; there are as many buckets as a shuffle has partitions, so lookups read them as they are."""
+    f = written(V.fingerprints(spark, d).select("sample_id", "phash", "content_sha256", "role"), "fingerprints")
+    protected = written(P.protected_rows(f, False), "protected")
     path = folder(spark, "index")
-    index = HashIndex(spark, path.rsplit("/", 1)[-1].replace("-", "_"), path, buckets=16)
+    index = HashIndex(spark, path.rsplit("/", 1)[-1].replace("-", "_"), path, buckets=int(spark.conf.get("spark.sql.shuffle.partitions")))
     for role in ("calibration", "test"):
         index.add(protected.where(F.col("role") == role))
     return index.decontaminate(P.by_role(f, ["train"]))

@@ -98,3 +98,17 @@ def test_registry_file(spark, tmp_path):
     for name in ("bad", "worse", "none"):
         with pytest.raises(ValueError):
             R.read_registry(spark, f"{tmp_path}/r.json", name)
+
+
+def test_keys_are_dealt_before_they_are_made(spark):
+    """A table that fits into one task is not made into 35 times its rows in that task, neither in the index nor in the joins."""
+    rows = spark.createDataFrame(rows_of(6, 4000, "test", 2), SCHEMA)
+    index = HashIndex.__new__(HashIndex)
+    index.distance = 4
+    one = rows.groupBy("phash", "role", "content_sha256").agg(F.min("sample_id").alias("sample_id"))
+    for keys in (index._keys(rows, "p"), joins.banded(one, 4)):
+        per = keys.groupBy(F.spark_partition_id().alias("task")).count().collect()
+        n = sum(r["count"] for r in per)
+        assert n % 35 == 0 and len(per) == 4 and max(r["count"] for r in per) < n / 2
+    reach = joins.decontaminate(rows, rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert reach.count("RepartitionByExpression") == 2
