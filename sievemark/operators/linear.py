@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..sources.tables import written
 from . import metrics as M
 from .sampling import group_folds, logo_folds
 
@@ -27,7 +28,8 @@ def leakage_probe(df: DataFrame, features: list[str], folds: int, seed: int, mos
 
     Features are standardised on each fold's training rows (deviations under 1e-8 count as 1); the sum of the weighted losses has a ridge of 0.0005 for each squared coefficient.
     """
-    rows = group_folds(df, folds, seed)
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = written(group_folds(df, folds, seed).select("label", "fold", "grouped", *features).repartition(tasks), "probe-rows")  # each fit reads it many times; short rows would lie in few files
     scored = None
     for k in sorted(r[0] for r in rows.select("fold").distinct().collect()):  # a few folds
         train = rows.where(F.col("fold") != k)

@@ -95,3 +95,19 @@ def test_compare(spark):
     assert (got.low, got.high, got.mean) == pytest.approx((*np.quantile(deltas, [0.025, 0.975]), np.mean(deltas))) and got.promote == (got.low > 0)
     groups = {r.group_id: r for r in found["groups"].collect()}
     assert len(groups) == 6
+
+
+def test_leakage_probe_reads_its_input_once(spark):
+    """Rows whose features cost much are made once, however many folds and steps there are (the folds' groups are found before, from their own columns)."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def costly(x):
+        made.add(1)
+        return x * 2
+
+    rng = np.random.default_rng(7)
+    rows = [(f"s{i}", i % 2, f"g{i % 2}{i % 12 // 2}", f"{i:064x}", float(rng.normal() + i % 2)) for i in range(240)]
+    df = spark.createDataFrame(rows, "sample_id string, label int, group_id string, content_sha256 string, x double").withColumn("a", costly("x"))
+    assert linear.leakage_probe(df, ["a"], 3, 5).first().n == 240
+    assert made.value == 240
