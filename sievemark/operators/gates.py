@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..sources.tables import written
 from . import calibration as C
 from . import filters as P
 from . import joins as J
@@ -150,10 +151,11 @@ def teacher_gate(
     student = ranking.where((F.col("model") != teacher) & F.col("eligible")).orderBy(F.desc("macro_score"), "rank").select("model").first()  # a row per model
     if student is None:
         raise ValueError("no eligible student")
-    a, b = ledgers[teacher], ledgers[student[0]]
+    # Both are read for the keys, the groups, the replicates and the views.
+    a, b = (written(ledgers[m].select("sample_id", "view", "label", "group_id", "probability"), "gate-rows") for m in (teacher, student[0]))
     pick = lambda m: F.max(F.when(F.col("model") == m, F.col("macro_score")))
     lead = ranking.agg((pick(teacher) - pick(student[0])).alias("lead_macro_score"))
-    keys = J.common_support(a, b)
+    keys = written(J.common_support(a, b), "gate-keys")
     ci = X.group_auc_bootstrap(a.join(keys, ["sample_id", "view"], "left_semi"), b.join(keys, ["sample_id", "view"], "left_semi"), replicates, seed).agg(F.max("low").alias("auc_low"))
     views = M.roc_auc(a, ["view"]).join(M.roc_auc(b, ["view"]).withColumnRenamed("auc", "_auc"), "view").agg(F.min(F.col("auc") - F.col("_auc")).alias("least_view_auc_change"))
     return gates(one(lead, ci, views, G.stable_count(validations, best)), [("lead_macro_score", ">=", margin), ("auc_low", ">", 0), ("least_view_auc_change", ">=", -view_loss), ("stable", ">=", stable)])

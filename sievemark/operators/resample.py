@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..sources.tables import written
 from .joins import weighted_draw
 from .ordered import places
 from .replicates import replicate_auc, replicate_counts, replicate_sums
@@ -111,7 +112,8 @@ def hierarchical_bootstrap(df: DataFrame, replicates: int, seed: int, threshold:
 
 def group_auc_bootstrap(a: DataFrame, b: DataFrame, replicates: int, seed: int, confidence: float = 0.9) -> DataFrame:
     """Interval of the AUC of a less that of b, mean over views, groups drawn within each class; a replicate that drew one class only has none."""
-    w = replicate_counts(a.select("label", "group_id").distinct(), ["label"], "group_id", replicates, seed)
+    # Written, so that Spark knows how small the groups are: by its estimate they are larger than the rows, which it would broadcast to the one task that has the groups.
+    w = written(replicate_counts(a.select("label", "group_id").distinct(), ["label"], "group_id", replicates, seed), "group-counts")
     slim = lambda df, side: df.select("label", "group_id", "view", "probability", F.lit(side).alias("side"))
     rows = slim(a, 1).unionByName(slim(b, -1)).join(w, ["label", "group_id"])
     per = replicate_auc(rows, ["side", "view"], replicates)

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sievemark.operators import ordered, replicates, resample
+from sievemark.operators import gates, ordered, replicates, resample
 
 SCHEMA = "sample_id string, group_id string, view string, label int, probability double"
 
@@ -139,3 +139,21 @@ def test_one_odd_key_leaves_the_parts_even(spark):
     assert len(sizes) == 64 and max(sizes) < 3 * 200_000 / 64
     placed = ordered.places(ids, [], "k", "i")
     assert placed.where("i <> case when k = 'abc' then 0 else cast(substring(k, 5) as long) + 1 end").count() == 0
+
+
+def test_teacher_gate_reads_scores_once(spark):
+    """Scored rows are read for keys, groups, replicates and views; what makes them runs once."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def costly(x):
+        made.add(1)
+        return x
+
+    rows = [(f"s{i}", v, i % 2, f"g{i % 8}", ((i * 37) % 100) / 100) for i in range(200) for v in ("clean", "web")]
+    df = spark.createDataFrame(rows, "sample_id string, view string, label int, group_id string, p double").withColumn("probability", costly("p"))
+    ranking = spark.createDataFrame([("a", True, 0.9, 1), ("b", True, 0.8, 2)], "model string, eligible boolean, macro_score double, rank int")
+    curve = spark.createDataFrame([(1, 9.0), (2, 9.0)], "step int, score double")
+    got = {r.gate.split(" ")[0]: r.value for r in gates.teacher_gate(ranking, "a", {"a": df, "b": df}, curve, 1.0, 20, 3).collect()}
+    assert got == {"lead_macro_score": pytest.approx(0.1), "auc_low": 0, "least_view_auc_change": 0, "stable": 2}
+    assert made.value == 2 * len(rows)
